@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from logtrail.llm.decontaminate import op2_decontaminate
+from logtrail.llm.packing import op4_packing
+from logtrail.llm.quality import op6_quality
 from logtrail.llm.secret_scan import op3_secret_scan
 from logtrail.llm.warc import op10_warc
 
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op10_warc": op10_warc,
