@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from logtrail.llm.decontaminate import op2_decontaminate
+from logtrail.llm import line_dedup
+from logtrail.llm.line_dedup import op8_line_dedup
 from logtrail.llm.packing import op4_packing
 from logtrail.llm.quality import op6_quality
 from logtrail.llm.secret_scan import op3_secret_scan
+from logtrail.llm.toxicity import op9_toxicity
 from logtrail.llm.warc import op10_warc
 
 QUERIES = {
+    "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_SQL}
