@@ -8,10 +8,14 @@ from logtrail.llm.line_dedup import op8_line_dedup
 from logtrail.llm.packing import op4_packing
 from logtrail.llm.quality import op6_quality
 from logtrail.llm.secret_scan import op3_secret_scan
+from logtrail.llm.suffix_array import op5_suffix_array
+from logtrail.llm.suffix_tree import op7_suffix_tree
 from logtrail.llm.toxicity import op9_toxicity
 from logtrail.llm.warc import op10_warc
 
 QUERIES = {
+    "op5_suffix_array": op5_suffix_array,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op4_packing": op4_packing,
