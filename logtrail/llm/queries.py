@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logtrail.llm.decontaminate import op2_decontaminate
 from logtrail.llm import line_dedup
+from logtrail.llm.jaccard import op1_jaccard_join
 from logtrail.llm.line_dedup import op8_line_dedup
 from logtrail.llm.packing import op4_packing
 from logtrail.llm.quality import op6_quality
@@ -14,6 +15,7 @@ from logtrail.llm.toxicity import op9_toxicity
 from logtrail.llm.warc import op10_warc
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op5_suffix_array": op5_suffix_array,
     "op7_suffix_tree": op7_suffix_tree,
     "op8_line_dedup": op8_line_dedup,
