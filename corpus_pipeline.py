@@ -1,12 +1,58 @@
-"""A corpus cleaned and packed: each stage is written as Parquet and read again by the next."""
+"""A corpus cleaned and packed for training, stage by stage.
+
+Each stage takes all rows that the one before kept, written as Parquet and read again, and returns the columns of
+documents; the last returns the placed pieces. Learned and tokenised results have no SQL form: see tests/llm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logtrail.llm import decontaminate, jaccard, line_dedup, packing, toxicity
+from logtrail.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar's score does not call toxic; fitted on labelled rows that are not held out."""
+    return toxicity.reject(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines of repeated windows; a document of which no word is left goes. n_chars follows the text."""
+    out = line_dedup.dedup(spark, docs).filter(~((F.col("n_removed") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links connect, the document of the smallest doc_id; documents without an id stay."""
+    copies = jaccard.join(spark, docs).filter("doc_id <> class_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than one word in twenty lies in a window of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and its place there."""
+    return packing.pack(spark, packing.pieces(docs, packing.tokenizer_file()))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

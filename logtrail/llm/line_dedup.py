@@ -45,6 +45,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Documents of fewer than three lines with a word stay whole, null texts stay null. Rows that repeat a doc_id share
     its places: equal rows are one occurrence and stay alike. A null doc_id is smaller than any other.
+    Columns of docs that are named n_lines or n_removed give way to the new ones.
     """
     places = later_windows(spark, docs).select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at"))
     out = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_doc")), "left").drop("_doc")
@@ -53,7 +54,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = out.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
     out = out.withColumns({"_kept": F.when(F.size("_gone") > 0, kept).otherwise(F.col("text")), "n_lines": F.size("_lines").cast("long"), "n_removed": F.size("_gone").cast("long")})
-    return out.select(*(F.col(c) if c != "text" else F.col("_kept").alias("text") for c in docs.columns), "n_lines", "n_removed")
+    return out.select(*(F.col(c) if c != "text" else F.col("_kept").alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

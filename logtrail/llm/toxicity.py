@@ -206,23 +206,31 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `toxicity` added, from the text alone; narrow. Null and empty texts get the score of no match."""
-    text_at = docs.columns.index("text")
+    """doc_id and score, from the text alone; narrow. Null and empty texts get the score of no match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.lexicon)
         for batch in slices(batches):
-            found = model.scores(batch.column(text_at).to_pylist(), scorer)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "toxicity"])
+            found = model.scores(batch.column(1).to_pylist(), scorer)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, score double")
+
+
+def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below `least`; narrow."""
+    text_at = docs.columns.index("text")
 
-    from pyspark.sql import types as T
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.lexicon)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model.scores(batch.column(text_at).to_pylist(), scorer) < least))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(spark, docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    scored = score(docs, model)
-    return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
