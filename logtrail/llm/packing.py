@@ -9,6 +9,7 @@ plan says which ranks among the pieces of a length go to which sequences, and ta
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,39 +25,56 @@ from logtrail.llm.common import map_batches, materialize, slices, table
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
 #: Pieces of one length that one task numbers, about.
 PIECES_A_BUCKET = 50_000
 #: Characters for which blanks separate words and lower-casing changes neither length nor composition.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: How the vocabulary splits a lower-cased plain word.
+RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @cache
 def encoder(path: str):
-    """A function from text to ids as bytes, unsigned 32-bit little-endian.
+    """A function from texts to ids as bytes, unsigned 32-bit little-endian.
 
-    The vocabulary lower-cases, drops white space and never joins across it, so a plain text's ids are those of its
-    words in turn; words seen before come from a store. Any other text is encoded whole.
+    The vocabulary lower-cases, drops white space, never joins across it and splits words into runs of letters, single
+    digits and runs of other signs, each encoded by itself and closed by a token of its own kind. So a plain text's ids
+    are those of its words in turn, and a word's those of its runs. Words and runs seen before come from a store; new
+    runs are encoded together, and cut apart after their closing tokens. Any other text is encoded whole.
     """
     from tokenizers import Tokenizer
 
     tokenizer, store = Tokenizer.from_file(path), {}
-
-    def encode(text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join(map(store.__getitem__, words))
-        except KeyError:
-            new = list(set(words).difference(store))
+    closing = np.zeros(tokenizer.get_vocab_size(), bool)
+    closing[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(words: list[str]) -> None:
+        runs = {word: RUN.findall(word) for word in words}
+        new = list({x for found in runs.values() for x in found}.difference(store))
+        for i in range(0, len(new), 1000):
+            ids, some = ids_of(" ".join(new[i : i + 1000])), new[i : i + 1000]
+            ends = np.flatnonzero(closing[ids]) + 1
+            if len(ends) != len(some):  # not so in this vocabulary
+                store.update((x, ids_of(x).tobytes()) for x in some)
+                continue
+            whole, ends = ids.tobytes(), (4 * ends).tolist()
+            store.update((x, whole[lo:hi]) for x, lo, hi in zip(some, [0, *ends], ends, strict=False))
+        store.update((word, b"".join(map(store.__getitem__, found))) for word, found in runs.items())
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [text.lower().split() if "<|" not in text and PLAIN.fullmatch(text) else None for text in texts]
+        words = set().union(*(x for x in split if x))
+        if new := words.difference(store):
             if len(store) + len(new) > WORDS_KEPT:
                 store.clear()
-                new = list(set(words))
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                store[word] = np.array(found.ids, dtype="<u4").tobytes()
-            return b"".join(map(store.__getitem__, words))
+                new = words
+            gc.disable()  # many small lists and no cycles
+            learn(list(new))
+            gc.enable()
+        return [ids_of(text).tobytes() if x is None else b"".join(map(store.__getitem__, x)) for text, x in zip(texts, split, strict=True)]
 
     return encode
 
@@ -66,8 +84,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode, end, rows = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = memoryview(encode(text or "") + end)
+        for doc_id, found in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            ids = memoryview(found + end)
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
