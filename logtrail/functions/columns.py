@@ -94,6 +94,8 @@ def utc_time(value: Column) -> Column:
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2})?)?(?=$|[.,Z+-])", "$1-$2-$3T$4:$5:$6")
     text = F.regexp_replace(F.regexp_replace(text, r"T::$", ""), r":$", "")
     text = F.regexp_replace(text, r"(:\d{2}),(\d+)", "$1.$2")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=$|[Z+-])", "$1:00:00")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
     good = text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
     zoned = F.when(text.rlike(r"T.*(Z|[+-]\d{2}(?::?\d{2})?)$|\d .*(Z|[+-]\d{2}(?::?\d{2})?)$"), text).otherwise(F.concat(text, F.when(F.length(text) > 10, F.lit("Z")).otherwise(F.lit("T00:00:00Z"))))
     return F.when(good, zoned.try_cast("timestamp"))
