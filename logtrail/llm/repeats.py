@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 POSITION_BITS = 24
 
 
-@cache
+@lru_cache(maxsize=3)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, i below n."""
     inverse = pow(BASE, -1, 1 << 64)
@@ -258,12 +258,13 @@ def across_shards(distinct: DataFrame) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, kind: Kind, shard_bytes: int = SHARD_BYTES, segments_a_shard: int = SEGMENTS_A_SHARD) -> DataFrame:
     """rid, more and spans (tokens, end exclusive, not merged) of the identified documents that have repeated windows."""
-    every = anchored(docs, kind)
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    every = materialize(spark, anchored(docs, kind), "repeat-windows")
+    # counts are written before each join: with two shuffles of its own Spark can split the rows of a hot anchor
+    again = materialize(spark, every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "repeat-anchors")
     places = materialize(spark, every.join(again, "anchor"), "repeat-places")
     distinct = places.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("one"))
     distinct = materialize(spark, distinct, "repeat-segments")
-    many = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
+    many = materialize(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")), "repeat-anchors")
     windows = F.shiftright(F.col("one.at"), 24).bitwiseAND(F.lit(255)).cast("int")
     distinct = distinct.join(many, "anchor").select("anchor", "segment", "n", "m", F.col("one.rid").alias("rid"), F.col("one.at").bitwiseAND(F.lit((1 << 24) - 1)).alias("more"), F.shiftright(F.col("one.at"), 32).cast("int").alias("first"), windows.alias("windows"))
     distinct = materialize(spark, distinct, "repeat-segments")
