@@ -28,7 +28,7 @@ from logtrail.llm.decontaminate import normal
 from logtrail.llm.repeats import mix, zipped
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.9995
-COORDS, DEPTH = 128, 3
+COORDS, DEPTH = 128, 2
 #: Children that a class goes to at each split, about, for one that it shares with a class of the least similarity.
 BRANCHING = 1.5
 #: Classes in a bucket that is compared, at most; in a block of a candidate group.
@@ -132,7 +132,7 @@ def buckets(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, depth: in
     small = None
     for level in range(1, depth + 1):
         rows = materialize(spark, rows, "paths")
-        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        size = materialize(spark, rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
         rows = materialize(spark, rows.join(size, "path"), "buckets")
         here = rows if level == depth else rows.filter(F.col("size") <= leaf)
         small = here if small is None else small.unionByName(here)
@@ -187,23 +187,25 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def alike(bucketed: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (u, v) that span what looks similar in each bucket of (keys, node, sketch, side).
+    """Edges (u, v) that span what looks similar in each bucket of (keys, node, sketch, side, root).
 
-    Within a bucket of one side (side 0 everywhere) all pairs are compared, else those of side 0 with side 1.
+    Within a bucket of one side (side 0 everywhere) all pairs are compared, else those of side 0 with side 1; in either
+    case only where their roots differ, as others are known to be of one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _stretches(batches, keys, 8192):
             starts = _starts(t, keys)
-            nodes, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+            nodes, side, group = (t.column(c).to_numpy() for c in ("node", "side", "root"))
             values = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
             pairs = []
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                if (group[lo:hi] == group[lo]).all():
+                    continue
                 two = side[lo:hi].any()
                 for i in range(lo, hi - 1):
-                    others = np.arange(i + 1, hi)
-                    if two:
-                        others = others[side[i + 1 : hi] != side[i]]
+                    apart = group[i + 1 : hi] != group[i]
+                    others = i + 1 + np.flatnonzero(apart & (side[i + 1 : hi] != side[i]) if two else apart)
                     if len(others) > 16:  # many at once here, few in one go below
                         others = others[(values[others] == values[i]).sum(axis=1) >= AGREE]
                     pairs.append((np.full(len(others), i), others))
@@ -215,20 +217,20 @@ def alike(bucketed: DataFrame, keys: list[str]) -> DataFrame:
             linked = np.flatnonzero(root != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["u", "v"])
 
-    return bucketed.select(*keys, "node", "side", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return bucketed.select(*keys, "node", "side", "root", "sketch").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
 
 
 def candidates(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """node and root of the candidate groups.
 
     A bucket that stays large at the greatest depth, mostly copies of one text, is first compared in parts of bounded
-    size, dealt anew for each path. If its members do not all come to one group by this, all its parts are then
-    compared with each other, in pairs of parts.
+    size, dealt anew for each path. If its members do not all come to one group by this, those outside its
+    largest group are then compared with all other parts too.
     """
     found = materialize(spark, buckets(spark, classes, leaf, depth), "leaves")
     parts = F.ceil(F.col("size") / leaf)
     part = F.pmod(F.xxhash64("path", "node"), parts).cast("int")
-    first = found.withColumn("part", part).join(classes.select("node", "sketch"), "node").withColumn("side", F.lit(0))
+    first = found.withColumn("part", part).join(classes.select("node", "sketch"), "node").withColumn("side", F.lit(0)).withColumn("root", F.col("node"))
     edges = materialize(spark, alike(first, ["path", "part"]).distinct(), "edges")
     groups = materialize(spark, components(spark, edges), "groups")
     large = found.filter(F.col("size") > leaf)
@@ -239,12 +241,13 @@ def candidates(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, depth:
     open_ = materialize(spark, large.join(mixed, "path").withColumn("part", part).withColumn("parts", parts), "mixed")
     if not open_.limit(1).count():
         return groups
-    # one class for each group in a part at least goes to each other part
-    other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
-    blocks = open_.withColumn("other", other).filter("other <> part")
-    blocks = blocks.select("path", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    more = alike(blocks.join(classes.select("node", "sketch"), "node"), ["path", "lo", "hi"])
-    return materialize(spark, components(spark, edges.unionByName(more)), "groups")
+    # links between groups concern a class outside its bucket's largest group: those alone go to all other parts
+    biggest = open_.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("biggest"))
+    outside = open_.join(materialize(spark, biggest, "biggest"), "path").filter("root <> biggest")
+    copies = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).filter("other <> part")
+    blocks = open_.select("path", "part", "node", "root", F.lit(0).alias("side")).unionByName(copies.select("path", F.col("other").alias("part"), "node", "root", F.lit(1).alias("side")))
+    more = alike(blocks.join(classes.select("node", "sketch"), "node"), ["path", "part"])
+    return materialize(spark, components(spark, groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "groups")
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
