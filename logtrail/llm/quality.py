@@ -21,6 +21,8 @@ STATS = ("x1", "x2", "x3", "x4")
 #: Least spread (standard deviation) of each; a source whose texts all agree must not reject the slightest change.
 FLOORS = (150.0, 80.0, 150.0, 150.0)
 SHARE, STEPS, LEAST_ROWS = 0.75, 3, 100
+#: Groups whose estimates are broadcast at most; a row of them is some 200 bytes.
+GROUPS = 10_000
 #: Quantiles of the chi-square distribution with 4 degrees: at 0.75, 0.975 and 1 - 1e-6.
 NEAR, WITHIN, FAR = 5.385269, 11.143287, 33.376840
 
@@ -92,10 +94,21 @@ def fitted(near: DataFrame, scale: float) -> DataFrame:
     return out.select("g", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in p if j <= i))
 
 
-def with_distance(stats: DataFrame, fit: DataFrame) -> DataFrame:
+def beside(spark: SparkSession, rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
+    """rows, each with the written estimate of its group, for grouping anew.
+
+    Up to GROUPS estimates are broadcast. More of them are joined by shuffles, and the join is written: grouped at
+    once, all rows of a hot group would meet in one task, while so Spark splits the join and sums before grouping.
+    """
+    if fit.limit(GROUPS + 1).count() <= GROUPS:
+        return rows.join(F.broadcast(fit), "g", how)
+    return materialize(spark, rows.join(fit, "g", how), "mcd-rows")
+
+
+def with_distance(spark: SparkSession, stats: DataFrame, fit: DataFrame) -> DataFrame:
     """Adds the squared Mahalanobis distance d2, by forward substitution; null without a fit."""
     p = range(len(STATS))
-    out = stats.join(fit, "g", "left")
+    out = beside(spark, stats, fit, "left")
     for i in p:
         rest = F.col(STATS[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -112,8 +125,8 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
     so a group of any size is a bounded count by step, summed before the shuffle.
     """
     some = stats.filter("NOT base_failed AND many").select("g", *STATS)
-    middle = some.groupBy("g").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS)))
-    spread = some.join(middle, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(STATS)))
+    middle = materialize(spark, some.groupBy("g").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS))), "mcd-middle")
+    spread = beside(spark, some, middle).groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(STATS)))
     zero = F.lit(0.0)
     fit = spread.select("g", *(f"m{i}" for i in range(4)), *((F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else zero).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)))
     # the covariance of the nearest 75 % of normal rows is smaller than that of all, by this factor
@@ -121,11 +134,12 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
     step = F.floor(100 * F.log1p("d2"))
     for _ in range(STEPS):
         fit = materialize(spark, fit, "mcd-fit")
-        cut = with_distance(some, fit).groupBy("g").agg(F.percentile(step, F.lit(SHARE)).alias("cut"))
-        near = with_distance(some, fit).join(materialize(spark, cut, "mcd-cut"), "g").filter(step <= F.col("cut"))
+        far = with_distance(spark, some, fit)
+        cut = materialize(spark, far.groupBy("g").agg(F.percentile(step, F.lit(SHARE)).alias("cut")), "mcd-cut")
+        near = beside(spark, far, cut).filter(step <= F.col("cut"))
         fit = fitted(near, scale)
     fit = materialize(spark, fit, "mcd-fit")
-    return materialize(spark, fitted(with_distance(some, fit).filter(F.col("d2") <= WITHIN), 1.0), "mcd-fit")
+    return materialize(spark, fitted(with_distance(spark, some, fit).filter(F.col("d2") <= WITHIN), 1.0), "mcd-fit")
 
 
 def judge(spark: SparkSession, docs: DataFrame, far: float = FAR) -> DataFrame:
@@ -136,7 +150,7 @@ def judge(spark: SparkSession, docs: DataFrame, far: float = FAR) -> DataFrame:
     texts fail the base rule. Repeated rows count each time. An empty table gives no rows.
     """
     stats = materialize(spark, grouped(materialize(spark, statistics(text_counts(docs)), "quality-stats")), "quality-groups")
-    out = with_distance(stats, minimum_covariance(spark, stats))
+    out = with_distance(spark, stats, minimum_covariance(spark, stats))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= far, F.lit(True)))
 
 

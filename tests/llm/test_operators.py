@@ -268,7 +268,7 @@ def brute_quality(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w))
 
 
-def test_quality(spark):
+def test_quality(spark, monkeypatch):
     rng = random.Random(7)
     clean = [" ".join(words(rng, rng.randint(40, 120))) for _ in range(240)]
     texts = [*corpus(), *clean, " ".join(f"{x}###" for x in words(rng, 60)), "a b\nc\n\n a b\na b\nc\n" + " ".join(words(rng, 30)), "w " * 9, " ".join([*words(rng, 8)] * 2 + words(rng, 60)), "\x0bx\fy\rz " * 12]
@@ -278,6 +278,8 @@ def test_quality(spark):
     assert all(r.kept for r in got[first : first + 240]) and not got[first + 240].kept
     odd = table(spark, texts).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
     assert quality.judge(spark, odd).count() == len(texts)
+    monkeypatch.setattr(quality, "GROUPS", 0)  # more groups than are broadcast
+    assert quality.judge(spark, table(spark, texts)).orderBy("doc_id").collect() == got
 
 
 def test_line_dedup(spark):
