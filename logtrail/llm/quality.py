@@ -18,13 +18,15 @@ from logtrail.llm.common import materialize, table
 BLANK = r"[\x20\x09-\x0D]+"
 #: Statistics in thousandths: log of the mean word length, and square roots of three shares.
 STATS = ("x1", "x2", "x3", "x4")
-#: Least spread (standard deviation) of each; a source whose texts all agree must not reject the slightest change.
-FLOORS = (150.0, 80.0, 150.0, 150.0)
+#: Variance of the square root of a share in thousandths, times the number of independent trials behind the share; the
+#: log of a mean word length has about the same, as the spread of word lengths is about half their mean.
+TRIAL = 250_000.0
 SHARE, STEPS, LEAST_ROWS = 0.75, 3, 100
 #: Groups whose estimates are broadcast at most; a row of them is some 200 bytes.
 GROUPS = 10_000
-#: Quantiles of the chi-square distribution with 4 degrees: at 0.75, 0.975 and 1 - 1e-6.
-NEAR, WITHIN, FAR = 5.385269, 11.143287, 33.376840
+#: Quantiles of the chi-square distribution with 4 degrees: at 0.75, 0.975 and 0.999. The last rejects: one in a
+#: thousand texts that vary as their group does is the loss accepted, set beforehand and not by labels.
+NEAR, WITHIN, FAR = 5.385269, 11.143287, 18.466827
 
 
 def text_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -59,28 +61,40 @@ def statistics(counts: DataFrame) -> DataFrame:
     return counts.withColumn("base_failed", base_failed()).withColumns({x: F.round(1000 * v).cast("long") for x, v in zip(STATS, values, strict=True)})
 
 
-def grouped(stats: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """Adds the group g: language and source; the rest of a language, or of all, where rows are too few for a fit."""
-    for at, key in ((0, F.struct(F.lit("s").alias("k"), "lang", "source")), (1, F.struct(F.lit("l").alias("k"), "lang", F.lit(None).cast("string").alias("source"))), (2, F.struct(F.lit("r").alias("k"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))):
-        stats = stats.withColumn("g", F.to_json(key) if not at else F.when(F.col("many"), F.col("g")).otherwise(F.to_json(key)))
-        rows = stats.filter("NOT base_failed").groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-        stats = stats.drop("many").join(rows, F.col("g") == F.col("_g"), "left").withColumn("many", F.coalesce(F.col("_n") >= least, F.lit(False))).drop("_g", "_n")
-    return stats
+def grouped(spark: SparkSession, stats: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """Adds the group g that judges a row, many (whether there is one), and fits: the groups whose estimates it enters.
 
+    A row is judged by its language and source; where they have too few usable rows, by all usable rows of the
+    language, else by all usable rows. Wider groups are fitted only where they judge.
+    """
+    none = F.lit(None).cast("string")
+    key = lambda k, lang, source: F.to_json(F.struct(F.lit(k).alias("k"), lang.alias("lang"), source.alias("source")))
+    stats = stats.withColumn("g", key("s", F.col("lang"), F.col("source")))
+    sizes = materialize(spark, stats.groupBy("g").agg(F.first(key("l", F.col("lang"), none)).alias("l"), F.count_if(~F.col("base_failed")).alias("n")), "quality-sizes")
+    langs = sizes.groupBy("l").agg(F.sum("n").alias("n_l"), F.bool_or(F.col("n") < least).alias("few_l"))
+    total = langs.agg(F.sum("n_l").alias("n_r"), F.bool_or(F.col("few_l") & (F.col("n_l") < least)).alias("few_r"))
+    own, of_lang, of_all = F.col("n") >= least, F.col("n_l") >= least, F.col("n_r") >= least
+    rest = key("r", none, none)
+    groups = sizes.join(langs, "l").crossJoin(F.broadcast(total)).select(
+        "g", F.when(own, F.col("g")).when(of_lang, F.col("l")).when(of_all, rest).alias("by"),
+        F.array_compact(F.array(F.when(own, F.col("g")), F.when(of_lang & F.col("few_l"), F.col("l")), F.when(of_all & F.col("few_r"), rest))).alias("fits"),
+    )
+    out = beside(spark, stats, materialize(spark, groups, "quality-keys"))
+    return out.drop("g").withColumnRenamed("by", "g").withColumn("many", F.col("g").isNotNull())
+
+
+def least_variances() -> list[Column]:
+    """What each statistic of a row varies by however alike its group's texts are: by the words, lines or windows it has.
 
-def cholesky(c: dict[tuple[int, int], Column]) -> dict[tuple[int, int], Column]:
-    out: dict[tuple[int, int], Column] = {}
-    for i in range(len(STATS)):
-        for j in range(i + 1):
-            rest = c[i, j]
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out[i, j] = F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}")
-    return out
+    Symbols come by the word and repeats by the window of 8 words, so these are the trials, not letters or words.
+    Rounding adds a twelfth and matters only to texts of millions of words.
+    """
+    words, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines"))
+    return [F.greatest(TRIAL * k / n, F.lit(1 / 12)) for k, n in ((1, words), (1, words), (1, lines), (8, words))]
 
 
 def fitted(near: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group's rows; sums of integers in decimal are exact."""
+    """Mean and covariance of each group's rows; sums of integers in decimal are exact."""
     p = range(len(STATS))
     total = lambda x: F.sum(x.cast("decimal(20,0)")).cast("double")
     sums = near.groupBy("g").agg(
@@ -88,10 +102,8 @@ def fitted(near: DataFrame, scale: float) -> DataFrame:
         *(total(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c{i}{j}") for i in p for j in p if j <= i),
     )
     out = sums.withColumns({f"m{i}": F.col(f"m{i}") / F.col("n") for i in p})
-    out = out.withColumns({f"c{i}{j}": scale * (F.col(f"c{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i in p for j in p if j <= i})
-    for (i, j), column in cholesky({(i, j): F.col(f"c{i}{j}") for i in p for j in p if j <= i}).items():
-        out = out.withColumn(f"l{i}{j}", column)
-    return out.select("g", *(f"m{i}" for i in p), *(f"l{i}{j}" for i in p for j in p if j <= i))
+    out = out.withColumns({f"c{i}{j}": scale * (F.col(f"c{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) for i in p for j in p if j <= i})
+    return out.select("g", *(f"m{i}" for i in p), *(f"c{i}{j}" for i in p for j in p if j <= i))
 
 
 def beside(spark: SparkSession, rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
@@ -106,14 +118,24 @@ def beside(spark: SparkSession, rows: DataFrame, fit: DataFrame, how: str = "inn
 
 
 def with_distance(spark: SparkSession, stats: DataFrame, fit: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance d2, by forward substitution; null without a fit."""
+    """Adds the squared Mahalanobis distance d2, by Cholesky's factor and forward substitution; null without a fit.
+
+    The variance that remains of a statistic, given those before it, is taken to be the row's least one where it is
+    below that: a bound, nothing is added to a larger variance, and no factor is singular.
+    """
     p = range(len(STATS))
     out = beside(spark, stats, fit, "left")
-    for i in p:
-        rest = F.col(STATS[i]) - F.col(f"m{i}")
+    for i, least in zip(p, least_variances(), strict=True):
+        for k in range(i):
+            rest = F.col(f"c{i}{k}")
+            for j in range(k):
+                rest = rest - F.col(f"l{i}{j}") * F.col(f"l{k}{j}")
+            out = out.withColumn(f"l{i}{k}", rest / F.col(f"l{k}{k}"))
+        rest, off = F.col(f"c{i}{i}"), F.col(STATS[i]) - F.col(f"m{i}")
         for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
+            rest, off = rest - F.col(f"l{i}{k}") * F.col(f"l{i}{k}"), off - F.col(f"l{i}{k}") * F.col(f"z{k}")
+        out = out.withColumn(f"l{i}{i}", F.sqrt(F.greatest(rest, least)))
+        out = out.withColumn(f"z{i}", off / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in p[1:]), F.col("z0") * F.col("z0"))
     return out.select(*stats.columns, d2.alias("d2"))
 
@@ -124,11 +146,10 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
     A step reads the small table of statistics, never the texts. Quantiles are taken over distances in fine steps,
     so a group of any size is a bounded count by step, summed before the shuffle.
     """
-    some = stats.filter("NOT base_failed AND many").select("g", *STATS)
+    some = stats.filter("NOT base_failed").select(F.explode("fits").alias("g"), *STATS, "n_words", "n_lines")
     middle = materialize(spark, some.groupBy("g").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS))), "mcd-middle")
     spread = beside(spark, some, middle).groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(4)), *(F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(STATS)))
-    zero = F.lit(0.0)
-    fit = spread.select("g", *(f"m{i}" for i in range(4)), *((F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) if i == j else zero).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)))
+    fit = spread.select("g", *(f"m{i}" for i in range(4)), *((F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i + 1)))
     # the covariance of the nearest 75 % of normal rows is smaller than that of all, by this factor
     scale = SHARE / (1 - math.exp(-NEAR / 2) * (1 + NEAR / 2 + (NEAR / 2) ** 2 / 2))
     step = F.floor(100 * F.log1p("d2"))
@@ -145,12 +166,13 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
 def judge(spark: SparkSession, docs: DataFrame, far: float = FAR) -> DataFrame:
     """The counts of each row of docs, base_failed, d2 and kept.
 
-    Null languages and sources are groups of their own. Groups of fewer than LEAST_ROWS usable rows are pooled by
-    language, then over all; where even these are few there is no fit and only the base rules decide. Null and empty
+    Null languages and sources are groups of their own. Groups of fewer than LEAST_ROWS usable rows are judged
+    by the estimate over all usable rows of the language, else over all; where even these are few there is no fit and
+    only the base rules decide. Null and empty
     texts fail the base rule. Repeated rows count each time. An empty table gives no rows.
     """
-    stats = materialize(spark, grouped(materialize(spark, statistics(text_counts(docs)), "quality-stats")), "quality-groups")
-    out = with_distance(spark, stats, minimum_covariance(spark, stats))
+    stats = materialize(spark, grouped(spark, materialize(spark, statistics(text_counts(docs)), "quality-stats")), "quality-groups")
+    out = with_distance(spark, stats.drop("fits"), minimum_covariance(spark, stats))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= far, F.lit(True)))
 
 

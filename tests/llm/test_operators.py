@@ -282,6 +282,17 @@ def test_quality(spark, monkeypatch):
     assert quality.judge(spark, table(spark, texts)).orderBy("doc_id").collect() == got
 
 
+def test_quality_rejects_slight_junk_and_judges_small_pools(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, rng.randint(60, 120))), "en", "web") for i in range(150)]
+    junk = lambda: " ".join(f"{w} |" if k % 3 else w for k, w in enumerate(words(rng, 90)))
+    rows += [(1000 + i, junk(), "en", "web") for i in range(5)]  # a symbol to about nine characters
+    rows += [(2000 + i, junk(), "de", "few") for i in range(40)] + [(3000, " ".join(words(rng, 90)), "de", "few")]
+    got = {r.doc_id: r for r in quality.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and all(0.05 < r.n_symbols / r.word_chars < 0.2 for r in got.values() if 1000 <= r.doc_id < 3000)
+    assert [i for i, r in sorted(got.items()) if r.kept] == [*range(150), 3000]
+
+
 def test_line_dedup(spark):
     texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", "a\n\nb\nc", "a\na\na\na\na", "a\nb", "", None, "p\nq\nr", "p\nq\nr"]
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(spark, table(spark, texts)).collect()}
