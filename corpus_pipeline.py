@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtrail.llm import decontaminate, jaccard, line_dedup, packing, toxicity
-from logtrail.llm.common import materialize, table
+from logtrail.llm.common import materialize, numbered, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document of the smallest doc_id; documents without an id stay."""
-    copies = jaccard.join(spark, docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group that links connect, one row: that of the smallest doc_id, of one without an id only if none has.
+
+    Rows are joined and dropped by numbers of their own, so those that share an id, or have none, are judged each by
+    its own text.
+    """
+    rows = numbered(spark, docs, "near-rows")
+    linked = jaccard.join(spark, rows.select(F.col("_row").alias("doc_id"), "text")).filter("n_links > 0")
+    linked = materialize(spark, linked.select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class")), "near-links")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("_class").agg(F.min(order)["_row"].alias("_row"))
+    copies = linked.join(first.select("_row"), "_row", "left_anti").select("_row")
+    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

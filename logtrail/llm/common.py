@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed at once to Python code that works on whole texts; keeps a worker's memory small.
 ROWS_AT_ONCE = 128
@@ -40,6 +41,11 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df with _row, a number of each row's own; written, so that every reader sees the same numbers."""
+    return materialize(spark, df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, rows):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm.common import slices, table
+from logtrail.llm.common import numbered, slices, table
 
 #: Bytes of item text in one automaton; more items are taken in blocks of about this size.
 BLOCK_BYTES = 8 << 20
@@ -25,7 +25,7 @@ WIDTH = 13
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A-Z to a-z; digits, letters and bytes of longer characters as they are; all else to a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SCAN_SCHEMA = "doc_id long, n_words long, hits array<long>, items array<string>"
+SCAN_SCHEMA = "n_words long, hits array<long>, items array<string>"
 
 
 def normal(text: str | None) -> bytes:
@@ -95,18 +95,12 @@ def blocks(items: DataFrame, id_column: str, text_column: str, block_bytes: int)
         yield [(r.id if r.id is not None else "", r.t) for r in part.toLocalIterator()]
 
 
-def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, docs_id: str = "doc_id", docs_text: str = "text", items_id: str = "item_id", items_text: str = "text") -> DataFrame:
-    """For each document its word count, the places of the words hit and the items found.
-
-    Items whose text exceeds block_bytes are taken in blocks, each with an automaton of bounded size and a pass of
-    its own over the documents, so nothing that grows with the items is held or broadcast whole; the passes meet in a
-    sum by document. Null and empty texts have no words; an item without words has no window; repeated documents
-    give repeated rows with one block. A null item id counts as an empty one.
-    """
-    some = docs.select(docs[docs_id].cast("long").alias("doc_id"), docs[docs_text].alias("text"))
+def passes(some: DataFrame, many: list[list[tuple[str, str | None]]], width: int) -> DataFrame:
+    """For each row of some (key, text) and each block: the key, the word count, the places hit and the items found."""
+    key = some.columns[0]
 
     def passed(block: list[tuple[str, str | None]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = some.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = build(shared.value, width)
@@ -114,19 +108,39 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int
                 found = [scan_text(automaton, text) for text in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([sorted(x[1]) for x in found], pa.list_(pa.int64())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "hits", "items"],
+                    [key, "n_words", "hits", "items"],
                 )
 
-        return some.mapInArrow(run, SCAN_SCHEMA)
+        return some.mapInArrow(run, f"{key} long, {SCAN_SCHEMA}")
 
-    out = [passed(block) for block in blocks(items, items_id, items_text, block_bytes)]
-    if len(out) == 1:
-        return out[0]
+    out = [passed(block) for block in many]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged("hits"), merged("items"))
+    return whole
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """The passes of several blocks met by row number: as many rows in a group as there are blocks."""
+    both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return found.groupBy("_row").agg(F.max("n_words").alias("n_words"), both("hits"), both("items"))
+
+
+def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, docs_id: str = "doc_id", docs_text: str = "text", items_id: str = "item_id", items_text: str = "text") -> DataFrame:
+    """For each document its word count, the places of the words hit and the items found.
+
+    Items whose text exceeds block_bytes are taken in blocks, each with an automaton of bounded size and a pass of
+    its own over the documents. Rows are numbered and written before these, and the passes meet by that number, so
+    each row is judged by itself whatever its id. Null and empty texts have no words; an item without words has no
+    window; repeated documents give repeated rows. A null item id counts as an empty one.
+    """
+    some = docs.select(docs[docs_id].cast("long").alias("doc_id"), docs[docs_text].alias("text"))
+    many = list(blocks(items, items_id, items_text, block_bytes))
+    if len(many) == 1:
+        return passes(some, many, width)
+    rows = numbered(docs.sparkSession, some, "decontaminate-rows")
+    found = merged(passes(rows.select("_row", "text"), many, width))
+    return rows.select("_row", "doc_id").join(found, "_row").drop("_row")
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:
@@ -142,14 +156,16 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, judged text by text within the scan, with their own columns.
 
-    A pass keeps whole rows and needs no shuffle; with several blocks of items there is one pass after another
-    that carries the places hit so far.
+    A pass keeps whole rows and needs no shuffle; with several blocks of items the rows are numbered and written first,
+    and the numbers of those to keep come from the passes merged.
     """
     width, block_bytes = options.get("width", WIDTH), options.get("block_bytes", BLOCK_BYTES)
     many = list(blocks(items, "item_id", "text", block_bytes))
     if len(many) > 1:
-        keep = judged(scan(docs, items, **options)).filter("NOT contaminated").select(F.col("doc_id").alias("_kept"))
-        return docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+        rows = numbered(docs.sparkSession, docs, "decontaminate-rows")
+        found = merged(passes(rows.select("_row", "text"), many, width))
+        keep = judged(found.withColumnRenamed("_row", "doc_id")).filter("NOT contaminated").select(F.col("doc_id").alias("_row"))
+        return rows.join(keep, "_row", "left_semi").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(many[0])
     text_at = docs.columns.index("text")
 

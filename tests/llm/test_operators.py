@@ -199,6 +199,20 @@ def test_decontamination(spark, block_bytes):
     assert text.encode()[lo:hi].decode().lower() == items[3][1]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_decontamination_of_null_and_repeated_ids(spark, block_bytes):
+    rng = random.Random(14)
+    items = [(i, " ".join(words(rng, 25))) for i in range(12)]
+    clean, long = " ".join(words(rng, 60)), " ".join(words(rng, 900))
+    rows = [(None, clean), (None, items[2][1]), (None, None), (7, long), (7, items[5][1]), (7, clean), (8, clean), (8, clean), (9, items[1][1]), (9, items[1][1])]
+    want = [(i, t, *x) for (i, t), x in zip(rows, brute_contamination([t for _, t in rows], items), strict=True)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.judged(decontaminate.scan(docs, benchmark, block_bytes=block_bytes)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((x[0], *x[2:])) for x in want)
+    kept = decontaminate.clean(docs, benchmark, block_bytes=block_bytes).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(str(x[:2]) for x in want if not x[6])
+
+
 def brute_secrets(text):
     assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]

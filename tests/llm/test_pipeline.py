@@ -28,3 +28,12 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in last.select("doc_id").collect()}
     toxic = table(spark, DATA, "labels").filter("toxic = 1").count()
     assert kept[0] - kept[1] <= 2 * toxic and toxicity.FIT_ROWS == 20_000
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (None, c), (None, c + " more"), (None, "lone text of no id"), (6, None), (None, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    whichever = [x for x in got if x in rows[3:5]]
+    assert len(whichever) == 1 and sorted(map(str, (x for x in got if x not in whichever))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[6]]))
