@@ -34,10 +34,14 @@ ANCHORED = {
     "npm": (("npm_",), re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")),
     "pem": (
         ("-----begin ",),
-        re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]+)-----END \1-----"),
+        re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n(?:[\x20\t]+[^\s][^\n]*+\n)*+)*+)([A-Za-z0-9+/=\s]+)-----END \1-----"),
     ),
 }
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: The cipher and first vector of an encrypted traditional key; ciphers of 16-byte blocks, the rest have 8.
+DEK = re.compile(r"^\s*DEK-Info:\s*([A-Z0-9-]+),\s*([0-9A-Fa-f]+)\s*$", re.M)
+WIDE = ("AES", "ARIA", "CAMELLIA", "SEED", "SM4")
+OPENSSH = b"openssh-key-v1\0"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_checked long"
 
@@ -59,9 +63,18 @@ def checksum_holds(kind: str, match: re.Match) -> bool:
     if kind in ("github", "npm"):  # the last six digits: CRC-32 of the thirty before them
         return base62(zlib.crc32(match[1].encode())) == match[2]
     try:
-        der = base64.b64decode("".join(match[2].split()), validate=True)
+        body = base64.b64decode("".join(match[3].split()), validate=True)
     except binascii.Error:
         return False
+    if match[1].startswith("OPENSSH "):
+        return openssh_holds(body)
+    if dek := DEK.search(match[2]):  # encrypted whole blocks, no DER
+        block = 16 if dek[1].startswith(WIDE) else 8
+        return len(dek[2]) == 2 * block and len(body) > 0 and len(body) % block == 0
+    return der_holds(body)
+
+
+def der_holds(der: bytes) -> bool:
     if len(der) < 4 or der[0] != 0x30:  # a DER sequence states its own length
         return False
     if der[1] < 0x80:
@@ -70,6 +83,30 @@ def checksum_holds(kind: str, match: re.Match) -> bool:
     return n <= 4 and int.from_bytes(der[2 : 2 + n], "big") + 2 + n == len(der)
 
 
+def openssh_holds(body: bytes) -> bool:
+    """Whether magic and length-prefixed fields fill the body: cipher, kdf, its options, public keys, private part."""
+    if not body.startswith(OPENSSH):
+        return False
+    at = len(OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        begin = at + 4
+        at = begin + int.from_bytes(body[at:begin], "big")
+        return body[begin:at] if begin <= at <= len(body) else None
+
+    cipher, kdf, options = field(), field(), field()
+    if not cipher or not kdf or options is None or at + 4 > len(body):
+        return False
+    n, at = int.from_bytes(body[at : at + 4], "big"), at + 4
+    if not 1 <= n <= len(body) // 4 or any(field() is None for _ in range(n)):
+        return False
+    private = field()
+    if not private or len(private) % 8 or (cipher == b"none" and private[:4] != private[4:8]):  # two equal check numbers
+        return False
+    return len(body) - at == (16 if b"gcm" in cipher or b"poly1305" in cipher else 0)  # the tag of such ciphers
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()

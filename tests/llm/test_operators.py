@@ -1,5 +1,6 @@
 """The text-corpus operators against brute force, on small tables with odd rows."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -237,6 +238,28 @@ def test_secrets(spark):
     assert sum("github" in r.spans for r in got) == 1 and got[5].spans.count("github") == 1 and got[10].spans.count("pem") == 1
 
 
+def test_private_keys_of_openssh_and_with_headers():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    private = b"\1\2\3\4" * 2 + b"k" * 120
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(private)
+    aead = b"openssh-key-v1\0" + field(b"aes256-gcm@openssh.com") + field(b"bcrypt") + field(b"o" * 24) + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"e" * 128) + b"t" * 16
+    head = lambda cipher, iv: f"Proc-Type: 4,ENCRYPTED\nDEK-Info: {cipher},{iv}\n\n"
+
+    def spans(label, body, headers=""):
+        text = base64.b64encode(body).decode()
+        lines = "\n".join(text[i : i + 70] for i in range(0, len(text), 70))
+        pem = f"-----BEGIN {label}-----\n{headers}{lines}\n-----END {label}-----"
+        found = [x for x in secret_scan.find(f"a key {pem} b") if x[1] == "pem"]
+        assert found in ([], [(6, "pem", 6 + len(pem))])
+        return len(found)
+
+    assert spans("OPENSSH PRIVATE KEY", ssh) == spans("OPENSSH PRIVATE KEY", aead) == 1
+    assert spans("OPENSSH PRIVATE KEY", ssh[:-1]) == spans("OPENSSH PRIVATE KEY", ssh + b"x") == spans("OPENSSH PRIVATE KEY", b"openssh-key-v1\0") == spans("OPENSSH PRIVATE KEY", b"0\3\2\1\0") == 0
+    assert spans("RSA PRIVATE KEY", b"x" * 64, head("AES-128-CBC", "0F" * 16)) == spans("RSA PRIVATE KEY", b"x" * 24, head("DES-EDE3-CBC", "0F" * 8)) == 1
+    assert spans("RSA PRIVATE KEY", b"x" * 63, head("AES-128-CBC", "0F" * 16)) == spans("RSA PRIVATE KEY", b"x" * 64, head("AES-128-CBC", "0F" * 8)) == 0
+    assert spans("RSA PRIVATE KEY", b"0\3\2\1\0", "Comment: mine\n") == spans("EC PRIVATE KEY", b"0\3\2\1\0") == 1
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
