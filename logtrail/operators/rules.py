@@ -111,13 +111,13 @@ def row_signals(events: DataFrame, rules: list[Rule] | None = None) -> DataFrame
 def brute_force(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The first burst of failed logons of each host, user and address: `brute_count` within `brute_window`.
 
-    A group under attack may be a large part of the table, so it is cut by hours for finding bursts, each hour with the
-    last window of the one before as context; hours' first bursts are reduced by key, and only events of the burst
+    A group under attack may be a large part of the table, so it is cut by hours (by windows, if longer) for finding bursts, each
+    hour with the last window of the one before as context; hours' first bursts are reduced by key, and only events of the burst
     found are collected.
     """
     group, width = ["host", "user", "src_ip"], int(config.brute_window.total_seconds() * 1_000_000)
     failed = events.filter(F.col("event_id") == 4625).select(*keys("id", "time", *group)).withColumn("t", F.unix_micros("time"))
-    hour = 3_600_000_000
+    hour = max(3_600_000_000, width)  # a window never reaches past the next slot
     slots = F.array_distinct(F.array(F.floor(F.col("t") / hour), F.floor((F.col("t") + width) / hour)))
     placed = failed.withColumn("slot", F.explode(slots)).withColumn("own", F.floor(F.col("t") / hour) == F.col("slot"))
     back = F.lag("t", config.brute_count - 1).over(Window.partitionBy(*keys(*group), "slot").orderBy("t", "id"))

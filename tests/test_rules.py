@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logtrail.functions import columns as C
 from logtrail.jobs.flagship import find_campaigns, find_incidents
 from logtrail.operators import campaigns, evidence, incidents, layers, normalize, rules
+from logtrail.schema import Config
 
 FIRING = {
     1: [{"event_id": 4625, "user": "a", "ip": "1.2.3.4", "time": f"2026-07-03T10:0{i}:00"} for i in range(3)],
@@ -127,6 +128,15 @@ def test_burst_edges(spark, seconds, fires):
     assert len(got) == fires and (not fires or got[0].event_ids == [0, 1, 2])
 
 
+@pytest.mark.parametrize("window, fires", [(90, True), (200, True), (49, False)])
+def test_bursts_of_windows_over_an_hour(spark, window, fires):
+    base = datetime(2026, 1, 1, 10)
+    rows = [("all", i, base + timedelta(minutes=m), "h", None, None, 4625) for i, m in enumerate((40, 70, 90))]
+    events = spark.createDataFrame(rows, "scope string, id long, time timestamp, host string, user string, src_ip string, event_id long")
+    got = rules.brute_force(events, Config(brute_window=timedelta(minutes=window))).collect()
+    assert len(got) == fires and (not fires or got[0].event_ids == [0, 1, 2])
+
+
 def test_burst_against_a_loop(spark):
     import random
 
