@@ -37,13 +37,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, computes once."""
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df with _row, a number of each row's own; written, so that every reader sees the same numbers."""
-    return materialize(spark, df.withColumn("_row", F.monotonically_increasing_id()), name)
+    """_row, a number of each row's own, and doc, the row as a struct, whatever its columns are named.
+
+    Written, so that every reader sees the same numbers.
+    """
+    row = F.struct(*(df[f"`{c}`"].alias(c) for c in df.columns)).alias("doc")
+    return materialize(spark, df.select(F.monotonically_increasing_id().alias("_row"), row), name)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
