@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtrail.llm.common import materialize, scratch, slices, table
+from logtrail.llm.common import materialize, numbered, scratch, slices, table
 
 DICTIONARY_MAGIC = 0x184D2A5D  # a skippable frame
 FRAME_MAGIC = 0xFD2FB528
@@ -142,19 +142,25 @@ def frames(stream, at_once: int = 1 << 16) -> Iterator[bytes]:
         raise ValueError("the last frame is cut short")
 
 
-def with_references(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """Adds digest and refers_to: of equal payloads of at least `least` bytes the smallest page_id stays whole.
+def with_references(spark: SparkSession, pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+    """page_id, url, html, digest and refers_to: of equal payloads of at least `least` bytes one stays whole.
 
-    Only (page_id, digest) pairs are grouped, summed before the shuffle; the pages themselves move once, by page_id
-    and digest, so many copies of one payload spread over all tasks. Null ids revisit the smallest id, if there is one.
+    That is the one of the smallest page_id; of rows that share it, the one read first, and the others revisit it. A
+    payload of which no row has an id stays whole in every row, since nothing could be referred to. Rows are numbered
+    and written once; only numbers and digests are grouped, summed before the shuffle, and the first of each is
+    written, so that the join has two shuffles of its own and Spark splits a hot payload. The pages move once, by
+    number, so copies of one payload spread over all tasks.
     """
     html = F.coalesce(pages["html"], F.lit(""))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    pairs = rows.filter(F.octet_length("html") >= least).select("page_id", "digest").distinct()
-    first = pairs.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
-    again = pairs.join(first, "digest").filter("page_id IS NULL OR page_id <> first")
-    again = again.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to"))
-    return rows.join(again, (F.coalesce("page_id", F.lit(-(2**63))) == F.col("_id")) & (rows["digest"] == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+    digest = F.sha2(F.encode(html, "UTF-8"), 256)
+    some = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], html.alias("html"), digest.alias("digest"))
+    rows = numbered(spark, some, "warc-rows").select("_row", "doc.*")
+    keys = rows.filter(F.octet_length("html") >= least).select("_row", "page_id", "digest")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")
+    first = keys.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.filter("n > 1 AND first.page_id IS NOT NULL").select("digest", "first")
+    again = keys.join(materialize(spark, first, "warc-first"), "digest").filter("_row <> first._row")
+    return rows.join(again.select("_row", F.col("first.page_id").alias("refers_to")), "_row", "left").drop("_row")
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -177,7 +183,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, archive_bytes: int
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "records", "bytes"])
 
-    return materialize(spark, with_references(pages).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(spark, with_references(spark, pages).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read(manifest: DataFrame, payload: bool = False) -> DataFrame:
