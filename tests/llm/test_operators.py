@@ -194,9 +194,8 @@ def test_decontamination(spark, block_bytes):
     assert [tuple(r)[1:] for r in got] == want
     kept = decontaminate.clean(docs, benchmark, block_bytes=block_bytes)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, x in enumerate(want) if not x[4]]
-    automaton = decontaminate.build([(str(i), t) for i, t in items])
     text = "é! " + items[3][1].title() + " end"
-    (lo, hi), = decontaminate.spans(automaton, text)
+    (lo, hi), = decontaminate.Items([(str(i), t) for i, t in items]).spans(text)
     assert text.encode()[lo:hi].decode().lower() == items[3][1]
 
 
@@ -214,6 +213,17 @@ def test_decontamination_of_null_and_repeated_ids(spark, block_bytes):
     assert sorted(str(tuple(r)) for r in kept) == sorted(str(x[:2]) for x in want if not x[6])
 
 
+def test_seeds_against_brute_force():
+    rng = random.Random(15)
+    for _ in range(60):
+        items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(6)]
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(6)]
+        texts += [" ".join(["c"] * rng.randint(0, 9) + items[k][1].split()[rng.randint(0, 5) :] + ["a"] * rng.randint(0, 9)) for k in range(6)]
+        found = decontaminate.Items([(str(i), t) for i, t in items])
+        got = [(n, len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()) for n, hit, ids in map(found.scan, texts)]
+        assert got == [x[:4] for x in brute_contamination(texts, items)]
+
+
 def brute_secrets(text):
     assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]
@@ -336,6 +346,67 @@ def test_line_dedup(spark):
     assert got[0] == ("a\nb\nc\nd", 0) and got[1] == ("x\ny", 3) and got[2] == ("", 3) and got[3] == ("a", 4) and got[4] == ("a\nb", 0) and got[6] == (None, 0) and got[8] == ("", 3)
 
 
+def brute_lines(rows):
+    """(text, n_lines, n_removed) of rows (id, text) in the order read, as a multiset of what a row becomes."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, r))
+    seen, out = set(), [None] * len(rows)
+    for r in order:
+        lines = (rows[r][1] or "").split("\n")
+        worded = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for k in range(len(worded) - 2):
+            window = tuple(lines[i] for i in worded[k : k + 3])
+            if window in seen:
+                gone.update(worded[k : k + 3])
+            seen.add(window)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else rows[r][1]
+        out[r] = (rows[r][0], kept, len(lines), len(gone))
+    return out
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(21)
+    lines = lambda n: "\n".join(" ".join(words(rng, 3)) for _ in range(n))
+    shared, own = lines(4), [lines(5) for _ in range(9)]
+    rows = [(7, own[0]), (7, own[1] + "\n" + shared), (8, shared), (None, own[2]), (None, own[3] + "\n" + shared), (None, own[4] + "\n\n" + shared), (None, None), (None, "")]
+    rows += [(9, own[5]), (9, own[5]), (9, own[6]), (10, "a\nb\nc"), (10, "a\nb\nc"), (11, " \n\t"), (12, own[7] * 3), (13, "a\n\nb\n \nc\nd")]
+    docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, _row string, n_removed long").coalesce(1)
+    got = line_dedup.dedup(spark, docs)
+    assert got.columns == ["doc_id", "text", "_row", "n_lines", "n_removed"] and {r._row for r in got.collect()} == {"x"}
+    assert sorted(str((r.doc_id, r.text, r.n_lines, r.n_removed)) for r in got.collect()) == sorted(map(str, brute_lines(rows)))
+
+
+def test_warc_of_repeated_and_null_ids(spark, tmp_path):
+    p, q = "p" * 150, "q" * 150
+    rows = [(3, "u", p), (3, "u", p), (3, "v", p), (None, "w", p), (5, "u", p), (4, "u", q), (None, "u", "n" * 120), (None, "u", "n" * 120), (6, "u", "short"), (6, "u", "short")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _row long")
+    got = warc.read(warc.write(spark, pages, f"file://{tmp_path}/w"), payload=True).collect()
+    kinds = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got)
+    assert kinds == {(3, 150, "response", None): 1, (3, 150, "revisit", 3): 2, (None, 150, "revisit", 3): 1, (5, 150, "revisit", 3): 1, (4, 150, "response", None): 1, (None, 120, "response", None): 2, (6, 5, "response", None): 2}
+
+
+def test_hot_groups_are_split(spark):
+    """A window, or a payload, in half of all rows: the join against the firsts has a skew join, not one long task."""
+    n, hot = 4000, "a\nb\nc"
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, hot).otherwise(F.concat_ws("\n", *(F.concat(F.lit(x), F.col("id").cast("string")) for x in "pqr"))).alias("text"))
+    rows = docs.select(F.col("doc_id").alias("_row"), "doc_id", "text").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    skew = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.forceOptimizeSkewedJoin": "false"}
+    for k, v in (skew | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4000"}).items():
+        spark.conf.set(k, v)
+    try:
+        found = line_dedup.later_windows(spark, rows)
+        assert found.count() == n // 2 - 1
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "isSkew" in plan or "skew=true" in plan, plan
+    finally:
+        for k in skew:
+            spark.conf.unset(k)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_grammar():
     s = toxicity.Scorer({"idiot": 3.0})
     kinds = lambda t: [k for _, k, _ in s.matches(t)]
