@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -127,17 +128,21 @@ def brute_links(texts, n=5):
             x = parent[x]
         return x
 
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
-            if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+    holders = collections.defaultdict(list)
+    for j, x in enumerate(sets):
+        shared = collections.Counter(i for t in x for i in holders[t])
+        for i, both in shared.items():
+            if 10 * both >= 8 * (len(sets[i]) + len(x) - both):
                 links[i] += 1
                 links[j] += 1
                 parent[max(root(i), root(j))] = min(root(i), root(j))
+        for t in x:
+            holders[t].append(j)
     return [(root(i), links[i]) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("leaf, block", [(256, 256), (3, 4)])
-def test_jaccard_join(spark, leaf, block):
+@pytest.mark.parametrize("leaf, block, deepest", [(256, 256, 6), (3, 4, 6), (3, 256, 1)])
+def test_jaccard_join(spark, leaf, block, deepest):
     texts = corpus()
     rng = random.Random(9)
     base = words(rng, 200)
@@ -146,12 +151,36 @@ def test_jaccard_join(spark, leaf, block):
         for _ in range(rng.randint(0, 6)):
             near[rng.randrange(200)] = rng.choice("xyz") * 3
         texts.append(" ".join(near))
-    got = jaccard.join(spark, table(spark, texts), leaf, block).orderBy("doc_id").collect()
+    got = jaccard.join(spark, table(spark, texts), leaf, block, deepest).orderBy("doc_id").collect()
     assert [(r.class_id, r.n_links) for r in got] == brute_links(texts)
 
 
-def test_recall_of_runs():
-    assert jaccard.runs(1) <= jaccard.runs(2) <= jaccard.runs(3) < 20
+@pytest.mark.parametrize("leaf", [256, 4])
+def test_recall_near_the_least_similarity(spark, leaf):
+    """Pairs of 0.80 to 0.85, among others that share their vocabulary, against all pairs; also where all buckets split."""
+    rng, texts, want = random.Random(31), [], 0
+    pool = words(rng, 3000)
+    while want < 400:
+        a = [rng.choice(pool) for _ in range(rng.randint(60, 150))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), max(1, round(len(a) * rng.uniform(0.016, 0.024)))):
+            b[at] = "changed" + str(rng.randrange(10**6))
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            texts += [" ".join(a), " ".join(b)]
+            want += 1
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark, table(spark, texts), leaf).collect()}
+    met = sum(got[2 * i] >= 1 for i in range(want))
+    assert met >= 0.99 * want and set(got.values()) <= {0, 1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_jaccard_join_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    want = brute_links([r.text for r in docs])
+    ids = [r.doc_id for r in docs]
+    got = jaccard.op1_jaccard_join(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.class_id, r.n_links) for r in got] == [(i, ids[c], n) for i, (c, n) in zip(ids, want, strict=True)]
 
 
 def test_components(spark):
