@@ -4,10 +4,10 @@ A document is its set of five-word shingles; documents of one set are one class.
 hashes, two of which agree as often as the sets are similar. A run starts with all classes in one bucket and splits
 buckets recursively: every class goes to the children of a few of its own tokens (coordinate and value), sampled by a
 hash of path and token, so that similar sets follow common paths. Buckets that are small are compared by brute force
-on the sketches. A larger one is held against one of its members, the pivot: what is like it becomes one group with it
-and, if very like it, leaves the bucket; the rest, if any, is split on. `runs` repeats bring the chance that a pair of
-the least similarity meets to `RECALL`, whatever the depth. What meets and looks similar is a candidate group; within
-each, all pairs are compared on their whole sets, in blocks, so that the result is exact for every pair of a group.
+on the sketches; larger ones are split on, unless all they hold is known to be one group by then. `runs` repeats bring
+the chance that a pair of the least similarity meets to `RECALL`, whatever the depth. What meets and looks similar is a
+candidate group; within each, all pairs are compared on their whole sets, in blocks, so that the result is exact for
+every pair of a group.
 """
 
 from __future__ import annotations
@@ -32,17 +32,13 @@ WORDS, SIMILAR, RECALL = 5, 0.8, 0.9995
 COORDS = 128
 #: Splits at most. Only what is neither alike nor unlike (similarities near 0.6 throughout) is still large by then; it is
 #: compared in blocks.
-DEEPEST = 6
+DEEPEST = 10
 #: Children that a class goes to at each split, about, for one that it shares with a class of the least similarity.
 BRANCHING = 1.5
 #: Classes in a bucket that is compared, at most; in a candidate group whose texts meet in one place, or in a block.
-LEAF, BLOCK = 256, 512
+LEAF, BLOCK = 64, 512
 #: Coordinates that agree in a candidate pair: five deviations below the least similarity.
 AGREE = math.floor(COORDS * (SIMILAR - 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDS)))
-#: Coordinates that agree with a pivot in what leaves a large bucket. What such a class is linked to differs from the
-#: pivot by 1/16 more than from the class, so it agrees with the pivot in 93 of 128 on average, three deviations above
-#: AGREE: it is in the pivot's group as well.
-CLOSE = COORDS - COORDS // 16
 MULTIPLY = (mix(np.arange(1, COORDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 FLIP = (mix(np.arange(1001, COORDS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 COORD = np.arange(COORDS, dtype=np.uint64) << np.uint64(40)
@@ -137,18 +133,6 @@ def split(rows: DataFrame) -> DataFrame:
     return rows.select("path", "node", "low", "high").mapInArrow(run, "path long, node long")
 
 
-def held_against(rows: DataFrame) -> DataFrame:
-    """path, node, pivot and the number of coordinates that agree, of rows (path, node, low, pivot, pivot_low)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("low", "pivot_low"))
-            agree = pa.array((a == b).sum(axis=1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "node", "pivot")), agree], ["path", "node", "pivot", "agree"])
-
-    return rows.select("path", "node", "pivot", "low", "pivot_low").mapInArrow(run, "path long, node long, pivot long, agree int")
-
-
 def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Tables of whole groups, of about so many rows, from batches sorted by the keys."""
     held = None
@@ -194,36 +178,37 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def alike(bucketed: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (u, v) that span what looks similar in each bucket of (keys, node, low, side).
+    """Edges (u, v) that span what looks similar in each bucket of (keys, node, root, side, low).
 
-    Within a bucket of one side (side 0 everywhere) all pairs are compared, else those of side 0 with side 1.
+    Within a bucket of one side (side 0 everywhere) all pairs are compared, else those of side 0 with side 1; in either
+    case only where their roots differ, as others are known to be of one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _stretches(batches, keys, 8192):
             starts = _starts(t, keys)
-            nodes, side = (t.column(c).to_numpy() for c in ("node", "side"))
+            nodes, side, group = (t.column(c).to_numpy() for c in ("node", "side", "root"))
             values = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, COORDS)
             pairs = []
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
                 two = side[lo:hi].any()
                 for i in range(lo, hi - 1):
-                    others = np.arange(i + 1, hi)
-                    if two:
-                        others = others[side[others] != side[i]]
+                    apart = group[i + 1 : hi] != group[i]
+                    others = i + 1 + np.flatnonzero(apart & (side[i + 1 : hi] != side[i]) if two else apart)
                     if len(others) > 16:  # many at once here, few in one go below
                         others = others[(values[others] == values[i]).sum(axis=1) >= AGREE]
-                    pairs.append((np.full(len(others), i), others))
+                    if len(others):
+                        pairs.append((np.full(len(others), i), others))
             if not pairs:
                 continue
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             near = [(values[a[i : i + 65536]] == values[b[i : i + 65536]]).sum(axis=1) >= AGREE for i in range(0, len(a), 65536)]
-            near = np.concatenate([*near, np.zeros(0, bool)])
+            near = np.concatenate(near)
             root = _roots(len(nodes), a[near], b[near])
             linked = np.flatnonzero(root != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["u", "v"])
 
-    some = bucketed.select(*keys, "node", "side", "low").repartition(*keys)
+    some = bucketed.select(*keys, "node", "side", "root", "low").repartition(*keys)
     return some.sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
 
 
@@ -235,36 +220,50 @@ def in_blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
     return out.withColumns({"lo": lo, "hi": hi, "side": (F.col("part") > F.col("other")).cast("int")}).drop("part", "other")
 
 
-def meetings(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
-    """Edges (u, v) between classes that meet in a bucket and look similar, as many as span each bucket's groups.
+def opened(spark: SparkSession, rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """path, node, root and size of the buckets (path, node) that hold classes of two groups or more.
 
-    Sizes and pivots are written before the join back to the rows, so that Spark can split the rows of a hot path.
+    What a bucket's rows are joined with is counted first and written, so that Spark can split the rows of a hot path.
+    """
+    if groups is None:
+        rows = materialize(spark, rows.withColumn("root", F.col("node")), "paths")
+    else:
+        rows = rows.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        rows = materialize(spark, rows.select("path", "node", F.coalesce("root", "node").alias("root")), "paths")
+    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b"))
+    size = materialize(spark, size.filter("a <> b").select("path", "size"), "sizes")
+    return materialize(spark, rows.join(size, "path"), "buckets")
+
+
+def grouped(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
+    """node and root of the candidate groups: what meets in a bucket and looks similar, and what that connects.
+
+    Buckets of the first split that are large are compared in parts too, dealt anew for each path: what is alike in
+    much of a bucket becomes one group by this. Of large buckets those that hold more than one group are split on. What
+    is large at the last split is compared in blocks, each with each other.
     """
-    rows, found = split(classes.select(F.lit(None).cast("long").alias("path"), "node", "low", "high")), []
-    for level in range(1, deepest + 1):
-        rows = materialize(spark, rows, "paths")
-        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
-        size = materialize(spark, size, "sizes")
-        small = rows.join(size.filter(F.col("size") <= leaf).select("path"), "path")
-        small = small.join(classes.select("node", "low"), "node").withColumn("side", F.lit(0))
-        found.append(materialize(spark, alike(small, ["path"]).distinct(), "edges"))
-        large = size.filter(F.col("size") > leaf)
+    low, sketches = classes.select("node", "low"), classes.select("node", "low", "high")
+    rows = opened(spark, split(sketches.select(F.lit(None).cast("long").alias("path"), "node", "low", "high")), None)
+    part = F.pmod(F.xxhash64("path", "node"), F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(1))
+    first = rows.join(low, "node").withColumns({"part": part.cast("int"), "side": F.lit(0)})
+    edges = [materialize(spark, alike(first, ["path", "part"]).distinct(), "edges")]
+    groups = materialize(spark, components(spark, edges[0]), "groups")
+    for level in range(2, deepest + 1):
+        large = rows.filter(F.col("size") > leaf).select("path", "node")
         if not large.limit(1).count():
             break
-        pivots = large.join(classes.select(F.col("node").alias("pivot"), F.col("low").alias("pivot_low")), "pivot")
-        near = rows.join(materialize(spark, pivots, "pivots"), "path").join(classes.select("node", "low"), "node")
-        near = materialize(spark, held_against(near), "near")
-        found.append(materialize(spark, near.filter((F.col("agree") >= AGREE) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "edges"))
-        mixed = materialize(spark, near.filter(F.col("agree") < AGREE).select("path").distinct(), "mixed")
-        rest = near.filter(F.col("agree") < CLOSE).join(mixed, "path").select("path", "node")
-        if level < deepest:
-            rows = split(rest.join(classes.select("node", "low", "high"), "node"))
-            continue
-        rest = materialize(spark, rest, "rest")
-        parts = rest.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("parts"))
-        blocks = in_blocks(rest.join(materialize(spark, parts, "parts"), "path"), "path", "parts")
-        found.append(materialize(spark, alike(blocks.join(classes.select("node", "low"), "node"), ["path", "lo", "hi"]).distinct(), "edges"))
-    return reduce(DataFrame.unionByName, found)
+        if level == 2:  # the groups were not known before
+            large = opened(spark, large, groups).select("path", "node")
+        rows = opened(spark, split(large.join(sketches, "node")), groups)
+        small = rows.filter(F.col("size") <= leaf).join(low, "node").withColumn("side", F.lit(0))
+        edges.append(materialize(spark, alike(small, ["path"]).distinct(), "edges"))
+    large = rows.filter(F.col("size") > leaf)
+    if large.limit(1).count():
+        blocks = in_blocks(large.withColumn("parts", F.ceil(F.col("size") / leaf)), "path", "parts")
+        edges.append(materialize(spark, alike(blocks.join(low, "node"), ["path", "lo", "hi"]).distinct(), "edges"))
+    if len(edges) == 1:
+        return groups
+    return materialize(spark, components(spark, reduce(DataFrame.unionByName, edges)), "groups")
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -419,7 +418,7 @@ def join(spark: SparkSession, docs: DataFrame, leaf: int = LEAF, block: int = BL
         F.min("doc_id").alias("copy_id"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("low").alias("low"), F.first("high").alias("high")
     )
     classes = materialize(spark, classes, "classes")
-    groups = materialize(spark, components(spark, meetings(spark, classes, leaf, deepest)), "groups")
+    groups = grouped(spark, classes, leaf, deepest)
     size = materialize(spark, groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     members = materialize(spark, groups.join(size, "root").join(classes.select("node", "n", "rid"), "node"), "members")
     found = links(spark, members, zipped(docs, ["rid"]), block)

@@ -141,7 +141,7 @@ def brute_links(texts, n=5):
     return [(root(i), links[i]) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("leaf, block, deepest", [(256, 256, 6), (3, 4, 6), (3, 256, 1)])
+@pytest.mark.parametrize("leaf, block, deepest", [(256, 256, 10), (3, 4, 10), (3, 256, 2), (3, 256, 1)])
 def test_jaccard_join(spark, leaf, block, deepest):
     texts = corpus()
     rng = random.Random(9)
