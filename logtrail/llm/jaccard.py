@@ -32,11 +32,11 @@ WORDS, SIMILAR, RECALL = 5, 0.8, 0.9995
 COORDS = 128
 #: Splits at most. Only what is neither alike nor unlike (similarities near 0.6 throughout) is still large by then; it is
 #: compared in blocks.
-DEEPEST = 10
+DEEPEST = 4
 #: Children that a class goes to at each split, about, for one that it shares with a class of the least similarity.
 BRANCHING = 1.5
 #: Classes in a bucket that is compared, at most; in a candidate group whose texts meet in one place, or in a block.
-LEAF, BLOCK = 64, 512
+LEAF, BLOCK = 256, 512
 #: Coordinates that agree in a candidate pair: five deviations below the least similarity.
 AGREE = math.floor(COORDS * (SIMILAR - 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDS)))
 MULTIPLY = (mix(np.arange(1, COORDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
