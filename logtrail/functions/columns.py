@@ -1,14 +1,12 @@
-"""Column functions used by the rules and checks; all run inside the JVM but the IPv6 test."""
+"""Column functions used by the rules and checks; all run inside the JVM."""
 
 from __future__ import annotations
 
 import ipaddress
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from logtrail.schema import TACTIC_STOPWORDS
 
@@ -20,6 +18,11 @@ PRIVATE = (
     "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
 PUBLIC_AGAIN = ("192.0.0.9/32", "192.0.0.10/32")
+PRIVATE6 = (
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10",
+)
+PUBLIC_AGAIN6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+HEXTETS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
 
 
 def truthy(c: Column) -> Column:
@@ -67,25 +70,46 @@ def _within(number: Column, blocks: tuple[str, ...]) -> Column:
     return out
 
 
-@F.pandas_udf(BooleanType())
-def _external6(ips: pd.Series) -> pd.Series:
-    def one(ip: str) -> bool:
-        try:
-            found = ipaddress.ip_address(ip)
-        except ValueError:
-            return False
-        return not found.is_private
-
-    return ips.map({x: one(x) for x in ips.dropna().unique()}).fillna(False).astype(bool)
+def _within6(groups: Column, blocks: tuple[str, ...]) -> Column:
+    """Whether eight 16-bit numbers lie in a block: those of its whole groups equal, the next between its ends."""
+    out = F.lit(False)
+    for block in map(ipaddress.ip_network, blocks):
+        ends = [int(x) for x in (block[0], block[-1])]
+        inside = F.lit(True)
+        for i in range(-(-block.prefixlen // 16)):
+            low, high = (end >> (112 - 16 * i) & 0xFFFF for end in ends)
+            inside = inside & F.get(groups, F.lit(i)).between(low, high)
+        out = out | inside
+    return out
 
 
-def is_external_ip(ip: Column, ipv6: bool = True) -> Column:
-    """Whether the text is an address outside the special blocks. Only texts with a colon ever reach Python."""
-    number = F.when(ip.rlike(IPV4), _number(ip))
-    v4 = number.isNotNull() & (~_within(number, PRIVATE) | _within(number, PUBLIC_AGAIN))
-    if not ipv6:
-        return F.coalesce(v4, F.lit(False))
-    return F.when(ip.contains(":"), _external6(F.when(ip.contains(":"), ip))).otherwise(F.coalesce(v4, F.lit(False)))
+def _external6(ip: Column) -> Column:
+    """Whether the text is an IPv6 address outside the special blocks; of one that maps an IPv4 address that one counts."""
+    text = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
+    last = F.substring_index(text, ":", -1)
+    tail = _number(last)
+    as_hex = F.concat(F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(0xFFFF)))))
+    text = F.when(last.rlike(IPV4), F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(last)), as_hex)).otherwise(text)
+    groups = lambda at: F.filter(F.split(F.coalesce(F.get(F.split(text, "::"), F.lit(at)), F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(0), groups(1)
+    n = F.size(left) + F.size(right)
+    valid = F.when(text.contains("::"), text.rlike(rf"^(?:{HEXTETS})?::(?:{HEXTETS})?$") & (n <= 7)).otherwise(text.rlike(rf"^{HEXTETS}$") & (n == 8))
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - n), right)
+    numbers = F.transform(every, lambda x: F.conv(x, 16, 10).cast("bigint"))
+    mapped = F.exists(F.slice(numbers, 1, 5), lambda x: x != 0)
+    mapped = ~mapped & (F.get(numbers, F.lit(5)) == 0xFFFF)
+    v4 = F.get(numbers, F.lit(6)) * 65536 + F.get(numbers, F.lit(7))
+    return F.when(valid, F.when(mapped, _external4(v4)).otherwise(~_within6(numbers, PRIVATE6) | _within6(numbers, PUBLIC_AGAIN6)))
+
+
+def _external4(number: Column) -> Column:
+    return ~_within(number, PRIVATE) | _within(number, PUBLIC_AGAIN)
+
+
+def is_external_ip(ip: Column) -> Column:
+    """Whether the text is an address outside the special blocks."""
+    v4 = F.when(ip.rlike(IPV4), _external4(_number(ip)))
+    return F.coalesce(F.when(ip.contains(":"), _external6(ip)).otherwise(v4), F.lit(False))
 
 
 def utc_time(value: Column) -> Column:

@@ -10,19 +10,12 @@ from pyspark.sql import functions as F
 from logtrail.functions.columns import iso
 from logtrail.operators import campaigns, incidents, rules
 from logtrail.schema import DEFAULT, Config
-from logtrail.sources.scratch import scratch
+from logtrail.sources.scratch import written
 
 #: The test tables are denser in time than a day of logs: campaigns are linked within ten minutes there.
 TEST_CONFIG = Config(campaign_window=timedelta(minutes=10))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of the shared folder: computed once for all that reads it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def find_incidents(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return incidents.incidents(written(rules.signals(events, config), "signals"), config)
 

@@ -191,7 +191,7 @@ ORACLE_SQL = {
     "doc_embed_text": sql("SELECT source, \"at\", md5(CASE WHEN heading <> '' THEN heading || '. ' || content ELSE content END) AS text FROM par", DOC),
     "ret_cosine": sql(f"SELECT id, round({COSINE}, 6) AS similarity FROM (SELECT a.id, a.e, b.e AS qe FROM v a JOIN v b ON b.id = a.id + 1)", VEC),
     "ret_topk": sql(f"SELECT qid, CAST(rank AS INT) AS rank, id, round(s, 3) AS similarity FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT qid, id, {COSINE} AS s FROM q CROSS JOIN v)) WHERE rank <= 3 AND s >= 0.35", VEC),
-    "ret_refusal": sql(f"SELECT q.qid, m >= 0.9 AS answered, CASE WHEN m < 0.9 THEN 'The knowledge base does not cover this.' END AS answer FROM (SELECT qid, MAX({COSINE}) AS m FROM q JOIN v ON id % 25 <> 0 GROUP BY qid) q", VEC),
+    "ret_refusal": sql(f"SELECT q.qid, m >= 0.5 AS answered, CASE WHEN m < 0.5 THEN 'The knowledge base does not cover this.' END AS answer FROM (SELECT qid, MAX({COSINE}) AS m FROM q JOIN v ON id <> qid GROUP BY qid) q", VEC),
     "ret_runbook": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, 'incident response for ' || string_agg(n, ', ' ORDER BY rn) AS query FROM (SELECT i.inc_idx, t.rn, t.technique || ' ' || c.name AS n FROM inc i JOIN techs t ON t.host = i.host AND t.anchor = i.anchor JOIN cat c ON c.technique = t.technique) GROUP BY inc_idx", *INC, CATALOGUE),
     "ret_invented_citations": "SELECT doc_id, array_to_string(list_sort(['a b.md', 'zz-' || lang || '.md']), ',') AS invented FROM documents",
     "ret_technique_match": sql(f"SELECT qid, CAST(rank AS INT) AS rank, technique, round(s, 3) AS similarity FROM (SELECT qid, technique, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT qid, v.id, k.technique, {COSINE} AS s FROM q CROSS JOIN v JOIN (SELECT technique, row_number() OVER (ORDER BY technique) - 1 AS id FROM cat) k ON k.id = v.id)) WHERE rank <= 2", CATALOGUE, VEC),

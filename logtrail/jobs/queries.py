@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtrail import schema as S
 from logtrail.functions import columns as C
-from logtrail.jobs.flagship import TEST_CONFIG, find_campaigns, find_incidents, flat, written
+from logtrail.jobs.flagship import TEST_CONFIG, find_campaigns, find_incidents, flat
 from logtrail.operators import campaigns, evidence, incidents, layers, normalize, passages, reports, retrieval, rules
 from logtrail.sources.logs import json_array_logs, json_lines_logs, win_records
-from logtrail.sources.scratch import scratch
+from logtrail.sources.scratch import scratch, written
 from logtrail.sources.views import raw_records, raw_table, security_events, windows_records, written_reports
 from logtrail.streaming.rules import stream_signals
 
@@ -88,7 +88,7 @@ def norm_drop_untimed(spark, sf):
 
 @query
 def norm_assign_id(spark, sf):
-    return normalize.with_ids(spark, normalize.drop_untimed(_normalized(spark, sf)), rows_a_range=700).select("ordinal", "id")
+    return normalize.with_ids(normalize.drop_untimed(_normalized(spark, sf))).select("ordinal", "id")
 
 
 @query
@@ -397,10 +397,10 @@ def ret_topk(spark, sf):
 
 @query
 def ret_refusal(spark, sf):
-    """Questions with no passage near but themselves are refused."""
+    """Questions with no passage near but themselves are refused: all vectors are searched, a question's own left out."""
     q = _questions(spark, sf)
-    hits = retrieval.top_k(q, _vectors(spark, sf).filter("id % 25 <> 0"), 1, 0.9)
-    return retrieval.answered(q, hits)
+    hits = retrieval.top_k(q, _vectors(spark, sf), 2, 0.5)
+    return retrieval.answered(q, hits.filter("id <> qid"))
 
 
 @query
@@ -425,7 +425,7 @@ def ret_invented_citations(spark, sf):
 @query
 def ret_technique_match(spark, sf):
     """Nearest techniques without a floor; vectors of the catalogue's rank stand for its texts."""
-    known = S.catalogue(spark).select((F.dense_rank().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.orderBy("technique")) - 1).alias("id"), "technique")
+    known = S.catalogue(spark).select((F.dense_rank().over(Window.orderBy("technique")) - 1).alias("id"), "technique")
     v = _vectors(spark, sf).join(F.broadcast(known), "id")
     near = retrieval.top_k(_questions(spark, sf), v.select("id", "embedding"), 2, None)
     return near.join(F.broadcast(known), "id").select("qid", "rank", "technique", "similarity")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtrail.operators.incidents import within_scope
 from logtrail.schema import DEFAULT, GENERIC_ACCOUNTS, Config
+from logtrail.sources.scratch import in_sequence, shared_dir
 
 
 def entities(incidents: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def components(linked: DataFrame) -> DataFrame:
     """
     context = linked.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(linked.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_dir(linked.sparkSession))
     edges = linked.unionByName(linked.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = edges.groupBy("scope", "a").agg(F.least(F.col("a"), F.min("b")).alias("root")).checkpoint()
     while True:
@@ -71,7 +72,7 @@ def components(linked: DataFrame) -> DataFrame:
 
 def number(roots: DataFrame) -> DataFrame:
     """scope, inc_idx, campaign_id: 1, 2 ... by the smallest incident of each component of two or more."""
-    ids = roots.select("scope", "root").distinct().withColumn("campaign_id", F.row_number().over(Window.partitionBy("scope").orderBy("root")))
+    ids = within_scope(in_sequence(roots.select("scope", "root").distinct(), ["scope", "root"], "_n"), "_n", "campaign_id", 1)
     return roots.join(ids, ["scope", "root"]).select("scope", "inc_idx", "campaign_id")
 
 

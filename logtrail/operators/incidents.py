@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logtrail.functions.columns import severity_rank
 from logtrail.schema import DEFAULT, Config, keys
+from logtrail.sources.scratch import in_sequence
 
 
 def hop(micros: np.ndarray, width: int) -> np.ndarray:
@@ -66,10 +67,21 @@ def build(assigned: DataFrame) -> DataFrame:
 
 
 def rank(incidents: DataFrame) -> DataFrame:
-    """Adds inc_idx, from 0 within a scope: by severity, then the host whose first signal is earliest, then time."""
-    first = F.min(F.struct(F.col("start"), F.get("signals", F.lit(0))["rule_ord"], F.get("signals", F.lit(0))["first_id"])).over(Window.partitionBy(*keys("host")))
-    order = Window.partitionBy("scope").orderBy(F.desc("rank"), "_first", "host", "start")
-    return incidents.withColumn("_first", first).withColumn("inc_idx", F.row_number().over(order) - 1).drop("_first")
+    """Adds inc_idx, from 0 within a scope: by severity, then the host whose first signal is earliest, then time.
+
+    All scopes are sorted at once by ranges and numbered, and a scope's numbers less its first: no scope is one task.
+    """
+    place = F.struct(F.col("start"), F.get("signals", F.lit(0))["rule_ord"], F.get("signals", F.lit(0))["first_id"])
+    first = incidents.groupBy(*(F.col(c).alias(f"_{c}") for c in keys("host"))).agg(F.min(place).alias("_first"))
+    rows = incidents.join(first, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys("host")]).drop("_scope", "_host")
+    rows = in_sequence(rows, ["scope", F.desc("rank"), "_first", "host", "start"], "_n").drop("_first")
+    return within_scope(rows, "_n", "inc_idx", 0)
+
+
+def within_scope(rows: DataFrame, sequence: str, number: str, start: int) -> DataFrame:
+    """rows with numbers from `start` in each scope, from one sequence over all scopes in turn."""
+    least = rows.groupBy("scope").agg(F.min(sequence).alias("_least"))
+    return rows.join(least, "scope").withColumn(number, (F.col(sequence) - F.col("_least") + start).cast("int")).drop(sequence, "_least")
 
 
 def incidents(signals: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -2,67 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtrail.functions.columns import to_integer, truthy, utc_time
 from logtrail.schema import ALIASES, EVENT_COLUMNS
+from logtrail.sources.scratch import in_sequence, written
 
 
-def field(entries: Column, aliases: list[str]) -> Column:
-    """The first alias with a value that is not null; of keys that differ by case only the last counts."""
-    named = lambda alias: F.filter(entries, lambda e: F.lower(e["key"]) == alias)
-    return F.coalesce(*(F.try_element_at(named(alias), F.lit(-1))["value"] for alias in aliases))
+def field(keys: Column, values: Column, aliases: list[str]) -> Column:
+    """The first alias with a value that is not null. keys: in lower case, the last first; the first found counts."""
+    named = lambda alias: F.try_element_at(values, F.nullif(F.array_position(keys, alias), F.lit(0)).cast("int"))
+    return F.coalesce(*(named(alias) for alias in aliases))
+
+
+def is_record(raw: Column) -> Column:
+    """Whether the text is a JSON object."""
+    return F.coalesce(raw.rlike(r"^\s*\{") & F.from_json(raw, "map<string,string>").isNotNull(), F.lit(False))
 
 
 def valid_records(raw: DataFrame) -> DataFrame:
     """Raises on records that are no JSON object, naming the first three places; nothing is written before this."""
-    bad = raw.filter(~F.coalesce(F.col("raw").rlike(r"^\s*\{"), F.lit(False)) | F.from_json("raw", "map<string,string>").isNull()).select("ordinal").limit(3).collect()
-    if bad:
-        raise ValueError(f"records that are no objects, at {', '.join(str(r.ordinal) for r in bad)}")
-    return raw
+    return _checked(raw, raw.filter(~is_record(F.col("raw"))))
+
+
+def _checked(out: DataFrame, bad: DataFrame) -> DataFrame:
+    if places := bad.select("ordinal").limit(3).collect():
+        raise ValueError(f"records that are no objects, at {', '.join(str(r.ordinal) for r in places)}")
+    return out
+
 
+def normalize(raw: DataFrame, told: bool = False) -> DataFrame:
+    """Unified columns for records (raw, ordinal; scope, file and block if there are such); narrow, one parse of each.
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Unified columns for records (raw, ordinal, scope if there is one); narrow, one parse of each record."""
+    With told also _record: whether the text is a JSON object.
+    """
     scope = F.col("scope") if "scope" in raw.columns else F.lit("all")
-    parsed = raw.select(scope.alias("scope"), "ordinal", "raw", F.map_entries(F.from_json("raw", "map<string,string>")).alias("e"), F.get_json_object("raw", "$.http_request").alias("http"))
+    place = [c for c in ("file", "block") if c in raw.columns]
+    parsed = raw.select(scope.alias("scope"), *place, "ordinal", "raw", F.reverse(F.map_entries(F.from_json("raw", "map<string,string>"))).alias("e"), F.get_json_object("raw", "$.http_request").alias("http"))
+    parsed = parsed.withColumns({"k": F.transform("e", lambda e: F.lower(e["key"])), "v": F.transform("e", lambda e: e["value"])})
+    of = lambda names: field(F.col("k"), F.col("v"), names)
     http = lambda k: truthy(F.get_json_object("http", f"$.{k}"))
     status = lambda c: F.nullif(to_integer(c), F.lit(0))
     out = parsed.select(
-        "scope", "ordinal", "raw", *(field(F.col("e"), names).alias(k) for k, names in ALIASES.items()), "http",
-        *(field(F.col("e"), [k]).alias(f"_{k}") for k in ("url", "method", "status", "http_method", "http_status")), field(F.col("e"), ["task_name"]).alias("_task1"), field(F.col("e"), ["taskname"]).alias("_task2"),
+        "scope", *place, "ordinal", "raw", *(of(names).alias(k) for k, names in ALIASES.items()), "http", (F.col("e").isNotNull() & F.col("raw").rlike(r"^\s*\{")).alias("_record"),
+        *(of([k]).alias(f"_{k}") for k in ("url", "method", "status")), of(["task_name"]).alias("_task1"), of(["taskname"]).alias("_task2"),
     )
     task = F.coalesce(truthy(F.col("_task1")), truthy(F.col("_task2")))
     empty = F.coalesce(F.col("cmdline"), F.lit("")) == ""
     return out.select(
-        "scope", "ordinal", utc_time(F.col("time")).alias("time"), "host", "source", to_integer(F.col("event_id")).alias("event_id"), "user", "src_ip", "dst_ip",
+        "scope", *place, "ordinal", utc_time(F.col("time")).alias("time"), "host", "source", to_integer(F.col("event_id")).alias("event_id"), "user", "src_ip", "dst_ip",
         to_integer(F.col("dst_port")).alias("dst_port"), "process", F.when(empty & task.isNotNull(), F.concat(F.lit("TaskName="), task)).otherwise(F.col("cmdline")).alias("cmdline"),
         "parent", "category", "message", "tool", F.coalesce(http("url"), F.col("_url")).alias("url"), F.coalesce(http("method"), F.col("_method")).alias("http_method"),
-        F.coalesce(status(F.get_json_object("http", "$.status")), to_integer(F.col("_status"))).alias("http_status"), "raw",
+        F.coalesce(status(F.get_json_object("http", "$.status")), to_integer(F.col("_status"))).alias("http_status"), "raw", *(["_record"] if told else []),
     )
 
 
-def drop_untimed(events: DataFrame) -> DataFrame:
-    """Without rows that have no usable time; an error if that is all of a table that is not empty."""
+def count_untimed(events: DataFrame) -> tuple[int, int]:
+    """Events, and those without a usable time; an error if that is all of a table that is not empty."""
     told = events.agg(F.count(F.lit(1)).alias("n"), F.count("time").alias("timed")).first()
     if told.n and not told.timed:
         raise ValueError(f"none of {told.n} events has a usable time")
+    return told.n, told.n - told.timed
+
+
+def drop_untimed(events: DataFrame) -> DataFrame:
+    """Without rows that have no usable time; see count_untimed for how many these are."""
+    count_untimed(events)
     return events.filter(F.col("time").isNotNull())
 
 
-def with_ids(spark: SparkSession, events: DataFrame, order: tuple[str, ...] = ("ordinal",), rows_a_range: int = 1_000_000) -> DataFrame:
-    """Ids 1, 2, 3 ... in the order given: rows are numbered within ranges of the first key, and ranges by their counts."""
-    ranged = events.withColumn("_range", F.floor(F.col(order[0]) / rows_a_range))
-    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("own", own).join(counts, "_range").withColumn("id", F.col("before") + F.col("own")).drop("_range", "own", "before")
+def with_ids(events: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Ids 1, 2, 3 ... in the order given, else by file, block of the file and place in it, as far as there are such."""
+    order = order or [c for c in ("file", "block", "ordinal") if c in events.columns]
+    return in_sequence(events, order, "id").withColumn("id", F.col("id") + 1)
 
 
 def ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    events = with_ids(spark, drop_untimed(normalize(valid_records(raw))))
-    return events.select(*EVENT_COLUMNS)
+    """Events with ids. Records are parsed once and written; checks and order read what is written."""
+    parsed = written(normalize(raw, told=True), "normalized")
+    _checked(parsed, parsed.filter(~F.coalesce("_record", F.lit(False))))
+    return with_ids(drop_untimed(parsed.drop("_record"))).select(*EVENT_COLUMNS)
 
 
 def write_events(events: DataFrame, path: str) -> int:

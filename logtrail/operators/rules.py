@@ -133,12 +133,18 @@ def brute_force(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def kerberos_spray(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Hosts with `spray_count` failed pre-authentications or more, whenever; counts are summed before the shuffle."""
-    some = events.filter(F.col("event_id") == 4771)
+    """Hosts with `spray_count` failed pre-authentications or more, whenever.
+
+    Hosts are counted first, summed before the shuffle, and only events of those with enough are collected: the rule has
+    no limit in time, and a signal names all its events.
+    """
+    some = events.filter(F.col("event_id") == 4771).select(*keys("host", "id", "time", "user", "src_ip"))
+    many = some.groupBy(*(F.col(c).alias(f"_{c}") for c in keys("host"))).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= config.spray_count)
+    some = some.join(many, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys("host")])
     out = some.groupBy(*keys("host")).agg(
         F.count(F.lit(1)).alias("n"), F.min_by("user", F.struct("time", "id")).alias("user"), F.min("time").alias("time"),
         F.transform(F.array_sort(F.collect_list(F.struct("time", "id"))), lambda x: x["id"]).alias("event_ids"), F.array_sort(F.collect_set(truthy(F.col("src_ip")))).alias("_ips"), F.array_sort(F.collect_set(truthy(F.col("user")))).alias("_users"),
-    ).filter(F.col("n") >= config.spray_count)
+    )
     text = F.concat(F.col("n").cast("string"), F.lit(" Kerberos pre-auth failures (EID 4771) — "), or_none(F.col("host")), F.lit(" (password spray)"))
     return _grouped(out, 8, "kerberos_password_spray", text, F.col("_ips"), F.col("_users"))
 

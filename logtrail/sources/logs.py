@@ -18,9 +18,14 @@ def json_array_logs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode("items").alias("ordinal", "raw"))
 
 
-def json_lines_logs(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, raw: a record for each line; splits of a file are read side by side."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("ordinal"), F.col("value").alias("raw")).filter("raw <> ''")
+def json_lines_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, block, ordinal, raw: a record for each line; splits of a file are read side by side.
+
+    Within a block of a file ordinals rise with the lines, so (file, block, ordinal) is the order of the input; Spark
+    may deal blocks to tasks in any order, which the ordinals alone would follow.
+    """
+    at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ordinal")]
+    return spark.read.text(path).select(*at, F.col("value").alias("raw")).filter("raw <> ''")
 
 
 def win_records(records: DataFrame, column: str = "raw") -> DataFrame:
@@ -49,9 +54,8 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labeled_captures(spark: SparkSession, paths: list[str], labels: DataFrame) -> DataFrame:
-    """Records of several capture files with the techniques expected of each; scope = file name. labels: file, expected."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("scope"), F.monotonically_increasing_id().alias("ordinal"), F.col("value").alias("raw"))
-    return lines.join(labels, lines["scope"] == labels["file"]).drop("file")
+    """scope (file name), block, ordinal, raw of several capture files, with what labels (file, expected) say of each."""
+    return json_lines_logs(spark, paths).join(labels, "file").withColumnRenamed("file", "scope")
 
 
 def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
