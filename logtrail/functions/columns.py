@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,23 +84,41 @@ def _within6(groups: Column, blocks: tuple[str, ...]) -> Column:
     return out
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _external6(ip: Column) -> Column:
     """Whether the text is an IPv6 address outside the special blocks; of one that maps an IPv4 address that one counts."""
-    text = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
-    last = F.substring_index(text, ":", -1)
-    tail = _number(last)
-    as_hex = F.concat(F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(0xFFFF)))))
-    text = F.when(last.rlike(IPV4), F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(last)), as_hex)).otherwise(text)
-    groups = lambda at: F.filter(F.split(F.coalesce(F.get(F.split(text, "::"), F.lit(at)), F.lit("")), ":"), lambda x: x != "")
-    left, right = groups(0), groups(1)
-    n = F.size(left) + F.size(right)
-    valid = F.when(text.contains("::"), text.rlike(rf"^(?:{HEXTETS})?::(?:{HEXTETS})?$") & (n <= 7)).otherwise(text.rlike(rf"^{HEXTETS}$") & (n == 8))
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - n), right)
-    numbers = F.transform(every, lambda x: F.conv(x, 16, 10).cast("bigint"))
-    mapped = F.exists(F.slice(numbers, 1, 5), lambda x: x != 0)
-    mapped = ~mapped & (F.get(numbers, F.lit(5)) == 0xFFFF)
-    v4 = F.get(numbers, F.lit(6)) * 65536 + F.get(numbers, F.lit(7))
-    return F.when(valid, F.when(mapped, _external4(v4)).otherwise(~_within6(numbers, PRIVATE6) | _within6(numbers, PUBLIC_AGAIN6)))
+
+    def without_tail(text: Column) -> Column:
+        """An IPv4 address at the end as two groups."""
+        last = F.substring_index(text, ":", -1)
+        pair = lambda n: F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(F.lit(0xFFFF))))
+        start = F.substring(text, F.lit(1), F.length(text) - F.length(last))
+        return F.when(last.rlike(IPV4), F.concat(start, F.lower(_let(_number(last), pair)))).otherwise(text)
+
+    def numbers(text: Column) -> Column:
+        """The eight groups, null where the text is no address."""
+        sides = F.transform(F.split(text, "::"), lambda side: F.filter(F.split(side, ":"), lambda x: x != ""))
+        good = F.when(text.contains("::"), text.rlike(rf"^(?:{HEXTETS})?::(?:{HEXTETS})?$")).otherwise(text.rlike(rf"^{HEXTETS}$"))
+
+        def filled(s: Column) -> Column:
+            n = F.size(F.flatten(s))
+            zeros = F.array_repeat(F.lit("0"), F.lit(8) - n)
+            fits = F.when(F.size(s) == 1, n == 8).otherwise(n <= 7)
+            return F.when(fits, F.concat(s[0], zeros, F.when(F.size(s) == 2, F.get(s, F.lit(1))).otherwise(F.array().cast("array<string>"))))
+
+        return F.when(good, F.transform(_let(sides, filled), lambda x: F.conv(x, 16, 10).cast("bigint")))
+
+    def judged(n: Column) -> Column:
+        mapped = (F.aggregate(F.slice(n, 1, 5), F.lit(0).cast("bigint"), lambda a, x: a + x) == 0) & (F.get(n, F.lit(5)) == 0xFFFF)
+        v4 = _let(F.get(n, F.lit(6)) * 65536 + F.get(n, F.lit(7)), _external4)
+        return F.when(n.isNotNull(), F.when(mapped, v4).otherwise(~_within6(n, PRIVATE6) | _within6(n, PUBLIC_AGAIN6)))
+
+    plain = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
+    return _let(_let(_let(plain, without_tail), numbers), judged)
 
 
 def _external4(number: Column) -> Column:
@@ -108,7 +127,7 @@ def _external4(number: Column) -> Column:
 
 def is_external_ip(ip: Column) -> Column:
     """Whether the text is an address outside the special blocks."""
-    v4 = F.when(ip.rlike(IPV4), _external4(_number(ip)))
+    v4 = F.when(ip.rlike(IPV4), _let(_number(ip), _external4))
     return F.coalesce(F.when(ip.contains(":"), _external6(ip)).otherwise(v4), F.lit(False))
 
 
