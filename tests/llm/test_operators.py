@@ -358,6 +358,46 @@ def test_quality(spark, monkeypatch):
     assert quality.judge(spark, table(spark, texts)).orderBy("doc_id").collect() == got
 
 
+def numpy_mcd(x, share=0.75, tries=200):
+    """An independent estimate: random starts, concentration to the end, smallest determinant, reweighted."""
+    rng, best = np.random.default_rng(5), None
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    scale = quality.SHARE / (1 - np.exp(-quality.NEAR / 2) * (1 + quality.NEAR / 2 + (quality.NEAR / 2) ** 2 / 2))
+    for _ in range(tries):
+        some = x[rng.choice(len(x), 8, replace=False)]
+        m, c = some.mean(0), np.cov(some.T, bias=True) + np.eye(4)
+        for _ in range(60):
+            near = x[np.argsort(far(m, c))[: int(share * len(x))]]
+            m, c, old = near.mean(0), np.cov(near.T, bias=True), c
+            if np.linalg.det(c) >= np.linalg.det(old) * (1 - 1e-9):
+                break
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, scale * c
+    near = x[far(best[1], best[2]) <= quality.WITHIN]
+    m, c = near.mean(0), np.cov(near.T, bias=True)
+    return m, c, far(m, c)
+
+
+def test_minimum_covariance_against_numpy(spark):
+    rng, rows = np.random.default_rng(3), []
+    for g in "ab":
+        mixed = rng.normal(size=(4, 4)) * 300
+        x = np.vstack([rng.normal(size=(400, 4)) @ mixed + 5000, rng.normal(size=(100, 4)) * 40 + 9000]).round().astype(int)
+        rows += [(g, *map(int, r), 10**12, 10**12, False, [g]) for r in x]
+    stats = spark.createDataFrame(rows, "g string, x1 long, x2 long, x3 long, x4 long, n_words long, n_lines long, base_failed boolean, fits array<string>")
+    fit = quality.minimum_covariance(spark, stats)
+    got = quality.with_distance(spark, stats, fit).collect()
+    for g in "ab":
+        x = np.array([r[1:5] for r in rows if r[0] == g], float)
+        m, c, d2 = numpy_mcd(x)
+        ours = np.array([r.d2 for r in got if r.g == g])
+        by = {tuple(r[1:5]): v for r, v in zip([r for r in rows if r[0] == g], d2)}
+        want = np.array([by[(r.x1, r.x2, r.x3, r.x4)] for r in got if r.g == g])
+        f = fit.filter(F.col("g") == g).first()
+        assert np.allclose([f[f"m{i}"] for i in range(4)], m, atol=60) and np.allclose(f.c00, c[0, 0], rtol=0.15)
+        assert np.mean((ours <= quality.FAR) == (want <= quality.FAR)) >= 0.99 and np.all(want[want > 200] > quality.FAR) and np.all(ours[want > 200] > quality.FAR)
+
+
 def test_quality_rejects_slight_junk_and_judges_small_pools(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(words(rng, rng.randint(60, 120))), "en", "web") for i in range(150)]
