@@ -152,8 +152,37 @@ VEC = """
 v AS (SELECT vec_id AS id, embedding AS e FROM embeddings), q AS (SELECT id AS qid, e AS qe FROM v WHERE id % 25 = 0)"""
 COSINE = "list_dot_product(CAST(qe AS DOUBLE[]), CAST(e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(qe AS DOUBLE[]), CAST(qe AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))))"
 
+EVENT_LINE = f"SELECT id, '  - ' || concat_ws(' | ', 'id=' || id, {ISO('time')}, CASE WHEN COALESCE(dst_ip, '') <> '' THEN 'dst_ip=' || dst_ip || ':' || {nn('dst_port')} END, CASE WHEN event_id <> 0 THEN 'EID=' || event_id END, 'user=' || NULLIF(usr, ''), 'src_ip=' || NULLIF(src_ip, ''), 'cmdline=' || NULLIF(cmdline, ''), 'category=' || NULLIF(category, ''), 'tool=' || NULLIF(tool, ''), 'url=' || NULLIF(url, ''), 'message=' || NULLIF(message, '')) AS line FROM ev"
+CHUNKS = """
+st(source, k, s, chars, cut) AS (
+  SELECT source, 0, 0, length(content), false FROM par WHERE "at" = 0
+  UNION ALL
+  SELECT p.source, p."at", CASE WHEN p.heading <> q.heading THEN p."at" WHEN chars + length(p.content) > 900 THEN q."at" ELSE s END,
+    CASE WHEN p.heading <> q.heading THEN length(p.content) WHEN chars + length(p.content) > 900 THEN length(q.content) + length(p.content) ELSE chars + length(p.content) END,
+    p.heading <> q.heading OR chars + length(p.content) > 900
+  FROM st JOIN par q ON q.source = st.source AND q."at" = st.k JOIN par p ON p.source = st.source AND p."at" = st.k + 1),
+ends AS (SELECT a.source, a.s, a.k, row_number() OVER (PARTITION BY a.source ORDER BY a.k) - 1 AS n FROM st a LEFT JOIN st b ON b.source = a.source AND b.k = a.k + 1 WHERE COALESCE(b.cut, true)),
+chunk AS (SELECT e.source, e.n AS "at", max_by(p.heading, p."at") AS heading, string_agg(p.content, chr(10) || chr(10) ORDER BY p."at") AS content
+  FROM ends e JOIN par p ON p.source = e.source AND p."at" BETWEEN e.s AND e.k GROUP BY e.source, e.n)"""
+#: Two tenants in one table: hosts of different tenants are different hosts.
+TENANTS = EV.replace("SELECT * RENAME", "SELECT * REPLACE ((CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) || ':' || host AS host) RENAME")
+FIRST_WORDS = "regexp_replace(substr(text, 1, 600), ' [^ ]*$', '')"
+UNGROUNDED = r"list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b'), lambda x: NOT contains(lower(substr(text, 1, CAST(floor(length(text) / 2) AS INT))), x))))"
+
 ORACLE_SQL = {
-    "src_json_logs": None,
+    "src_json_logs": sql("SELECT kind, COUNT(*) AS records, COUNT(*) FILTER (code = 4625) AS failed, COUNT(DISTINCT host) AS hosts FROM raw CROSS JOIN (VALUES ('array'), ('lines')) t(kind) GROUP BY kind", RAW),
+    "scope_isolation": sql(f"SELECT split_part(host, ':', 1) AS scope, split_part(host, ':', 2) AS host, {ISO('st')} AS start_time, event_ids FROM inc", TENANTS, SIG, ANCHORS, BUILT),
+    "sink_layer_json": sql("SELECT 'detections' AS name, '4.5' AS version, CAST(COUNT(*) AS INT) AS techniques, arg_min(comment, technique) AS comment FROM (SELECT technique, COUNT(*) || ' signal(s) on: ' || string_agg(DISTINCT host, ', ' ORDER BY host) AS comment FROM sig GROUP BY technique)", EV, SIG),
+    "ret_format": f"SELECT doc_id AS qid, md5('[' || source || ' — ' || lang || ']' || chr(10) || CASE WHEN length(text) > 600 THEN CASE WHEN contains(substr(text, 1, 600), ' ') THEN {FIRST_WORDS} ELSE substr(text, 1, 600) END || ' …' ELSE text END) AS block FROM documents",
+    "chk_ungrounded_ip": f"SELECT doc_id, array_to_string(ips, ',') AS ips FROM (SELECT doc_id, {UNGROUNDED} AS ips FROM documents WHERE length(text) > 1) WHERE len(ips) > 0",
+    "doc_chunks": sql('SELECT source, "at", heading, md5(content) AS content FROM chunk', DOC, CHUNKS),
+    "doc_stats": sql("SELECT source, COUNT(*) AS passages FROM chunk GROUP BY ROLLUP (source)", DOC, CHUNKS),
+    "sink_passages": sql('SELECT source, COUNT(*) AS passages, CAST(SUM(length(content)) AS BIGINT) AS chars FROM chunk GROUP BY source', DOC, CHUNKS),
+    "src_documents": "SELECT doc_id || '.md' AS source, md5(text) AS text FROM documents WHERE text <> ''",
+    "norm_validate_batch": "SELECT event_id AS ordinal, event_id % 13 <> 5 AS record FROM events",
+    "doc_embed_batches": sql('SELECT source, "at", length(CASE WHEN heading <> \'\' THEN heading || \'. \' || content ELSE content END) AS first FROM par', DOC),
+    "st_kerberos_spray": sql("SELECT host, COUNT(*) AS n FROM ev WHERE event_id = 4771 GROUP BY host HAVING COUNT(*) >= 2", EV),
+    "ev_top_events": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, CAST(rn AS INT) AS rn, CAST(n AS INT) AS n, line FROM (SELECT i.inc_idx, l.line, row_number() OVER (PARTITION BY i.inc_idx ORDER BY e.time, e.id) AS rn, COUNT(*) OVER (PARTITION BY i.inc_idx) AS n FROM inc i JOIN eids x ON x.host = i.host AND x.anchor = i.anchor JOIN ev e ON e.id = x.id JOIN line l ON l.id = x.id) WHERE rn <= 3", *INC, f"line AS ({EVENT_LINE})"),
     "src_win_records": sql("SELECT ordinal, CAST(event_id AS BIGINT) AS event_id, CASE WHEN i % 2 = 0 THEN 'user' || (user_id % 5) ELSE 'svc' END AS \"user\", CASE WHEN i % 4 = 0 THEN 'Sysmon' WHEN i % 3 = 0 THEN 'Security' ELSE 'System' END AS source, CASE WHEN i % 5 = 0 THEN NULL ELSE CAST(443 AS BIGINT) END AS dest_port FROM win", WIN),
     "norm_alias_resolve": sql("SELECT ordinal, host, usr AS \"user\", CASE WHEN k = 2 THEN '10.0.0.1' END AS src_ip FROM raw", RAW),
     "norm_http_block": sql("SELECT ordinal, CASE k WHEN 0 THEN CASE WHEN i % 2 = 0 THEN '/p/' || i ELSE '/top' END WHEN 1 THEN '/top' END AS url, CASE WHEN k = 0 THEN 'GET' END AS http_method, CAST(CASE WHEN k = 0 AND i % 3 = 0 THEN 404 WHEN k = 1 THEN 500 END AS BIGINT) AS http_status FROM raw", RAW),
@@ -185,7 +214,7 @@ ORACLE_SQL = {
     "inc_pipeline": sql(f"SELECT CAST(i.inc_idx AS INT) AS inc_idx, host, {ISO('st')} AS start_time, {ISO('en')} AS end_time, {SEVERITY} AS severity, techniques, event_ids, CAST(campaign_id AS INT) AS campaign_id, COALESCE(related_hosts, '') AS related_hosts FROM inc i LEFT JOIN camp USING (inc_idx) LEFT JOIN rel USING (inc_idx)", *CAMP),
     "camp_related": sql("SELECT CAST(i.inc_idx AS INT) AS inc_idx, CAST(COALESCE(peers, 0) AS INT) AS peers, COALESCE(hosts, '') AS hosts FROM inc i LEFT JOIN rel USING (inc_idx)", *CAMP),
     "ev_clip": "SELECT doc_id, CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '…[+' || (length(t) - 300) || ' chars truncated]' ELSE t END AS clipped FROM (SELECT doc_id, replace(replace(text, chr(13), ''), chr(10), '\\n') AS t FROM documents)",
-    "ev_line": sql(f"SELECT id, '  - ' || concat_ws(' | ', 'id=' || id, {ISO('time')}, CASE WHEN COALESCE(dst_ip, '') <> '' THEN 'dst_ip=' || dst_ip || ':' || {nn('dst_port')} END, CASE WHEN event_id <> 0 THEN 'EID=' || event_id END, 'user=' || NULLIF(usr, ''), 'src_ip=' || NULLIF(src_ip, ''), 'cmdline=' || NULLIF(cmdline, ''), 'category=' || NULLIF(category, ''), 'tool=' || NULLIF(tool, ''), 'url=' || NULLIF(url, ''), 'message=' || NULLIF(message, '')) AS line FROM ev", EV),
+    "ev_line": sql(EVENT_LINE, EV),
     "chk_tactic_tokens": "SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '' AND x NOT IN (" + ", ".join(text(w) for w in S.TACTIC_STOPWORDS) + ")))) AS INT) AS tokens FROM documents",
     "doc_paragraphs": sql("SELECT source, \"at\", heading, md5(content) AS content FROM par", DOC),
     "doc_embed_text": sql("SELECT source, \"at\", md5(CASE WHEN heading <> '' THEN heading || '. ' || content ELSE content END) AS text FROM par", DOC),

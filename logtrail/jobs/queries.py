@@ -11,10 +11,10 @@ from logtrail import schema as S
 from logtrail.functions import columns as C
 from logtrail.jobs.flagship import TEST_CONFIG, find_campaigns, find_incidents, flat
 from logtrail.operators import campaigns, evidence, incidents, layers, normalize, passages, reports, retrieval, rules
-from logtrail.sources.logs import json_array_logs, json_lines_logs, win_records
+from logtrail.sources.logs import json_array_logs, json_lines_logs, markdown_documents, win_records, write_markdown
 from logtrail.sources.scratch import scratch, written
 from logtrail.sources.views import raw_records, raw_table, security_events, windows_records, written_reports
-from logtrail.streaming.rules import stream_signals
+from logtrail.streaming.rules import stream_signals, stream_spray
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,7 +38,11 @@ def src_json_logs(spark, sf):
     array = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "raw"))), lambda x: x["raw"]), ","), F.lit("]"))
     raw.groupBy(F.floor(F.col("ordinal") / 1000)).agg(array.alias("value")).select("value").repartition(8).write.option("maxRecordsPerFile", 1).text(a)
     raw.select("raw").write.text(b)
-    told = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("records"), F.sum(F.length("raw")).alias("chars"))
+
+    def told(df: DataFrame, kind: str) -> DataFrame:
+        e = normalize.normalize(df)
+        return e.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("event_id") == 4625).alias("failed"), F.count_distinct("host").alias("hosts")).select(F.lit(kind).alias("kind"), "*")
+
     return told(json_array_logs(spark, a), "array").unionByName(told(json_lines_logs(spark, b), "lines"))
 
 
@@ -374,6 +378,49 @@ def doc_stats(spark, sf):
     return passages.stats(passages.chunks(_docs(spark, sf), S.DEFAULT, "\n"))
 
 
+@query
+def sink_passages(spark, sf):
+    """Passages written and read back, counted by document."""
+    path = scratch(spark, "passages")
+    passages.write(passages.chunks(_docs(spark, sf), S.DEFAULT, "\n"), path)
+    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def src_documents(spark, sf):
+    """Documents written as files named *.md, one each, and read back."""
+    path = scratch(spark, "markdown-files")
+    write_markdown(raw_table(spark, sf, "documents").filter("text <> ''").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text"), path)
+    return markdown_documents(spark, path).select("source", F.md5("text").alias("text"))
+
+
+@query
+def norm_validate_batch(spark, sf):
+    """Which of the raw records are objects, where some are cut short or arrays."""
+    i = F.col("ordinal")
+    raw = F.when(i % 26 == 5, F.concat(F.lit("["), "raw", F.lit("]"))).when(i % 26 == 18, F.substring("raw", 1, 20)).otherwise(F.col("raw"))
+    return raw_records(spark, sf).select("ordinal", normalize.is_record(raw).alias("record"))
+
+
+@query
+def doc_embed_batches(spark, sf):
+    """Every paragraph embedded in batches by a function given: here the length of its text."""
+    found = _docs(spark, sf).select("source", F.posexplode(passages.paragraphs(F.col("text"), "\n")).alias("at", "p")).select("source", "at", "p.heading", "p.content")
+    return passages.embed(found, lambda texts: [[float(len(t))] for t in texts]).select("source", "at", F.col("embedding")[0].cast("bigint").alias("first"))
+
+
+@query
+def st_kerberos_spray(spark, sf):
+    """Failed pre-authentications streamed from files; the last count of each host that the stream gave."""
+    source, out, state = (scratch(spark, x) for x in ("stream-in", "stream-out", "stream-state"))
+    events = security_events(spark, sf).select("scope", "id", "time", "host", "event_id")
+    events.write.parquet(source)
+    counts = stream_spray(spark.readStream.schema(events.schema).parquet(source))
+    keep = lambda df, batch: df.select("host", "n").write.parquet(f"{out}/{batch}")
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("host string, n long").parquet(f"{out}/*").groupBy("host").agg(F.max("n").alias("n"))
+
+
 def _vectors(spark, sf) -> DataFrame:
     return raw_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +70,21 @@ def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.orderBy("source")
 
 
+def write_markdown(docs: DataFrame, folder: str) -> None:
+    """A file for each document (source, text), named by its source, in a folder that all executors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, inside = pafs.FileSystem.from_uri(folder)
+        files.create_dir(inside, recursive=True)
+        for batch in batches:
+            for source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with files.open_output_stream(f"{inside}/{source}") as out:
+                    out.write((text or "").encode())
+            yield batch.select(["source"])
+
+    docs.select("source", "text").mapInArrow(run, "source string").write.format("noop").mode("overwrite").save()
+
+
 def synth_events(spark: SparkSession, n: int, hot_share: float = 0.2, start: str = "2026-07-03 10:00:00") -> DataFrame:
     """Five kinds of events by id % 5, hot_share of which are failed logons of one host, user and address; a second apart."""
     i = F.col("id")
