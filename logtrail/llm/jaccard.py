@@ -30,9 +30,9 @@ from logtrail.llm.repeats import mix, zipped
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.9995
 COORDS = 128
-#: Splits at most. Only what is neither alike nor unlike (similarities near 0.6 throughout) is still large by then; it is
-#: compared in blocks.
-DEEPEST = 4
+#: Splits at most. Children of unlike classes are small at once, as tokens have their full width; large by then is what
+#: shares a long passage or is neither alike nor unlike, of which all but the largest group goes to every part.
+DEEPEST = 2
 #: Children that a class goes to at each split, about, for one that it shares with a class of the least similarity.
 BRANCHING = 1.5
 #: Classes in a bucket that is compared, at most; in a candidate group whose texts meet in one place, or in a block.
@@ -235,12 +235,28 @@ def opened(spark: SparkSession, rows: DataFrame, groups: DataFrame | None) -> Da
     return materialize(spark, rows.join(size, "path"), "buckets")
 
 
+def outsiders(spark: SparkSession, large: DataFrame, leaf: int) -> DataFrame:
+    """Edges between what looks similar in buckets (path, node, root, size, low) that are large at the last split.
+
+    Pairs of a bucket's largest group are of one group already. All others are compared: rows are dealt into parts, in
+    which all meet, and the classes outside the largest group go to every other part too.
+    """
+    parts = F.ceil(F.col("size") / leaf).cast("int")
+    large = large.withColumns({"part": F.pmod(F.xxhash64("path", "node"), parts).cast("int"), "parts": parts, "side": F.lit(0)})
+    count = large.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"))
+    biggest = count.groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("biggest"))
+    outside = large.join(materialize(spark, biggest, "biggest"), "path").filter("root <> biggest").drop("biggest")
+    copies = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+    copies = copies.drop("part").withColumnRenamed("other", "part").withColumn("side", F.lit(1))
+    return alike(large, ["path", "part"]).unionByName(alike(large.unionByName(copies), ["path", "part"]))
+
+
 def grouped(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
     """node and root of the candidate groups: what meets in a bucket and looks similar, and what that connects.
 
     Buckets of the first split that are large are compared in parts too, dealt anew for each path: what is alike in
     much of a bucket becomes one group by this. Of large buckets those that hold more than one group are split on. What
-    is large at the last split is compared in blocks, each with each other.
+    is large at the last split is compared as outsiders says.
     """
     low, sketches = classes.select("node", "low"), classes.select("node", "low", "high")
     rows = opened(spark, split(sketches.select(F.lit(None).cast("long").alias("path"), "node", "low", "high")), None)
@@ -252,15 +268,16 @@ def grouped(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, deepest:
         large = rows.filter(F.col("size") > leaf).select("path", "node")
         if not large.limit(1).count():
             break
-        if level == 2:  # the groups were not known before
+        if level == 2:  # the groups were not known before; from here on few classes are concerned
             large = opened(spark, large, groups).select("path", "node")
+            sketches = materialize(spark, sketches.join(large.select("node").distinct(), "node"), "large-sketches")
+            low = sketches.select("node", "low")
         rows = opened(spark, split(large.join(sketches, "node")), groups)
         small = rows.filter(F.col("size") <= leaf).join(low, "node").withColumn("side", F.lit(0))
         edges.append(materialize(spark, alike(small, ["path"]).distinct(), "edges"))
     large = rows.filter(F.col("size") > leaf)
     if large.limit(1).count():
-        blocks = in_blocks(large.withColumn("parts", F.ceil(F.col("size") / leaf)), "path", "parts")
-        edges.append(materialize(spark, alike(blocks.join(low, "node"), ["path", "lo", "hi"]).distinct(), "edges"))
+        edges.append(materialize(spark, outsiders(spark, large.join(low, "node"), leaf).distinct(), "edges"))
     if len(edges) == 1:
         return groups
     return materialize(spark, components(spark, reduce(DataFrame.unionByName, edges)), "groups")
