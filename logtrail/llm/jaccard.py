@@ -4,10 +4,9 @@ A document is its set of five-word shingles; documents of one set are one class.
 hashes, two of which agree as often as the sets are similar. A run starts with all classes in one bucket and splits
 buckets recursively: every class goes to the children of a few of its own tokens (coordinate and value), sampled by a
 hash of path and token, so that similar sets follow common paths. Buckets that are small are compared by brute force
-on the sketches; larger ones are split on, unless all they hold is known to be one group by then. `runs` repeats bring
-the chance that a pair of the least similarity meets to `RECALL`, whatever the depth. What meets and looks similar is a
-candidate group; within each, all pairs are compared on their whole sets, in blocks, so that the result is exact for
-every pair of a group.
+on the sketches; larger ones are split on, to a depth. `runs` repeats bring the chance that a pair of the least
+similarity meets to `RECALL`. What meets and looks similar is a candidate group; within each, all pairs are compared on
+their whole sets, in blocks, so that the result is exact for every pair of a group.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +28,13 @@ from logtrail.llm.decontaminate import normal
 from logtrail.llm.repeats import mix, zipped
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.9995
-COORDS = 128
-#: Splits at most. Children of unlike classes are small at once, as tokens have their full width; large by then is what
-#: shares a long passage or is neither alike nor unlike, of which all but the largest group goes to every part.
-DEEPEST = 2
+COORDS, DEPTH = 128, 2
 #: Children that a class goes to at each split, about, for one that it shares with a class of the least similarity.
 BRANCHING = 1.5
-#: Classes in a bucket that is compared, at most; in a candidate group whose texts meet in one place, or in a block.
+#: Classes in a bucket that is compared, at most; in a block of a candidate group.
 LEAF, BLOCK = 256, 512
+#: Members of candidate groups that are broadcast to the texts at most: rows of 40 bytes.
+MEMBERS = 200_000
 #: Coordinates that agree in a candidate pair: five deviations below the least similarity.
 AGREE = math.floor(COORDS * (SIMILAR - 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDS)))
 MULTIPLY = (mix(np.arange(1, COORDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -46,7 +44,7 @@ COORD = np.arange(COORDS, dtype=np.uint64) << np.uint64(40)
 CHOSEN = np.uint64(int(BRANCHING / SIMILAR / COORDS * 2**64))
 
 
-def runs(depth: int = DEEPEST, recall: float = RECALL) -> int:
+def runs(depth: int = DEPTH, recall: float = RECALL) -> int:
     """Repeats after which a pair of the least similarity has met with this chance, at the greatest depth."""
     meets = 1.0
     for _ in range(depth):  # the shared tokens chosen are Poisson, BRANCHING on average
@@ -54,7 +52,7 @@ def runs(depth: int = DEEPEST, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
 
-STARTS = mix(np.arange(7, runs() + 7, dtype=np.uint64))
+RUNS = runs()
 
 
 @lru_cache(maxsize=200_000)
@@ -91,46 +89,64 @@ def children(paths: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
     return [mix(hashes[i, taken[i]] + np.uint64(1)) for i in range(len(paths))]
 
 
+STARTS = mix(np.arange(7, RUNS + 7, dtype=np.uint64))
+
+
 def set_hash(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, node (hash of the set, null without words) and sketch: low bytes of all coordinates, then the rest."""
+    """For each document its rid, node (hash of its set, null without words), first paths of each run, and 8-bit sketch."""
+    schema = "doc_id long, rid long, node long, paths array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, low, high = [], [], []
+            nodes, paths, sketches = [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(normal(text))
-                nodes.append(set_hash(found) if len(found) else None)
-                least = sketch(found) if len(found) else np.zeros(0, np.uint32)
-                parts = least.astype("<u4").view(np.uint8).reshape(-1, 4)
-                low.append(parts[:, 0].tobytes())
-                high.append(parts[:, 1:].tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "node", "low", "high"])
+                if not len(found):
+                    nodes.append(None), paths.append([]), sketches.append(b"")
+                    continue
+                nodes.append(set_hash(found))
+                least = sketch(found)
+                paths.append(np.concatenate(children(STARTS, least)).view(np.int64))
+                sketches.append((least & np.uint32(255)).astype(np.uint8).tobytes())
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "node", "paths", "sketch"])
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, node long, low binary, high binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, schema)
 
 
 def split(rows: DataFrame) -> DataFrame:
-    """path and node of the children of each row (path, node, low, high); of all runs' starts where path is null."""
+    """The children of each (path, node, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             nodes, paths = [], []
-            for path, node, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rest = np.frombuffer(high, np.uint8).reshape(COORDS, 3)
-                values = np.hstack([np.frombuffer(low, np.uint8)[:, None], rest]).copy().view("<u4").ravel()
-                above = STARTS if path is None else np.array([path], np.int64).view(np.uint64)
-                more = np.concatenate(children(above, values)).view(np.int64)
+            for path, node, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = children(np.array([path], np.int64).view(np.uint64), np.frombuffer(values, np.uint8))[0].view(np.int64)
                 paths.append(more)
-                nodes.append(np.full(len(more), node))
-            if paths:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.array(np.concatenate(nodes))], ["path", "node"])
+                nodes += [node] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths) if paths else [], pa.int64()), pa.array(nodes, pa.int64())], ["path", "node"])
 
-    return rows.select("path", "node", "low", "high").mapInArrow(run, "path long, node long")
+    return rows.select("path", "node", "sketch").mapInArrow(run, "path long, node long")
+
+
+def buckets(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """path, node and size of the buckets of two classes or more that are small, or as deep as they go."""
+    rows = classes.select(F.explode("paths").alias("path"), "node")
+    small = None
+    for level in range(1, depth + 1):
+        rows = materialize(spark, rows, "paths")
+        size = materialize(spark, rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+        rows = materialize(spark, rows.join(size, "path"), "buckets")
+        here = rows if level == depth else rows.filter(F.col("size") <= leaf)
+        small = here if small is None else small.unionByName(here)
+        if level == depth or not rows.filter(F.col("size") > leaf).limit(1).count():
+            return small
+        rows = split(rows.filter(F.col("size") > leaf).join(classes.select("node", "sketch"), "node"))
+    return small
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
@@ -178,7 +194,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def alike(bucketed: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (u, v) that span what looks similar in each bucket of (keys, node, root, side, low).
+    """Edges (u, v) that span what looks similar in each bucket of (keys, node, sketch, side, root).
 
     Within a bucket of one side (side 0 everywhere) all pairs are compared, else those of side 0 with side 1; in either
     case only where their roots differ, as others are known to be of one group.
@@ -188,28 +204,57 @@ def alike(bucketed: DataFrame, keys: list[str]) -> DataFrame:
         for t in _stretches(batches, keys, 8192):
             starts = _starts(t, keys)
             nodes, side, group = (t.column(c).to_numpy() for c in ("node", "side", "root"))
-            values = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, COORDS)
+            values = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
             pairs = []
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                if (group[lo:hi] == group[lo]).all():
+                    continue
                 two = side[lo:hi].any()
                 for i in range(lo, hi - 1):
                     apart = group[i + 1 : hi] != group[i]
                     others = i + 1 + np.flatnonzero(apart & (side[i + 1 : hi] != side[i]) if two else apart)
                     if len(others) > 16:  # many at once here, few in one go below
                         others = others[(values[others] == values[i]).sum(axis=1) >= AGREE]
-                    if len(others):
-                        pairs.append((np.full(len(others), i), others))
+                    pairs.append((np.full(len(others), i), others))
             if not pairs:
                 continue
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            near = [(values[a[i : i + 65536]] == values[b[i : i + 65536]]).sum(axis=1) >= AGREE for i in range(0, len(a), 65536)]
-            near = np.concatenate(near)
+            near = np.concatenate([(values[a[i : i + 65536]] == values[b[i : i + 65536]]).sum(axis=1) >= AGREE for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
             root = _roots(len(nodes), a[near], b[near])
             linked = np.flatnonzero(root != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["u", "v"])
 
-    some = bucketed.select(*keys, "node", "side", "root", "low").repartition(*keys)
-    return some.sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
+    return bucketed.select(*keys, "node", "side", "root", "sketch").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u long, v long")
+
+
+def candidates(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """node and root of the candidate groups.
+
+    A bucket that stays large at the greatest depth, mostly copies of one text, is first compared in parts of bounded
+    size, dealt anew for each path. If its members do not all come to one group by this, those outside its
+    largest group are then compared with all other parts too.
+    """
+    found = materialize(spark, buckets(spark, classes, leaf, depth), "leaves")
+    parts = F.ceil(F.col("size") / leaf)
+    part = F.pmod(F.xxhash64("path", "node"), parts).cast("int")
+    first = found.withColumn("part", part).join(classes.select("node", "sketch"), "node").withColumn("side", F.lit(0)).withColumn("root", F.col("node"))
+    edges = materialize(spark, alike(first, ["path", "part"]).distinct(), "edges")
+    groups = materialize(spark, components(spark, edges), "groups")
+    large = found.filter(F.col("size") > leaf)
+    if not large.limit(1).count():
+        return groups
+    large = large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = large.groupBy("path").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("path")
+    open_ = materialize(spark, large.join(mixed, "path").withColumn("part", part).withColumn("parts", parts), "mixed")
+    if not open_.limit(1).count():
+        return groups
+    # links between groups concern a class outside its bucket's largest group: those alone go to all other parts
+    biggest = open_.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("biggest"))
+    outside = open_.join(materialize(spark, biggest, "biggest"), "path").filter("root <> biggest")
+    copies = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).filter("other <> part")
+    blocks = open_.select("path", "part", "node", "root", F.lit(0).alias("side")).unionByName(copies.select("path", F.col("other").alias("part"), "node", "root", F.lit(1).alias("side")))
+    more = alike(blocks.join(classes.select("node", "sketch"), "node"), ["path", "part"])
+    return materialize(spark, components(spark, groups.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "groups")
 
 
 def in_blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
@@ -220,69 +265,6 @@ def in_blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
     return out.withColumns({"lo": lo, "hi": hi, "side": (F.col("part") > F.col("other")).cast("int")}).drop("part", "other")
 
 
-def opened(spark: SparkSession, rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """path, node, root and size of the buckets (path, node) that hold classes of two groups or more.
-
-    What a bucket's rows are joined with is counted first and written, so that Spark can split the rows of a hot path.
-    """
-    if groups is None:
-        rows = materialize(spark, rows.withColumn("root", F.col("node")), "paths")
-    else:
-        rows = rows.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        rows = materialize(spark, rows.select("path", "node", F.coalesce("root", "node").alias("root")), "paths")
-    size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("a"), F.max("root").alias("b"))
-    size = materialize(spark, size.filter("a <> b").select("path", "size"), "sizes")
-    return materialize(spark, rows.join(size, "path"), "buckets")
-
-
-def outsiders(spark: SparkSession, large: DataFrame, leaf: int) -> DataFrame:
-    """Edges between what looks similar in buckets (path, node, root, size, low) that are large at the last split.
-
-    Pairs of a bucket's largest group are of one group already. All others are compared: rows are dealt into parts, in
-    which all meet, and the classes outside the largest group go to every other part too.
-    """
-    parts = F.ceil(F.col("size") / leaf).cast("int")
-    large = large.withColumns({"part": F.pmod(F.xxhash64("path", "node"), parts).cast("int"), "parts": parts, "side": F.lit(0)})
-    count = large.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"))
-    biggest = count.groupBy("path").agg(F.max_by("root", F.struct("n", "root")).alias("biggest"))
-    outside = large.join(materialize(spark, biggest, "biggest"), "path").filter("root <> biggest").drop("biggest")
-    copies = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
-    copies = copies.drop("part").withColumnRenamed("other", "part").withColumn("side", F.lit(1))
-    return alike(large, ["path", "part"]).unionByName(alike(large.unionByName(copies), ["path", "part"]))
-
-
-def grouped(spark: SparkSession, classes: DataFrame, leaf: int = LEAF, deepest: int = DEEPEST) -> DataFrame:
-    """node and root of the candidate groups: what meets in a bucket and looks similar, and what that connects.
-
-    Buckets of the first split that are large are compared in parts too, dealt anew for each path: what is alike in
-    much of a bucket becomes one group by this. Of large buckets those that hold more than one group are split on. What
-    is large at the last split is compared as outsiders says.
-    """
-    low, sketches = classes.select("node", "low"), classes.select("node", "low", "high")
-    rows = opened(spark, split(sketches.select(F.lit(None).cast("long").alias("path"), "node", "low", "high")), None)
-    part = F.pmod(F.xxhash64("path", "node"), F.when(F.col("size") > leaf, F.ceil(F.col("size") / leaf)).otherwise(1))
-    first = rows.join(low, "node").withColumns({"part": part.cast("int"), "side": F.lit(0)})
-    edges = [materialize(spark, alike(first, ["path", "part"]).distinct(), "edges")]
-    groups = materialize(spark, components(spark, edges[0]), "groups")
-    for level in range(2, deepest + 1):
-        large = rows.filter(F.col("size") > leaf).select("path", "node")
-        if not large.limit(1).count():
-            break
-        if level == 2:  # the groups were not known before; from here on few classes are concerned
-            large = opened(spark, large, groups).select("path", "node")
-            sketches = materialize(spark, sketches.join(large.select("node").distinct(), "node"), "large-sketches")
-            low = sketches.select("node", "low")
-        rows = opened(spark, split(large.join(sketches, "node")), groups)
-        small = rows.filter(F.col("size") <= leaf).join(low, "node").withColumn("side", F.lit(0))
-        edges.append(materialize(spark, alike(small, ["path"]).distinct(), "edges"))
-    large = rows.filter(F.col("size") > leaf)
-    if large.limit(1).count():
-        edges.append(materialize(spark, outsiders(spark, large.join(low, "node"), leaf).distinct(), "edges"))
-    if len(edges) == 1:
-        return groups
-    return materialize(spark, components(spark, reduce(DataFrame.unionByName, edges)), "groups")
-
-
 def common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     """How many shingles each of a has in common with each of b (of a, where b is None)."""
     every = a if b is None else [*a, *b]
@@ -405,11 +387,16 @@ def links(spark: SparkSession, members: DataFrame, texts: DataFrame, block: int
     Groups of up to `block` classes meet in one place. Those of larger groups are each told by their differences from
     one member, made once, and only differences go to the blocks: as many copies of each as there are blocks.
     """
-    wide = members.join(texts.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid")).drop("_rid", "rid")
-    out = materialize(spark, compared(wide.filter(F.col("size") <= block)), "links")
-    if not members.filter(F.col("size") > block).limit(1).count():
+    def wide(some: DataFrame) -> DataFrame:
+        few = some.limit(MEMBERS + 1).count() <= MEMBERS
+        some = F.broadcast(some) if few else some
+        return texts.withColumnRenamed("rid", "_rid").join(some, F.col("rid") == F.col("_rid")).drop("_rid", "rid")
+
+    out = materialize(spark, compared(wide(members.filter(F.col("size") <= block))), "links")
+    large = members.filter(F.col("size") > block)
+    if not large.limit(1).count():
         return out
-    many = materialize(spark, wide.filter(F.col("size") > block), "large-groups")
+    many = materialize(spark, wide(large), "large-groups")
     roots = materialize(spark, many.filter("node = root").groupBy("root").agg(F.min("z").alias("root_z")), "large-roots")
     told = materialize(spark, differences(many.join(roots, "root")), "differences")
     told = told.dropDuplicates(["root", "node"])  # equal rows
@@ -418,7 +405,7 @@ def links(spark: SparkSession, members: DataFrame, texts: DataFrame, block: int
     return out.unionByName(materialize(spark, compared_in_blocks(blocks), "links"))
 
 
-def join(spark: SparkSession, docs: DataFrame, leaf: int = LEAF, block: int = BLOCK, deepest: int = DEEPEST) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, leaf: int = LEAF, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """A row for each document: doc_id, copy_id, class_id, n_links, n_class_links.
 
     copy_id: the smallest doc_id with the same set; class_id: the smallest of all that links of the least similarity
@@ -432,10 +419,10 @@ def join(spark: SparkSession, docs: DataFrame, leaf: int = LEAF, block: int = BL
     docs = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, docs["text"]).alias("rid"), docs["text"])
     every = materialize(spark, sets(docs), "sets")
     classes = every.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("copy_id"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("low").alias("low"), F.first("high").alias("high")
+        F.min("doc_id").alias("copy_id"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")
     )
     classes = materialize(spark, classes, "classes")
-    groups = grouped(spark, classes, leaf, deepest)
+    groups = candidates(spark, classes, leaf, depth)
     size = materialize(spark, groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     members = materialize(spark, groups.join(size, "root").join(classes.select("node", "n", "rid"), "node"), "members")
     found = links(spark, members, zipped(docs, ["rid"]), block)

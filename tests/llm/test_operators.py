@@ -141,8 +141,8 @@ def brute_links(texts, n=5):
     return [(root(i), links[i]) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("leaf, block, deepest", [(256, 256, 10), (3, 4, 10), (3, 256, 2), (3, 256, 1)])
-def test_jaccard_join(spark, leaf, block, deepest):
+@pytest.mark.parametrize("leaf, block, depth", [(256, 256, 2), (3, 4, 2), (3, 256, 1)])
+def test_jaccard_join(spark, leaf, block, depth):
     texts = corpus()
     rng = random.Random(9)
     base = words(rng, 200)
@@ -151,7 +151,7 @@ def test_jaccard_join(spark, leaf, block, deepest):
         for _ in range(rng.randint(0, 6)):
             near[rng.randrange(200)] = rng.choice("xyz") * 3
         texts.append(" ".join(near))
-    got = jaccard.join(spark, table(spark, texts), leaf, block, deepest).orderBy("doc_id").collect()
+    got = jaccard.join(spark, table(spark, texts), leaf, block, depth).orderBy("doc_id").collect()
     assert [(r.class_id, r.n_links) for r in got] == brute_links(texts)
 
 
