@@ -14,12 +14,18 @@ from logtrail.llm.common import materialize, numbered, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar's score does not call toxic; fitted on labelled rows that are not held out."""
+    """Documents that the grammar's score does not call toxic; fitted on labelled rows that are not held out.
+
+    Null and empty texts stay, as does everything where there are no labels; an empty table stays empty.
+    """
     return toxicity.reject(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of repeated windows; a document of which no word is left goes. n_chars follows the text."""
+    """Without lines of repeated windows; a document of which no word is left goes. n_chars follows the text.
+
+    Null, empty and short texts stay as they are; repeated rows are later occurrences.
+    """
     out = line_dedup.dedup(spark, docs).filter(~((F.col("n_removed") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
@@ -32,12 +38,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     its own text.
     """
     rows = numbered(spark, docs, "near-rows")
-    linked = jaccard.join(spark, rows.select(F.col("_row").alias("doc_id"), "text")).filter("n_links > 0")
+    linked = jaccard.join(spark, rows.select(F.col("_row").alias("doc_id"), F.col("doc")["text"].alias("text"))).filter("n_links > 0")
     linked = materialize(spark, linked.select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class")), "near-links")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    first = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("_class").agg(F.min(order)["_row"].alias("_row"))
+    first = linked.join(rows.select("_row", F.col("doc")["doc_id"].alias("doc_id")), "_row").groupBy("_class").agg(F.min(order)["_row"].alias("_row"))
     copies = linked.join(first.select("_row"), "_row", "left_anti").select("_row")
-    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
+    return rows.join(copies, "_row", "left_anti").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
