@@ -106,25 +106,30 @@ def fitted(near: DataFrame, scale: float) -> DataFrame:
     return out.select("g", *(f"m{i}" for i in p), *(f"c{i}{j}" for i in p for j in p if j <= i))
 
 
-def beside(spark: SparkSession, rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
+def are_few(fit: DataFrame) -> bool:
+    """Whether there are at most GROUPS estimates; those of the same groups need not be counted again."""
+    return fit.limit(GROUPS + 1).count() <= GROUPS
+
+
+def beside(spark: SparkSession, rows: DataFrame, fit: DataFrame, few: bool | None = None, how: str = "inner") -> DataFrame:
     """rows, each with the written estimate of its group, for grouping anew.
 
-    Up to GROUPS estimates are broadcast. More of them are joined by shuffles, and the join is written: grouped at
+    Few estimates, counted unless `few` tells it, are broadcast. More of them are joined by shuffles, and the join is written: grouped at
     once, all rows of a hot group would meet in one task, while so Spark splits the join and sums before grouping.
     """
-    if fit.limit(GROUPS + 1).count() <= GROUPS:
+    if are_few(fit) if few is None else few:
         return rows.join(F.broadcast(fit), "g", how)
     return materialize(spark, rows.join(fit, "g", how), "mcd-rows")
 
 
-def with_distance(spark: SparkSession, stats: DataFrame, fit: DataFrame) -> DataFrame:
+def with_distance(spark: SparkSession, stats: DataFrame, fit: DataFrame, few: bool | None = None) -> DataFrame:
     """Adds the squared Mahalanobis distance d2, by Cholesky's factor and forward substitution; null without a fit.
 
     The variance that remains of a statistic, given those before it, is taken to be the row's least one where it is
     below that: a bound, nothing is added to a larger variance, and no factor is singular.
     """
     p = range(len(STATS))
-    out = beside(spark, stats, fit, "left")
+    out = beside(spark, stats, fit, few, "left")
     for i, least in zip(p, least_variances(), strict=True):
         for k in range(i):
             rest = F.col(f"c{i}{k}")
@@ -140,8 +145,8 @@ def with_distance(spark: SparkSession, stats: DataFrame, fit: DataFrame) -> Data
     return out.select(*stats.columns, d2.alias("d2"))
 
 
-def determinants(fit: DataFrame) -> DataFrame:
-    """g and the logarithm of the determinant of its covariance; what remains of a statistic is a rounding at least."""
+def with_determinant(fit: DataFrame) -> DataFrame:
+    """Adds det, the logarithm of the determinant of the covariance; what remains of a statistic is a rounding at least."""
     out, p = fit, range(len(STATS))
     for i in p:
         for k in range(i + 1):
@@ -150,7 +155,7 @@ def determinants(fit: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{j}") * F.col(f"l{k}{j}")
             least = F.sqrt(F.greatest(rest, F.lit(1 / 12)))
             out = out.withColumn(f"l{i}{k}", least if i == k else rest / F.col(f"l{k}{k}"))
-    return out.select("g", (2 * sum((F.log(f"l{i}{i}") for i in p[1:]), F.log("l00"))).alias("det"))
+    return out.select(*fit.columns, (2 * sum((F.log(f"l{i}{i}") for i in p[1:]), F.log("l00"))).alias("det"))
 
 
 def starts(spark: SparkSession, some: DataFrame) -> DataFrame:
@@ -161,12 +166,12 @@ def starts(spark: SparkSession, some: DataFrame) -> DataFrame:
     """
     p = range(len(STATS))
     middle = materialize(spark, some.groupBy("g").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(STATS))), "mcd-middle")
-    off = [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATS)]
-    spread = beside(spark, some, middle).groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in p), *(F.percentile(x, F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(off)))
+    few, off = are_few(middle), [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(STATS)]
+    spread = beside(spark, some, middle, few).groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in p), *(F.percentile(x, F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(off)))
     spread = materialize(spark, spread, "mcd-spread")
     square = [F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) for i in p]
     rough = spread.select("g", *(f"m{i}" for i in p), *((square[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in p if j <= i))
-    inside = beside(spark, some, spread)
+    inside = beside(spark, some, spread, few)
     for i, x in enumerate(off):
         inside = inside.filter(x <= 2 * F.greatest(F.col(f"s{i}"), F.lit(1.0)))
     three = [rough, fitted(some, 1.0), fitted(inside.select("g", *STATS), 1.0)]
@@ -183,32 +188,31 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
     """
     some = stats.filter("NOT base_failed").select(F.explode("fits").alias("g"), *STATS, "n_words", "n_lines")
     fit = starts(spark, some)
+    few = are_few(fit)
     every = some.withColumn("g", F.explode(F.array(*(F.concat("g", F.lit(f"#{k}")) for k in (1, 2, 3)))))
     # the covariance of the nearest 75 % of normal rows is smaller than that of all, by this factor
     scale = SHARE / (1 - math.exp(-NEAR / 2) * (1 + NEAR / 2 + (NEAR / 2) ** 2 / 2))
-    step, best = F.floor(100 * F.log1p("d2")), None
+    step, begun = F.floor(100 * F.log1p("d2")), False
     for _ in range(MOST_STEPS):
-        far = with_distance(spark, every, fit)
+        far = with_distance(spark, every, fit, few)
         cut = materialize(spark, far.groupBy("g").agg(F.percentile(step, F.lit(SHARE)).alias("cut")), "mcd-cut")
-        near = beside(spark, far, cut).filter(step <= F.col("cut"))
-        fit = fitted(near, scale)
-        fit = materialize(spark, fit.join(determinants(fit).withColumnRenamed("g", "_g"), F.col("g") == F.col("_g")).drop("_g"), "mcd-fit")
-        if best is None:
-            best = fit
+        new = with_determinant(fitted(beside(spark, far, cut, few).filter(step <= F.col("cut")), scale))
+        if not begun:
+            fit, begun = materialize(spark, new, "mcd-fit"), True
             continue
-        old = best.select(F.col("g").alias("_g"), F.col("det").alias("_det"))
-        both = fit.join(old, F.col("g") == F.col("_g"))
-        falls = F.col("det") < F.col("_det") - 1e-6
-        if not both.filter(falls).limit(1).count():
+        # where the determinant does not fall, the estimate before it stays
+        names = [c for c in new.columns if c != "g"]
+        both = beside(spark, new, fit.select("g", F.struct(*names).alias("old")), few)
+        fell = F.col("det") < F.col("old")["det"] - 1e-6
+        fit = both.select("g", fell.alias("fell"), *(F.when(fell, F.col(c)).otherwise(F.col("old")[c]).alias(c) for c in names))
+        fit = materialize(spark, fit, "mcd-fit")
+        if not fit.filter("fell").limit(1).count():
             break
-        kept = best.join(both.filter(falls).select("_g"), F.col("g") == F.col("_g"), "left_anti")
-        best = materialize(spark, kept.unionByName(both.filter(falls).select(*best.columns)), "mcd-best")
-        fit = best
-    one = best.withColumn("start", F.element_at(F.split("g", "#"), -1)).withColumn("g", F.regexp_replace("g", "#[123]$", ""))
-    columns = [c for c in one.columns if c not in ("g", "det", "start")]
+    one = fit.withColumn("start", F.element_at(F.split("g", "#"), -1)).withColumn("g", F.regexp_replace("g", "#[123]$", ""))
+    columns = [c for c in one.columns if c not in ("g", "det", "fell", "start")]
     least = one.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("fit")).select("g", "fit.*")
     least = materialize(spark, least, "mcd-fit")
-    return materialize(spark, fitted(with_distance(spark, some, least).filter(F.col("d2") <= WITHIN), 1.0), "mcd-fit")
+    return materialize(spark, fitted(with_distance(spark, some, least, few).filter(F.col("d2") <= WITHIN), 1.0), "mcd-fit")
 
 
 def judge(spark: SparkSession, docs: DataFrame, far: float = FAR) -> DataFrame:
