@@ -93,14 +93,19 @@ def least_variances() -> list[Column]:
     return [F.greatest(TRIAL * k / n, F.lit(1 / 12)) for k, n in ((1, words), (1, words), (1, lines), (8, words))]
 
 
-def fitted(near: DataFrame, scale: float) -> DataFrame:
-    """Mean and covariance of each group's rows; sums of integers in decimal are exact."""
+def fitted(rows: DataFrame, scale: float, near: Column | None = None) -> DataFrame:
+    """Mean and covariance of each group's rows, or of those that are near; sums of integers in decimal are exact.
+
+    near is a column that the sums look at, not a filter: a filter on a distance is moved below the columns that the
+    distance comes from, each written out in the next, to more code than a method may hold.
+    """
     p = range(len(STATS))
-    total = lambda x: F.sum(x.cast("decimal(20,0)")).cast("double")
-    sums = near.groupBy("g").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), *(total(F.col(STATS[i])).alias(f"m{i}") for i in p),
+    rows = rows.withColumn("near", F.lit(True) if near is None else near)
+    total = lambda x: F.sum(F.when(F.col("near"), x).cast("decimal(20,0)")).cast("double")
+    sums = rows.groupBy("g").agg(
+        F.count_if("near").cast("double").alias("n"), *(total(F.col(STATS[i])).alias(f"m{i}") for i in p),
         *(total(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c{i}{j}") for i in p for j in p if j <= i),
-    )
+    ).filter("n > 0")
     out = sums.withColumns({f"m{i}": F.col(f"m{i}") / F.col("n") for i in p})
     out = out.withColumns({f"c{i}{j}": scale * (F.col(f"c{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) for i in p for j in p if j <= i})
     return out.select("g", *(f"m{i}" for i in p), *(f"c{i}{j}" for i in p for j in p if j <= i))
@@ -196,7 +201,7 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
     for _ in range(MOST_STEPS):
         far = with_distance(spark, every, fit, few)
         cut = materialize(spark, far.groupBy("g").agg(F.percentile(step, F.lit(SHARE)).alias("cut")), "mcd-cut")
-        new = with_determinant(fitted(beside(spark, far, cut, few).filter(step <= F.col("cut")), scale))
+        new = with_determinant(fitted(beside(spark, far, cut, few), scale, step <= F.col("cut")))
         if not begun:
             fit, begun = materialize(spark, new, "mcd-fit"), True
             continue
@@ -212,7 +217,7 @@ def minimum_covariance(spark: SparkSession, stats: DataFrame) -> DataFrame:
     columns = [c for c in one.columns if c not in ("g", "det", "fell", "start")]
     least = one.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("fit")).select("g", "fit.*")
     least = materialize(spark, least, "mcd-fit")
-    return materialize(spark, fitted(with_distance(spark, some, least, few).filter(F.col("d2") <= WITHIN), 1.0), "mcd-fit")
+    return materialize(spark, fitted(with_distance(spark, some, least, few), 1.0, F.col("d2") <= WITHIN), "mcd-fit")
 
 
 def judge(spark: SparkSession, docs: DataFrame, far: float = FAR) -> DataFrame:
