@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from logtrail.llm.decontaminate import op2_decontaminate
-from logtrail.llm import line_dedup
+from logtrail.llm import line_dedup, oracles
 from logtrail.llm.jaccard import op1_jaccard_join
 from logtrail.llm.line_dedup import op8_line_dedup
 from logtrail.llm.packing import op4_packing
@@ -26,4 +26,10 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": oracles.DECONTAMINATE,
+    "op5_suffix_array": oracles.SUFFIX_ARRAY,
+    "op7_suffix_tree": oracles.SUFFIX_TREE,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_warc": oracles.WARC,
+}
