@@ -164,6 +164,13 @@ st(source, k, s, chars, cut) AS (
 ends AS (SELECT a.source, a.s, a.k, row_number() OVER (PARTITION BY a.source ORDER BY a.k) - 1 AS n FROM st a LEFT JOIN st b ON b.source = a.source AND b.k = a.k + 1 WHERE COALESCE(b.cut, true)),
 chunk AS (SELECT e.source, e.n AS "at", max_by(p.heading, p."at") AS heading, string_agg(p.content, chr(10) || chr(10) ORDER BY p."at") AS content
   FROM ends e JOIN par p ON p.source = e.source AND p."at" BETWEEN e.s AND e.k GROUP BY e.source, e.n)"""
+#: What the reports of views.written_reports use of techniques, and how much of it is backed.
+REPORTS = """
+chk AS (SELECT inc_idx, tlist, inc_idx % 7 = 5 AS parse_error,
+  CASE inc_idx % 6 WHEN 0 THEN tlist WHEN 1 THEN ['T9999', tlist[1]] WHEN 2 THEN ['T1546', tlist[1]] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE [tlist[1]] END AS used,
+  CASE inc_idx % 6 WHEN 0 THEN len(tlist) WHEN 2 THEN CAST(list_contains(tlist, 'T1546') AS INT) + CAST(regexp_matches(lower(tactic), '\\b(exfiltration|things)\\b') AS INT)
+    WHEN 3 THEN 0 ELSE 1 END AS supported
+  FROM inc JOIN cat ON cat.technique = tlist[1])"""
 #: Two tenants in one table: hosts of different tenants are different hosts.
 TENANTS = EV.replace("SELECT * RENAME", "SELECT * REPLACE ((CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) || ':' || host AS host) RENAME")
 FIRST_WORDS = "regexp_replace(substr(text, 1, 600), ' [^ ]*$', '')"
@@ -175,6 +182,8 @@ ORACLE_SQL = {
     "sink_layer_json": sql("SELECT 'detections' AS name, '4.5' AS version, CAST(COUNT(*) AS INT) AS techniques, arg_min(comment, technique) AS comment FROM (SELECT technique, COUNT(*) || ' signal(s) on: ' || string_agg(DISTINCT host, ', ' ORDER BY host) AS comment FROM sig GROUP BY technique)", EV, SIG),
     "ret_format": f"SELECT doc_id AS qid, md5('[' || source || ' — ' || lang || ']' || chr(10) || CASE WHEN length(text) > 600 THEN CASE WHEN contains(substr(text, 1, 600), ' ') THEN {FIRST_WORDS} ELSE substr(text, 1, 600) END || ' …' ELSE text END) AS block FROM documents",
     "chk_ungrounded_ip": f"SELECT doc_id, array_to_string(ips, ',') AS ips FROM (SELECT doc_id, {UNGROUNDED} AS ips FROM documents WHERE length(text) > 1) WHERE len(ips) > 0",
+    "chk_steps": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, array_to_string(used, ',') AS used, CAST(supported AS INT) AS supported FROM chk WHERE NOT parse_error", *INC, CATALOGUE, REPORTS),
+    "chk_trust_score": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, CASE WHEN parse_error OR len(used) = 0 THEN 0 ELSE round_even(least(supported / len(used), len(list_intersect(used, tlist)) / len(tlist)), 2) END AS trust_score FROM chk", *INC, CATALOGUE, REPORTS),
     "doc_chunks": sql('SELECT source, "at", heading, md5(content) AS content FROM chunk', DOC, CHUNKS),
     "doc_stats": sql("SELECT source, COUNT(*) AS passages FROM chunk GROUP BY ROLLUP (source)", DOC, CHUNKS),
     "sink_passages": sql('SELECT source, COUNT(*) AS passages, CAST(SUM(length(content)) AS BIGINT) AS chars FROM chunk GROUP BY source', DOC, CHUNKS),
