@@ -179,4 +179,5 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there; see pieces and pack."""
     return pack(spark, pieces(table(spark, sf_dir, "documents"), tokenizer_file()))

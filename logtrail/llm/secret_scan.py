@@ -159,4 +159,5 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets, base ones and those that the checksums bear out; see scan."""
     return scan(table(spark, sf_dir, "documents"))

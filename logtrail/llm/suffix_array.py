@@ -117,7 +117,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = False) ->
 
     Texts are taken as UTF-8; null and empty ones have no bytes, and texts shorter than a window lose none. What is
     left may begin or end within a character, hence bytes. Of a repeated passage every occurrence goes. Repeated rows
-    are repeats of each other. An empty table gives no rows.
+    are repeats of each other. An empty table gives no rows. Nothing is chosen
+    among ties, since every occurrence goes. Columns other than doc_id and text are not looked at.
     """
     docs = identified(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept else "")
@@ -141,4 +142,5 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = False) ->
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without bytes that repeated windows cover; see without_repeats."""
     return without_repeats(spark, table(spark, sf_dir, "documents"))

@@ -112,7 +112,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = False) ->
 
     Words are unchanged and joined by one blank. Null and empty texts have no words, texts of fewer words than a
     window lose none. Of a repeated passage every occurrence goes. Repeated rows are repeats of each other. An empty
-    table gives no rows.
+    table gives no rows. Nothing is chosen among ties. Columns other than doc_id and text are not looked at.
     """
     docs = identified(docs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if kept else "")
@@ -137,4 +137,5 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = False) ->
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without words that repeated windows cover; see without_repeats."""
     return without_repeats(spark, table(spark, sf_dir, "documents"))

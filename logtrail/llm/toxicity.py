@@ -230,6 +230,7 @@ def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model fitted on labelled rows that are not held out; see fit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(spark, docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
