@@ -74,3 +74,16 @@ runs AS (SELECT *, gone AND NOT COALESCE(LAG(gone) OVER (PARTITION BY doc_id ORD
 kept AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, COUNT(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS rest FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(b) AS BIGINT) AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(rest, ''))) AS kept_sha256
 FROM doc d LEFT JOIN kept USING (doc_id)"""
+
+_DRAW = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT)"
+#: Units written out as a list; a cut joins the first k of them.
+FILL_MIDDLE = rf"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, sha256('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h,
+  regexp_extract_all(COALESCE(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT *, CAST(len(w) AS BIGINT) AS n, {_DRAW(0)} % (len(w) + 1) AS x, {_DRAW(1)} % (len(w) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_DRAW(2)} % 100 >= 50 THEN 'plain' WHEN {_DRAW(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, n, form, t, array_to_string(w[1:CAST(least(x, y) AS BIGINT)], '') AS pre, array_to_string(w[CAST(least(x, y) AS BIGINT) + 1:CAST(greatest(x, y) AS BIGINT)], '') AS mid,
+  array_to_string(w[CAST(greatest(x, y) AS BIGINT) + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logtrail.llm.decontaminate import op2_decontaminate
 from logtrail.llm import line_dedup, oracles
+from logtrail.llm.fill_middle import op13_fill_middle
 from logtrail.llm.jaccard import op1_jaccard_join
 from logtrail.llm.line_dedup import op8_line_dedup
 from logtrail.llm.packing import op4_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op10_warc": op10_warc,
+    "op13_fill_middle": op13_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_tree": oracles.SUFFIX_TREE,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op10_warc": oracles.WARC,
+    "op13_fill_middle": oracles.FILL_MIDDLE,
 }
