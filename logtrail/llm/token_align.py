@@ -1,17 +1,18 @@
 """Alignment of two tokenizers' tokens by the bytes at which they end.
 
-A worker encodes texts with both tokenizers and merges the cumulative ends of their tokens by two pointers: where both
-sides end, a group closes and a link is emitted. Spark counts id pairs over the corpus, takes the highest count of
-each side's ids and joins both back to the links.
+A worker encodes texts with both tokenizers and merges the cumulative ends of their tokens, two rising runs, by two
+pointers: where both sides end, a group closes and a link is emitted. Spark counts id pairs over the corpus, takes the
+highest count of each side's ids and joins both back to the links.
 
-Neither tokenizer joins anything across a blank that follows another character, so texts are cut there and each
-distinct stretch is encoded and merged once, then looked up: the result is that of whole texts (tested).
+Neither tokenizer joins anything across a blank that follows another character, so texts are cut there into stretches,
+mostly a word each. A worker encodes and merges new ones together, a text made of them, and keeps what each came to: the
+result is that of whole texts (tested).
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -26,8 +27,12 @@ from logtrail.llm.packing import tokenizer_file
 
 #: A blank with white space and other characters after it, up to a blank that follows another character.
 STRETCH = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
-#: Stretches, and characters of them, that a worker keeps; beyond it the store starts anew.
-STRETCHES_KEPT, CHARS_KEPT = 200_000, 10_000_000
+#: Stretches, and characters of them, that a worker keeps; beyond either the store starts anew.
+STRETCHES_KEPT, CHARS_KEPT = 500_000, 10_000_000
+#: Characters that are encoded at once, about.
+AT_ONCE = 100_000
+#: Fixed value: how byte-level vocabularies of this kind split texts before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pairs of ids up to which counts are broadcast (32 bytes each); more are joined by a shuffle.
 PAIRS_BROADCAST = 2_000_000
 #: A pair of ids as one number.
@@ -35,26 +40,16 @@ B_BITS = 20
 ENCODED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
-def merge_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Groups, each as how many tokens of a and of b are complete at its end, and links (place in a, place in b).
+def merge_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the ends that both have; both rise strictly.
 
-    a and b rise and end alike; several tokens of one side that end at one byte (empty ones) are all linked there.
+    A stable sort of two runs, each in order, walks them by two pointers; an end of both stands there twice in a row.
     """
-    groups, links, i, j = [], [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] < b[j]:
-            i += 1
-        elif b[j] < a[i]:
-            j += 1
-        else:
-            end, first_i, first_j = a[i], i, j
-            while i < len(a) and a[i] == end:
-                i += 1
-            while j < len(b) and b[j] == end:
-                j += 1
-            links += [(x, y) for x in range(first_i, i) for y in range(first_j, j)]
-            groups.append((i, j))
-    return groups, links
+    ends = np.concatenate([a, b])
+    order = np.argsort(ends, kind="stable")
+    ends = ends[order]
+    twice = np.flatnonzero(ends[1:] == ends[:-1])
+    return order[twice], order[twice + 1] - len(a)
 
 
 def byte_of() -> dict[str, int]:
@@ -64,58 +59,110 @@ def byte_of() -> dict[str, int]:
     return {chr(x): x for x in prints} | {chr(256 + i): x for i, x in enumerate(others)}
 
 
-class Aligner:
-    """Encodes stretches of text with both tokenizers, merges them, and keeps what it found."""
+class ByteLevel:
+    """Ids of a byte-level vocabulary of the `tokenizers` format.
 
-    def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import sentencepiece
+    If it is of the common kind (blanks kept, merges in the order of their ids) its table serves the quicker encoder of
+    tiktoken, which gives the same ids (tested); other vocabularies take their own library.
+    """
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
         decode = byte_of()
-        self.a_bytes = [bytes(decode[c] for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
-        self.b_bytes = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.blank = self.b.piece_to_id("▁")
-        self.clear()
+        self.bytes = [bytes(decode[c] for c in self.own.id_to_token(i)) for i in range(self.own.get_vocab_size())]
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.quick = self._quick(told) if self._common(told) else None
 
     @staticmethod
-    def _piece(piece: str) -> bytes:
-        if found := re.fullmatch(r"<0x([0-9A-F]{2})>", piece):
-            return bytes([int(found[1], 16)])
-        return piece.replace("▁", " ").encode()
+    def _common(told: dict) -> bool:
+        kind, vocab = told["pre_tokenizer"] or {}, told["model"]["vocab"]
+        merges = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"]["merges"]]
+        plain = told["normalizer"] is None and not told["model"].get("dropout") and not told["model"].get("ignore_merges")
+        return plain and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and merges == sorted(merges)
+
+    def _quick(self, told: dict):
+        import tiktoken
+
+        special = {x["id"] for x in told["added_tokens"]}
+        ranks = {self.bytes[i]: i for i in told["model"]["vocab"].values() if i not in special}
+        return tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        return self.quick.encode_ordinary(text) if self.quick else self.own.encode(text, add_special_tokens=False).ids
+
+
+class Pieces:
+    """Ids of a piece vocabulary, which sets a blank before a text by itself."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.own = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.bytes = [self._bytes(self.own.id_to_piece(i)) for i in range(self.own.get_piece_size())]
+        self.blank = self.own.piece_to_id("▁")
+
+    @staticmethod
+    def _bytes(piece: str) -> bytes:
+        found = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
+        return bytes([int(found[1], 16)]) if found else piece.replace("▁", " ").encode()
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that begins with a blank: the one that is set by itself, but not before nothing."""
+        return self.own.encode(text[1:]) if text != " " else [self.blank]
+
+
+class Side:
+    """A tokenizer with the length of each id in bytes, and each id as text, before `,` and before what ends a group."""
+
+    def __init__(self, own: ByteLevel | Pieces, end: str) -> None:
+        self.encode, self.bytes = own.encode, own.bytes
+        self.sizes = np.array([len(x) for x in own.bytes], np.int64)
+        if not self.sizes.all():
+            raise ValueError("a vocabulary with empty tokens cannot be aligned")
+        self.told = np.array([*(f"{i}," for i in range(len(own.bytes))), *(f"{i}{end}" for i in range(len(own.bytes)))], object)
+
+    def ids(self, text: str, whole: bytes) -> np.ndarray | None:
+        """Null where the bytes of the ids are not the text's own."""
+        found = self.encode(text)
+        return np.array(found, np.int64) if b"".join([self.bytes[i] for i in found]) == whole else None
+
+
+def rows_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Rising:
+    """Rows of integers to which more are added; space doubles."""
+
+    def __init__(self, width: int) -> None:
+        self.n, self.held = 0, np.zeros((1024, width), np.int64)
+
+    def add(self, rows: np.ndarray) -> None:
+        while self.n + len(rows) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
+class Aligner:
+    """Merges stretches of text and keeps of each: how many tokens, groups and links, its groups as text, its links."""
+
+    def __init__(self, a_path: str, b_path: str) -> None:
+        self.a, self.b = Side(ByteLevel(a_path), "|"), Side(Pieces(b_path), ";")
+        self.clear()
 
     def clear(self) -> None:
         self.store: dict[str, int] = {}
-        self.chars, self.sizes, self.groups, self.links = 0, [], [], []
-
-    def ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; b adds the first blank of a stretch by itself, but to an empty text adds none."""
-        a = [x.ids for x in self.a.encode_batch(stretches, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        return a, [found if s != " " else [self.blank] for s, found in zip(stretches, b, strict=True)]
+        self.chars, self.told = 0, []
+        #: n_a, n_b, n_groups, n_links, whether it has no tokens, where its links begin; all links
+        self.sizes, self.links = Rising(6), Rising(1)
 
-    def learn(self, stretches: list[str]) -> None:
-        for s, a, b in zip(stretches, *self.ids(stretches), strict=True):
-            of_a, of_b, whole = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], s.encode("utf-8", "surrogatepass")
-            self.store[s] = len(self.sizes)
-            self.chars += len(s)
-            if b"".join(of_a) != whole or b"".join(of_b) != whole:  # its texts have no tokens
-                self.sizes.append((0, 0, 0, 0, 1))
-                self.groups.append("")
-                self.links.append(np.zeros(0, np.int64))
-                continue
-            groups, links = merge_ends(np.cumsum([*map(len, of_a)]).tolist(), np.cumsum([*map(len, of_b)]).tolist())
-            told, x, y = [], 0, 0
-            for i, j in groups:
-                told.append(f"{','.join(map(str, a[x:i]))}|{','.join(map(str, b[y:j]))}")
-                x, y = i, j
-            self.sizes.append((len(a), len(b), len(groups), len(links), 0))
-            self.groups.append(";".join(told))
-            self.links.append(np.array([(a[i] << B_BITS) | b[j] for i, j in links], np.int64))
-
-    def align(self, texts: list[str | None]) -> Iterator[tuple]:
+    def align(self, texts: list[str | None]) -> list[tuple]:
         """n_a, n_b, n_groups, n_links, digest of the groups, distinct pairs and how often each is linked, for each text."""
         cut = [STRETCH.findall(" " + t) if t else [] for t in texts]
         if new := set().union(*cut).difference(self.store):
@@ -123,18 +170,69 @@ class Aligner:
                 self.clear()
                 new = set().union(*cut)
             self.learn(list(new))
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 5)
-        for stretches in cut:
-            at = np.fromiter(map(self.store.__getitem__, stretches), np.int64, len(stretches))
-            n = sizes[at].sum(axis=0)
-            if not len(at) or n[4]:
-                yield 0, 0, 0, 0, "", [], []
+        return [self._align(stretches) for stretches in cut]
+
+    def _align(self, stretches: list[str]) -> tuple:
+        at = np.fromiter(map(self.store.__getitem__, stretches), np.int64, len(stretches))
+        sizes = self.sizes.held[at]
+        n_a, n_b, n_groups, n_links, bad, _ = sizes.sum(axis=0).tolist()
+        if bad or not n_a:
+            return 0, 0, 0, 0, "", [], []
+        pairs, times = np.unique(self.links.held[rows_of(sizes[:, 5], sizes[:, 3]), 0], return_counts=True)
+        told = "".join(map(self.told.__getitem__, at.tolist()))[:-1]
+        return n_a, n_b, n_groups, n_links, hashlib.sha256(told.encode()).hexdigest(), pairs, times
+
+    def learn(self, stretches: list[str]) -> None:
+        """All together; one with white space at its end, which the next could join, by itself."""
+        lot, size = [], 0
+        for s in stretches:
+            if s[-1].isspace():
+                self._learn([s])
                 continue
-            one, often = np.unique(at, return_counts=True)
-            links = [self.links[u] for u in one.tolist()]
-            pairs, place = np.unique(np.concatenate(links), return_inverse=True)
-            times = np.bincount(place, np.repeat(often, [len(x) for x in links]), len(pairs)).astype(np.int64)
-            yield *n[:4].tolist(), hashlib.sha256(";".join([self.groups[u] for u in at.tolist()]).encode()).hexdigest(), pairs, times
+            lot.append(s)
+            size += len(s)
+            if size > AT_ONCE:
+                self._learn(lot)
+                lot, size = [], 0
+        if lot:
+            self._learn(lot)
+
+    def _learn(self, lot: list[str]) -> None:
+        text = "".join(lot)
+        whole = text.encode("utf-8", "surrogatepass")
+        ends = np.cumsum([len(s.encode("utf-8", "surrogatepass")) for s in lot])
+        a, b = self.a.ids(text, whole), self.b.ids(text, whole)
+        if a is None or b is None:
+            if len(lot) > 1:  # some have bytes that are not given back
+                self._learn(lot[: len(lot) // 2])
+                self._learn(lot[len(lot) // 2 :])
+            else:
+                self._keep(lot, np.array([[0, 0, 0, 0, 1]]), [""], np.zeros(0, np.int64))
+            return
+        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        at_a, at_b = merge_ends(ends_a, ends_b)
+        upto = [np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, ends_a[at_a])]
+        sizes = np.stack([np.diff(x, prepend=0) for x in upto], axis=1)
+        told, cuts = self.groups(a, b, at_a, at_b), (upto[0] + upto[1]).tolist()
+        self._keep(lot, np.column_stack([sizes, sizes[:, 2], np.zeros(len(lot), np.int64)]), ["".join(told[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)], (a[at_a] << B_BITS) | b[at_b])
+
+    def _keep(self, lot: list[str], sizes: np.ndarray, told: list[str], links: np.ndarray) -> None:
+        self.store.update(zip(lot, range(len(self.told), len(self.told) + len(lot)), strict=True))
+        self.chars += sum(map(len, lot))
+        self.told += told
+        self.sizes.add(np.column_stack([sizes, self.links.n + np.cumsum(sizes[:, 3]) - sizes[:, 3]]))
+        self.links.add(links[:, None])
+
+    def groups(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[str]:
+        """a1,a2|b1;a3|b2,b3; by ids: within a group those of a, then those of b."""
+        out = np.empty(len(a) + len(b), object)
+        group_a = np.searchsorted(at_a, np.arange(len(a)), "left")  # how many groups are closed before each token
+        group_b = np.searchsorted(at_b, np.arange(len(b)), "left")
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[at_a], last_b[at_b] = len(self.a.sizes), len(self.b.sizes)
+        out[np.arange(len(a)) + np.append(0, at_b + 1)[group_a]] = self.a.told[a + last_a]
+        out[np.arange(len(b)) + at_a[group_b] + 1] = self.b.told[b + last_b]
+        return out.tolist()
 
 
 @cache
@@ -150,7 +248,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for whole in frames:
             for i in range(0, len(whole), ROWS_AT_ONCE):
                 frame = whole.iloc[i : i + ROWS_AT_ONCE]
-                found = list(both.align([t if isinstance(t, str) else None for t in frame["text"]]))
+                found = both.align([t if isinstance(t, str) else None for t in frame["text"]])
                 names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
                 yield pd.concat([frame[["doc_id"]].astype("Int64").reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
