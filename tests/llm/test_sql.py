@@ -9,7 +9,7 @@ import pytest
 from logtrail.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark")
+TABLES = ("documents", "pages", "benchmark", "conversations")
 
 
 def equal(spark, name, folder):
@@ -37,4 +37,6 @@ def test_nulls_repeats_and_letters(spark, tmp_path, name):
     spark.createDataFrame(items, "item_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     pages = [(i, f"http://a/{i}", t) for i, t in enumerate(texts)]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    turns = [(1, i, ("user", "assistant")[i // 2 % 2], t) for i, t in enumerate(texts)] + [(2, None, None, "\\ <s>"), (2, 1, "user", "[INST]<|also|>"), (2, 1, "user", "[INST]<|also|>")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     equal(spark, name, str(tmp_path))
