@@ -26,6 +26,17 @@ PUBLIC_AGAIN6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/
 HEXTETS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with the values, in order, for its {}."""
+    first, *rest = template.split("{}")
+    return F.concat(F.lit(first), *(x for value, part in zip(values, rest, strict=True) for x in (value, F.lit(part))))
+
+
 def truthy(c: Column) -> Column:
     """null where the value is null or empty."""
     return F.nullif(c, F.lit(""))
@@ -84,7 +95,7 @@ def _within6(groups: Column, blocks: tuple[str, ...]) -> Column:
     return out
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -97,7 +108,7 @@ def _external6(ip: Column) -> Column:
         last = F.substring_index(text, ":", -1)
         pair = lambda n: F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(F.lit(0xFFFF))))
         start = F.substring(text, F.lit(1), F.length(text) - F.length(last))
-        return F.when(last.rlike(IPV4), F.concat(start, F.lower(_let(_number(last), pair)))).otherwise(text)
+        return F.when(last.rlike(IPV4), F.concat(start, F.lower(let(_number(last), pair)))).otherwise(text)
 
     def numbers(text: Column) -> Column:
         """The eight groups, null where the text is no address."""
@@ -110,15 +121,15 @@ def _external6(ip: Column) -> Column:
             fits = F.when(F.size(s) == 1, n == 8).otherwise(n <= 7)
             return F.when(fits, F.concat(s[0], zeros, F.when(F.size(s) == 2, F.get(s, F.lit(1))).otherwise(F.array().cast("array<string>"))))
 
-        return F.when(good, F.transform(_let(sides, filled), lambda x: F.conv(x, 16, 10).cast("bigint")))
+        return F.when(good, F.transform(let(sides, filled), lambda x: F.conv(x, 16, 10).cast("bigint")))
 
     def judged(n: Column) -> Column:
         mapped = (F.aggregate(F.slice(n, 1, 5), F.lit(0).cast("bigint"), lambda a, x: a + x) == 0) & (F.get(n, F.lit(5)) == 0xFFFF)
-        v4 = _let(F.get(n, F.lit(6)) * 65536 + F.get(n, F.lit(7)), _external4)
+        v4 = let(F.get(n, F.lit(6)) * 65536 + F.get(n, F.lit(7)), _external4)
         return F.when(n.isNotNull(), F.when(mapped, v4).otherwise(~_within6(n, PRIVATE6) | _within6(n, PUBLIC_AGAIN6)))
 
     plain = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
-    return _let(_let(_let(plain, without_tail), numbers), judged)
+    return let(let(let(plain, without_tail), numbers), judged)
 
 
 def _external4(number: Column) -> Column:
@@ -127,7 +138,7 @@ def _external4(number: Column) -> Column:
 
 def is_external_ip(ip: Column) -> Column:
     """Whether the text is an address outside the special blocks."""
-    v4 = F.when(ip.rlike(IPV4), _let(_number(ip), _external4))
+    v4 = F.when(ip.rlike(IPV4), let(_number(ip), _external4))
     return F.coalesce(F.when(ip.contains(":"), _external6(ip)).otherwise(v4), F.lit(False))
 
 

@@ -164,13 +164,63 @@ st(source, k, s, chars, cut) AS (
 ends AS (SELECT a.source, a.s, a.k, row_number() OVER (PARTITION BY a.source ORDER BY a.k) - 1 AS n FROM st a LEFT JOIN st b ON b.source = a.source AND b.k = a.k + 1 WHERE COALESCE(b.cut, true)),
 chunk AS (SELECT e.source, e.n AS "at", max_by(p.heading, p."at") AS heading, string_agg(p.content, chr(10) || chr(10) ORDER BY p."at") AS content
   FROM ends e JOIN par p ON p.source = e.source AND p."at" BETWEEN e.s AND e.k GROUP BY e.source, e.n)"""
-#: What the reports of views.written_reports use of techniques, and how much of it is backed.
-REPORTS = """
-chk AS (SELECT inc_idx, tlist, inc_idx % 7 = 5 AS parse_error,
-  CASE inc_idx % 6 WHEN 0 THEN tlist WHEN 1 THEN ['T9999', tlist[1]] WHEN 2 THEN ['T1546', tlist[1]] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE [tlist[1]] END AS used,
-  CASE inc_idx % 6 WHEN 0 THEN len(tlist) WHEN 2 THEN CAST(list_contains(tlist, 'T1546') AS INT) + CAST(regexp_matches(lower(tactic), '\\b(exfiltration|things)\\b') AS INT)
-    WHEN 3 THEN 0 ELSE 1 END AS supported
-  FROM inc JOIN cat ON cat.technique = tlist[1])"""
+#: The evidence of each incident: its first events, signals, techniques and campaign.
+PACKAGE = f"""
+lin AS ({EVENT_LINE}),
+evl AS (SELECT inc_idx, string_agg(line, chr(10) ORDER BY rn) FILTER (rn <= 50) AS lines, MAX(n) AS n FROM (
+  SELECT i.inc_idx, l.line, row_number() OVER (PARTITION BY i.inc_idx ORDER BY e.time, e.id) AS rn, COUNT(*) OVER (PARTITION BY i.inc_idx) AS n
+  FROM inc i JOIN eids x ON x.host = i.host AND x.anchor = i.anchor JOIN ev e ON e.id = x.id JOIN lin l ON l.id = x.id) GROUP BY inc_idx),
+sgl AS (SELECT i.inc_idx, string_agg('  - ' || technique || ' ' || technique_name || ': ' || description || ' (event ids: [' || replace(o.event_ids, ',', ', ') || '])', chr(10) ORDER BY o.rn) AS lines
+  FROM inc i JOIN ord o ON o.host = i.host AND o.anchor = i.anchor GROUP BY i.inc_idx),
+rfs AS (SELECT i.inc_idx, string_agg('  - ' || t.technique || ': ' || c.name || ' [' || c.tactic || ']', chr(10) ORDER BY t.rn) AS lines
+  FROM inc i JOIN techs t ON t.host = i.host AND t.anchor = i.anchor JOIN cat c ON c.technique = t.technique GROUP BY i.inc_idx),
+prl AS (SELECT m.inc_idx, string_agg('  - ' || p.host || ' at ' || {ISO("p.st")} || ': ' || replace(p.techniques, ',', ', '), chr(10) ORDER BY p.st, p.inc_idx) AS lines
+  FROM mem m JOIN mem p USING (campaign_id) WHERE p.inc_idx <> m.inc_idx GROUP BY m.inc_idx),
+pkg AS (SELECT i.inc_idx, 'HOST: ' || host || chr(10) || 'TIME RANGE: ' || {ISO("st")} || ' - ' || {ISO("en")} || chr(10) || chr(10) || '<evidence>' || chr(10) || 'EVENTS (raw logs — each has an id):' || chr(10) || evl.lines || chr(10)
+  || CASE WHEN n > 50 THEN '  (… ' || (n - 50) || ' further event(s) omitted to stay within budget)' || chr(10) ELSE '' END
+  || chr(10) || 'TRIGGERED DETECTION RULES (signals):' || chr(10) || sgl.lines || chr(10) || '</evidence>' || chr(10) || chr(10) || 'RELEVANT TECHNIQUES (trusted reference):' || chr(10) || rfs.lines || chr(10)
+  || COALESCE(chr(10) || 'SAME CAMPAIGN — RELATED ACTIVITY ON OTHER HOSTS:' || chr(10) || prl.lines || chr(10) || '  These hosts share a pivot address or account: treat them as one campaign.' || chr(10), '')
+  || chr(10) || 'REQUIRED: one attack_chain entry for each of: ' || replace(techniques, ',', ', ') || '.' AS evidence
+  FROM inc i JOIN evl USING (inc_idx) JOIN sgl USING (inc_idx) JOIN rfs USING (inc_idx) LEFT JOIN prl USING (inc_idx))"""
+TACTIC_WORDS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x: x <> '' AND x NOT IN (" + ", ".join(text(w) for w in S.TACTIC_STOPWORDS) + "))"
+#: The reports of views.written_reports as what counts in each: form, steps with a technique, addresses, severity; then the checks.
+REPORTS = f"""
+rep AS (SELECT inc_idx, tlist, {SEVERITY} AS severity, inc_idx % 7 = 5 AS parse_error, CASE WHEN inc_idx % 13 IN (1, 3, 5, 7, 9) THEN inc_idx % 13 ELSE 0 END AS form, inc_idx % 6 AS kind, tlist[1] AS f FROM inc),
+chn AS (SELECT *, CASE WHEN parse_error OR form IN (5, 7) THEN [] WHEN form = 1 THEN [f || '|'] WHEN form = 3 THEN ['1110|', f || '|'] WHEN form = 9 THEN [f || '|["Exfiltration"]']
+    WHEN kind = 0 THEN list_transform(tlist, lambda x: x || '|') WHEN kind = 1 THEN ['T9999|', f || '|'] WHEN kind = 2 THEN ['T1546|', f || '|Exfiltration of things'] WHEN kind = 3 THEN [] ELSE [f || '|'] END AS steps,
+  CASE form WHEN 0 THEN list_concat(CASE WHEN inc_idx % 5 = 0 THEN ['9.9.9.9'] ELSE [] END, CASE WHEN kind <> 3 THEN ['185.220.101.1'] ELSE [] END) WHEN 5 THEN ['8.8.8.8', '9.9.9.9'] ELSE [] END AS ips,
+  CASE form WHEN 0 THEN CASE WHEN inc_idx % 4 = 0 THEN 'low' ELSE severity END WHEN 5 THEN '3' WHEN 7 THEN 'none' WHEN 9 THEN 'low' ELSE '' END AS claimed FROM rep),
+stp AS (SELECT inc_idx, tlist, split_part(s, '|', 1) AS t, split_part(s, '|', 2) AS said, k FROM (SELECT inc_idx, tlist, UNNEST(steps) AS s, generate_subscripts(steps, 1) AS k FROM chn)),
+jdg AS (SELECT inc_idx, k, t, CASE WHEN c.technique IS NULL THEN 'INVENTED TECHNIQUE: ''' || t || ''' is not a valid ATT&CK technique.'
+    WHEN NOT list_contains(tlist, t) THEN 'UNSUPPORTED TECHNIQUE: ''' || t || ''' is in the report but no detection signal backs it.'
+    WHEN said <> '' AND NOT list_has_any({TACTIC_WORDS("said")}, {TACTIC_WORDS("c.tactic")}) THEN 'WRONG TACTIC: ''' || t || ''' reported as ''' || said || ''', ATT&CK says ''' || c.tactic || '''.' END AS warning
+  FROM stp LEFT JOIN cat c ON c.technique = t),
+usd AS (SELECT inc_idx, list(t ORDER BY k) AS used, list(warning ORDER BY k) FILTER (warning IS NOT NULL) AS warned, COUNT(*) FILTER (warning IS NULL) AS supported FROM jdg GROUP BY inc_idx),
+chk AS (SELECT c.*, COALESCE(used, []) AS used, COALESCE(supported, 0) AS supported, CASE WHEN parse_error THEN ['Model produced no valid JSON; output is untrustworthy.'] ELSE list_concat(COALESCE(warned, []),
+    list_transform(list_filter(tlist, lambda x: NOT list_contains(COALESCE(used, []), x)), lambda x: 'MISSING: ''' || x || ''' was detected but is not explained in the report.'),
+    CASE WHEN used IS NULL THEN ['EMPTY REPORT: the model explained no technique despite active detections.'] ELSE [] END,
+    list_transform(list_filter(list_sort(ips), lambda x: NOT contains(lower(evidence), x)), lambda x: 'UNGROUNDED IOC: IP ''' || x || ''' appears in the report but not in the evidence.'),
+    CASE WHEN claimed = 'low' AND severity IN ('medium', 'high') OR claimed = 'medium' AND severity = 'high' THEN ['SEVERITY DOWNGRADE: model rated this ''' || claimed || ''' but detections say ''' || severity || '''; the detector rating stands.'] ELSE [] END) END AS warnings
+  FROM chn c JOIN pkg USING (inc_idx) LEFT JOIN usd USING (inc_idx)),
+vrd AS (SELECT *, NOT parse_error AND len(list_filter(warnings, lambda x: regexp_matches(x, '^(INVENTED|UNSUPPORTED|WRONG TACTIC|UNGROUNDED IOC|EMPTY REPORT|SEVERITY DOWNGRADE)'))) = 0 AS grounded,
+  CASE WHEN parse_error OR len(used) = 0 THEN 0.0 ELSE round_even(least(supported / len(used), len(list_intersect(used, tlist)) / len(tlist)), 2) END AS trust_score FROM chk)"""
+CHECKED = (PACKAGE, REPORTS)
+#: The Markdown lines of the same reports.
+MARKDOWN = f"""
+md AS (SELECT v.*, i.host, i.st, i.en, i.techniques, i.event_ids, c.campaign_id, COALESCE(r.related_hosts, '') AS related_hosts,
+  CASE WHEN parse_error OR form IN (1, 7, 9) THEN '-' WHEN form = 3 THEN 'None' WHEN form = 5 THEN '{{"a":"9.9.9.9"}}' WHEN v.inc_idx % 5 = 0 THEN 'Traffic to 9.9.9.9 seen' ELSE 'Seen' END AS summary,
+  CASE WHEN parse_error THEN '' ELSE claimed END AS told,
+  CASE WHEN form = 5 AND NOT parse_error THEN ['- `t` 8.8.8.8', '- 4'] ELSE [] END AS timeline,
+  CASE WHEN parse_error OR form = 7 THEN [] WHEN form = 1 THEN ['- they came in', '- **' || f || '** (): '] WHEN form = 3 THEN ['- **1110** (): ', '- **' || f || '** (): ', '- **** (Execution): ']
+    WHEN form = 5 THEN ['- technique'] WHEN form = 9 THEN ['- None', '- []', '- 5', '- **** (): ', '- **None** (): ', '- **' || f || '** (["Exfiltration"]): 1.5']
+    ELSE list_transform(steps, lambda x: '- **' || split_part(x, '|', 1) || '** (' || split_part(x, '|', 2) || '): as seen from 185.220.101.1') END AS chain,
+  CASE WHEN parse_error THEN [] WHEN form = 0 THEN ['- block it'] WHEN form = 5 THEN list_transform(regexp_extract_all('block 7.7.7.7', '.'), lambda x: '- ' || x) ELSE [] END AS actions
+  FROM vrd v JOIN inc i USING (inc_idx) LEFT JOIN camp c USING (inc_idx) LEFT JOIN rel r USING (inc_idx)),
+mds AS (SELECT inc_idx, host, array_to_string(list_concat(['# Incident — ' || host || ' [' || upper(severity) || ']', '', '- **Time range:** ' || {ISO("st")} || ' → ' || {ISO("en")}, '- **Techniques detected:** ' || replace(techniques, ',', ', '),
+    '- **Evidence:** event ids [' || replace(event_ids, ',', ', ') || ']'], CASE WHEN campaign_id IS NOT NULL THEN ['- **Campaign #' || campaign_id || '** — also affects: ' || replace(related_hosts, ',', ', ')] ELSE [] END,
+    CASE WHEN told <> '' AND told <> severity THEN ['- *Model suggested `' || told || '`; the detector rating stands.*'] ELSE [] END, ['', '## Summary', '', summary, '', '## Timeline', ''], timeline, ['', '## Attack chain (MITRE ATT&CK)', ''], chain,
+    ['', '## Recommended actions', ''], actions, ['', '## Validation', '', '- **Verdict:** ' || CASE WHEN grounded THEN 'validated against evidence' ELSE 'NOT validated' END, '- **Technique grounding:** ' || CAST(CAST(trust_score AS DOUBLE) AS VARCHAR)],
+    list_transform(warnings, lambda x: '- ' || x)), chr(10)) AS markdown FROM md)"""
 #: Two tenants in one table: hosts of different tenants are different hosts.
 TENANTS = EV.replace("SELECT * RENAME", "SELECT * REPLACE ((CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END) || ':' || host AS host) RENAME")
 FIRST_WORDS = "regexp_replace(substr(text, 1, 600), ' [^ ]*$', '')"
@@ -182,8 +232,13 @@ ORACLE_SQL = {
     "sink_layer_json": sql("SELECT 'detections' AS name, '4.5' AS version, CAST(COUNT(*) AS INT) AS techniques, arg_min(comment, technique) AS comment FROM (SELECT technique, COUNT(*) || ' signal(s) on: ' || string_agg(DISTINCT host, ', ' ORDER BY host) AS comment FROM sig GROUP BY technique)", EV, SIG),
     "ret_format": f"SELECT doc_id AS qid, md5('[' || source || ' — ' || lang || ']' || chr(10) || CASE WHEN length(text) > 600 THEN CASE WHEN contains(substr(text, 1, 600), ' ') THEN {FIRST_WORDS} ELSE substr(text, 1, 600) END || ' …' ELSE text END) AS block FROM documents",
     "chk_ungrounded_ip": f"SELECT doc_id, array_to_string(ips, ',') AS ips FROM (SELECT doc_id, {UNGROUNDED} AS ips FROM documents WHERE length(text) > 1) WHERE len(ips) > 0",
-    "chk_steps": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, array_to_string(used, ',') AS used, CAST(supported AS INT) AS supported FROM chk WHERE NOT parse_error", *INC, CATALOGUE, REPORTS),
-    "chk_trust_score": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, CASE WHEN parse_error OR len(used) = 0 THEN 0 ELSE round_even(least(supported / len(used), len(list_intersect(used, tlist)) / len(tlist)), 2) END AS trust_score FROM chk", *INC, CATALOGUE, REPORTS),
+    "ev_package": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, evidence FROM pkg", *CAMP, CATALOGUE, PACKAGE),
+    "chk_report": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, parse_error, grounded, array_to_string(warnings, chr(10)) AS warnings FROM vrd", *CAMP, CATALOGUE, *CHECKED),
+    "chk_steps": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, array_to_string(used, ',') AS used, CAST(supported AS INT) AS supported FROM vrd WHERE NOT parse_error", *CAMP, CATALOGUE, *CHECKED),
+    "chk_trust_score": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, CAST(trust_score AS DOUBLE) AS trust_score FROM vrd", *CAMP, CATALOGUE, *CHECKED),
+    "chk_summary": sql("SELECT COUNT(*) AS reports, round(AVG(CAST(NOT parse_error AS INT)), 6) AS valid_json, round(AVG(CAST(grounded AS INT)), 6) AS grounded_rate, CAST(SUM(len(list_filter(warnings, lambda x: starts_with(x, 'INVENTED')))) AS BIGINT) AS invented, CAST(SUM(len(list_filter(warnings, lambda x: starts_with(x, 'UNSUPPORTED')))) AS BIGINT) AS unsupported, round(AVG(CAST(trust_score AS DOUBLE)), 6) AS mean_score FROM vrd", *CAMP, CATALOGUE, *CHECKED),
+    "sink_incident_markdown": sql("SELECT CAST(inc_idx AS INT) AS inc_idx, markdown FROM mds", *CAMP, CATALOGUE, *CHECKED, MARKDOWN),
+    "sink_evidence_bundle": sql("SELECT CAST(v.inc_idx AS INT) AS inc_idx, i.host, CASE WHEN grounded THEN 'true' ELSE 'false' END AS grounded, CAST(n AS INT) AS signals FROM vrd v JOIN inc i USING (inc_idx) JOIN (SELECT host, anchor, COUNT(*) AS n FROM asg GROUP BY ALL) s ON s.host = i.host AND s.anchor = i.anchor", *CAMP, CATALOGUE, *CHECKED),
     "doc_chunks": sql('SELECT source, "at", heading, md5(content) AS content FROM chunk', DOC, CHUNKS),
     "doc_stats": sql("SELECT source, COUNT(*) AS passages FROM chunk GROUP BY ROLLUP (source)", DOC, CHUNKS),
     "sink_passages": sql('SELECT source, COUNT(*) AS passages, CAST(SUM(length(content)) AS BIGINT) AS chars FROM chunk GROUP BY source', DOC, CHUNKS),

@@ -1,27 +1,112 @@
-"""Reports written elsewhere, checked against what was detected. Nested fields stay arrays; nothing is exploded."""
+"""Reports written elsewhere, checked against what was detected. Nested fields stay arrays; nothing is exploded.
+
+A report is a VARIANT, so each field may be missing or of another type by itself: a step that is text or a number in
+its technique leaves the other steps as they are. Values are read as a loosely typed program would read them: a missing
+field is empty, null is `None`, numbers and truth values are their text, lists and objects their JSON. Where a list is
+expected, a text counts as its characters and an object as its keys; anything else has no elements.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtrail.functions.columns import severity_rank, tactic_tokens
-from logtrail.schema import CATALOGUE, DISQUALIFYING
+from logtrail.functions.columns import filled, let, severity_rank, strip, tactic_tokens
+from logtrail.schema import CATALOGUE, DISQUALIFYING, REPORT_LINES, WARNINGS
 
 IP = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
-REPORT = "summary string, severity string, timeline array<string>, attack_chain array<struct<technique:string,tactic:string,explanation:string>>, recommended_actions array<string>"
+
+
+def _kind(value: Column) -> Column:
+    """STRING, BOOLEAN, VOID (null), ARRAY<...>, OBJECT<...> or a type of numbers; null where there is no value."""
+    return F.schema_of_variant(value)
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(_kind(value).startswith(kind), F.lit(False))
+
+
+def _member(value: Column, name: str) -> Column:
+    """A member of an object; null where it is missing or the value is no object."""
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def as_text(value: Column) -> Column:
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(_is(value, "VOID"), F.lit("None")).when(_is(value, "BOOLEAN"), F.initcap(text)).otherwise(text)
+
+
+def holds(value: Column) -> Column:
+    """Whether the value is there and neither null, false, zero nor empty."""
+    text = F.try_variant_get(value, "$", "string")
+    empty = F.when(_is(value, "STRING"), text == "").when(_is(value, "BOOLEAN"), text == "false").when(_is(value, "ARRAY"), text == "[]").when(_is(value, "OBJECT"), text == "{}")
+    return F.coalesce(value.isNotNull() & ~_is(value, "VOID") & ~empty.otherwise(F.try_variant_get(value, "$", "double") == 0), F.lit(False))
+
+
+def shown(value: Column, name: str) -> Column:
+    """A member as text, empty where it is missing."""
+    return F.coalesce(as_text(_member(value, name)), F.lit(""))
 
 
 def parse_json(text: Column) -> Column:
-    """The report, also from the stretch between the first and the last brace; null where neither is JSON."""
+    """The report as VARIANT, also from the stretch between the first and the last brace; null where neither is an object.
+
+    An object that names a key twice is none.
+    """
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    good = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^\s*\{"), t)
-    return F.from_json(F.coalesce(good(text), good(inner)), REPORT)
+    good = lambda t: let(F.try_parse_json(t), lambda v: F.when(_is(v, "OBJECT") & ~holds(_member(v, "_parse_error")), v))
+    return F.coalesce(good(text), good(inner))
 
 
-def free_text(report: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.concat_ws(" ", report["summary"], F.coalesce(report["recommended_actions"], none), F.coalesce(report["timeline"], none), F.coalesce(F.transform(report["attack_chain"], lambda s: s["explanation"]), none))
+def _elements(value: Column, of: Callable[[Column], list[Column]]) -> Column:
+    """array<struct<object, text, the columns `of` an element>>; these are null for what is no object."""
+
+    def element(x: Column) -> Column:
+        members = [F.when(_is(x, "OBJECT"), c).alias(f"m{i}") for i, c in enumerate(of(x))]
+        return F.struct(_is(x, "OBJECT").alias("object"), as_text(x).alias("text"), *members)
+
+    def plain(texts: Column) -> Column:
+        nothing = F.try_parse_json(F.lit("null"))
+        return F.transform(texts, lambda t: let(nothing, lambda n: F.struct(F.lit(False).alias("object"), t.alias("text"), *(F.when(_is(n, "OBJECT"), c).alias(f"m{i}") for i, c in enumerate(of(n))))))
+
+    text = F.try_variant_get(value, "$", "string")
+    of_list = F.transform(F.try_variant_get(value, "$", "array<variant>"), element)
+    of_text = plain(F.when(_is(value, "STRING") & (text != ""), F.split(text, "")).when(_is(value, "OBJECT"), F.map_keys(F.from_json(text, "map<string,string>"))))
+    return F.coalesce(F.when(_is(value, "ARRAY"), of_list).otherwise(of_text), F.filter(F.transform(F.array(F.try_parse_json(F.lit("null"))), element), lambda x: F.lit(False)))
+
+
+def parsed(report: Column) -> Column:
+    """struct<summary, severity, actions, timeline, chain> of a report, by texts.
+
+    actions: array of texts; timeline: array<struct<object, text, time, description>>; chain: array<struct<object, text,
+    technique, tactic, explanation, used, claimed>>, where used says that there is a technique and claimed is the tactic
+    that the step files it under, empty for none.
+    """
+
+    def step(x: Column) -> list[Column]:
+        claimed = F.when(holds(_member(x, "tactic")), strip(as_text(_member(x, "tactic")))).otherwise(F.lit(""))
+        return [shown(x, "technique"), shown(x, "tactic"), shown(x, "explanation"), holds(_member(x, "technique")), claimed]
+
+    def named(rows: Column, *names: str) -> Column:
+        return F.transform(rows, lambda r: F.struct(r["object"].alias("object"), r["text"].alias("text"), *(r[f"m{i}"].alias(n) for i, n in enumerate(names))))
+
+    def whole(r: Column) -> Column:
+        return F.struct(
+            shown(r, "summary").alias("summary"), F.lower(strip(shown(r, "severity"))).alias("severity"),
+            F.transform(_elements(_member(r, "recommended_actions"), lambda x: []), lambda x: x["text"]).alias("actions"),
+            named(_elements(_member(r, "timeline"), lambda x: [shown(x, "time"), shown(x, "description")]), "time", "description").alias("timeline"),
+            named(_elements(_member(r, "attack_chain"), step), "technique", "tactic", "explanation", "used", "claimed").alias("chain"),
+        )
+
+    return let(report, whole)
+
+
+def free_text(p: Column) -> Column:
+    """All prose of a parsed report."""
+    explained = F.transform(F.filter(p["chain"], lambda s: s["object"]), lambda s: s["explanation"])
+    return F.concat_ws(" ", p["summary"], p["actions"], F.transform(p["timeline"], lambda x: x["text"]), explained)
 
 
 def _lookup(technique: Column, at: int) -> Column:
@@ -30,18 +115,17 @@ def _lookup(technique: Column, at: int) -> Column:
 
 def steps(chain: Column, detected: Column) -> Column:
     """For each step with a technique, in order: technique, the warning (null if none)."""
-    used = F.filter(F.coalesce(chain, F.from_json(F.lit("[]"), "array<struct<technique:string,tactic:string,explanation:string>>")), lambda s: F.coalesce(s["technique"], F.lit("")) != "")
 
     def judged(s: Column) -> Column:
-        actual, claimed = _lookup(s["technique"], 2), F.trim(F.coalesce(s["tactic"], F.lit("")))
+        t, actual = s["technique"], _lookup(s["technique"], 2)
         warning = (
-            F.when(actual.isNull(), F.concat(F.lit("INVENTED TECHNIQUE: '"), s["technique"], F.lit("' is not a valid technique.")))
-            .when(~F.array_contains(detected, s["technique"]), F.concat(F.lit("UNSUPPORTED TECHNIQUE: '"), s["technique"], F.lit("' is in the report but no detection signal backs it.")))
-            .when((claimed != "") & ~F.arrays_overlap(tactic_tokens(claimed), tactic_tokens(actual)), F.concat(F.lit("WRONG TACTIC: '"), s["technique"], F.lit("' reported as '"), claimed, F.lit("', the catalogue says '"), actual, F.lit("'.")))
+            F.when(actual.isNull(), filled(WARNINGS["invented"], t))
+            .when(~F.array_contains(detected, t), filled(WARNINGS["unsupported"], t))
+            .when((s["claimed"] != "") & ~F.arrays_overlap(tactic_tokens(s["claimed"]), tactic_tokens(actual)), filled(WARNINGS["tactic"], t, s["claimed"], actual))
         )
-        return F.struct(s["technique"].alias("technique"), warning.alias("warning"))
+        return F.struct(t.alias("technique"), warning.alias("warning"))
 
-    return F.transform(used, judged)
+    return F.transform(F.filter(chain, lambda s: F.coalesce(s["used"], F.lit(False))), judged)
 
 
 def ungrounded_ips(text: Column, evidence: Column) -> Column:
@@ -51,19 +135,24 @@ def ungrounded_ips(text: Column, evidence: Column) -> Column:
 
 
 def check(reports: DataFrame) -> DataFrame:
-    """reports (raw_text, techniques, severity, evidence) with used, supported, warnings, grounded, trust_score."""
+    """reports (raw_text, techniques, severity, evidence) with report, parsed, used, supported, warnings, grounded, trust_score.
+
+    A text that is no JSON object is a parse error, with a trust of 0; its report is an object that says so.
+    """
     none = F.array().cast("array<string>")
-    df = reports.withColumn("report", parse_json(F.col("raw_text"))).withColumn("parse_error", F.col("report").isNull())
-    df = df.withColumn("_steps", steps(F.col("report.attack_chain"), F.col("techniques")))
+    df = reports.withColumn("_found", parse_json(F.col("raw_text"))).withColumn("parse_error", F.col("_found").isNull())
+    failed = F.try_parse_json(F.to_json(F.struct(F.lit(True).alias("_parse_error"), F.col("raw_text").alias("raw"))))
+    df = df.withColumn("report", F.coalesce("_found", failed)).drop("_found").withColumn("parsed", parsed(F.col("report")))
+    df = df.withColumn("_steps", steps(F.col("parsed.chain"), F.col("techniques")))
     df = df.withColumn("used", F.transform("_steps", lambda s: s["technique"])).withColumn("supported", F.size(F.filter("_steps", lambda s: s["warning"].isNull())))
     of_steps = F.filter(F.transform("_steps", lambda s: s["warning"]), lambda w: w.isNotNull())
-    missing = F.transform(F.array_except("techniques", "used"), lambda t: F.concat(F.lit("MISSING: '"), t, F.lit("' was detected but is not explained in the report.")))
-    empty = F.when((F.size("techniques") > 0) & (F.size("used") == 0), F.array(F.lit("EMPTY REPORT: no technique is explained despite active detections."))).otherwise(none)
-    ips = F.transform(ungrounded_ips(free_text(F.col("report")), F.col("evidence")), lambda ip: F.concat(F.lit("UNGROUNDED IOC: IP '"), ip, F.lit("' appears in the report but not in the evidence.")))
-    claimed, own = F.lower(F.trim(F.coalesce("report.severity", F.lit("")))), F.lower("severity")
+    missing = F.transform(F.array_except("techniques", "used"), lambda t: filled(WARNINGS["missing"], t))
+    empty = F.when((F.size("techniques") > 0) & (F.size("used") == 0), F.array(F.lit(WARNINGS["empty"]))).otherwise(none)
+    ips = F.transform(ungrounded_ips(free_text(F.col("parsed")), F.col("evidence")), lambda ip: filled(WARNINGS["address"], ip))
+    claimed, own = F.col("parsed.severity"), F.lower("severity")
     lower = F.coalesce(severity_rank(claimed) < severity_rank(own), F.lit(False))
-    downgrade = F.when(lower, F.array(F.concat(F.lit("SEVERITY DOWNGRADE: rated '"), claimed, F.lit("' but detections say '"), own, F.lit("'; the detector rating stands.")))).otherwise(none)
-    df = df.withColumn("warnings", F.when(F.col("parse_error"), F.array(F.lit("No valid JSON; the report is untrustworthy."))).otherwise(F.concat(of_steps, missing, empty, ips, downgrade)))
+    downgrade = F.when(lower, F.array(filled(WARNINGS["severity"], claimed, own))).otherwise(none)
+    df = df.withColumn("warnings", F.when(F.col("parse_error"), F.array(F.lit(WARNINGS["parse"]))).otherwise(F.concat(of_steps, missing, empty, ips, downgrade)))
     fidelity = F.when(F.size("used") > 0, F.col("supported") / F.size("used")).otherwise(0.0)
     coverage = F.when(F.size("techniques") > 0, F.size(F.array_intersect("used", "techniques")) / F.size(F.array_distinct("techniques"))).otherwise(1.0)
     score = F.when(F.col("parse_error"), 0.0).when((F.size("used") == 0) & (F.size("techniques") == 0), 1.0).otherwise(F.bround(F.least(fidelity, coverage), 2))
@@ -77,25 +166,28 @@ def summary(checked: DataFrame) -> DataFrame:
 
 
 def markdown(checked: DataFrame) -> DataFrame:
-    """scope, inc_idx, markdown of incidents joined with their checked reports."""
-    a = lambda *x: F.array(*(F.lit(y) if isinstance(y, str) else y for y in x))
-    none, r = F.array().cast("array<string>"), F.col("report")
-    bullet = lambda c: F.coalesce(F.transform(c, lambda x: F.concat(F.lit("- "), x)), none)
-    chain = F.coalesce(F.transform(r["attack_chain"], lambda s: F.concat(F.lit("- **"), F.coalesce(s["technique"], F.lit("")), F.lit("** ("), F.coalesce(s["tactic"], F.lit("")), F.lit("): "), F.coalesce(s["explanation"], F.lit("")))), none)
-    claimed = F.lower(F.trim(F.coalesce(r["severity"], F.lit(""))))
-    note = F.when((claimed != "") & (claimed != F.lower("severity")), a(F.concat(F.lit("- *Suggested `"), claimed, F.lit("`; the detector rating stands.*")))).otherwise(none)
-    campaign = F.when(F.col("campaign_id").isNotNull(), a(F.concat(F.lit("- **Campaign #"), F.col("campaign_id").cast("string"), F.lit("** — also affects: "), F.array_join("related_hosts", ", ")))).otherwise(none)
+    """scope, inc_idx, host, markdown of incidents joined with their checked reports."""
+    line = lambda key, *c: F.array(filled(REPORT_LINES[key], *c))
+    heading = lambda key: F.array(*(F.lit(x) for x in ("", REPORT_LINES[key], "")))
+    none, p = F.array().cast("array<string>"), F.col("parsed")
+    bullets = lambda c: F.transform(c, lambda x: F.concat(F.lit("- "), x))
+    missing = _member(F.col("report"), "summary").isNull()
+    happened = F.transform(p["timeline"], lambda x: F.when(x["object"], filled(REPORT_LINES["moment"], x["time"], x["description"])).otherwise(F.concat(F.lit("- "), x["text"])))
+    chain = F.transform(p["chain"], lambda s: F.when(s["object"], filled(REPORT_LINES["step"], s["technique"], s["tactic"], s["explanation"])).otherwise(F.concat(F.lit("- "), s["text"])))
+    note = F.when((p["severity"] != "") & (p["severity"] != F.lower("severity")), line("note", p["severity"])).otherwise(none)
+    campaign = F.when(F.col("campaign_id").isNotNull(), line("campaign", F.col("campaign_id").cast("string"), F.array_join("related_hosts", ", "))).otherwise(none)
+    ids = F.concat(F.lit("["), F.array_join(F.col("event_ids").cast("array<string>"), ", "), F.lit("]"))
     lines = F.concat(
-        a(F.concat(F.lit("# Incident — "), "host", F.lit(" ["), F.upper("severity"), F.lit("]")), "", F.concat(F.lit("- **Time range:** "), F.col("start").cast("string"), F.lit(" → "), F.col("end").cast("string"))),
-        a(F.concat(F.lit("- **Techniques detected:** "), F.array_join("techniques", ", ")), F.concat(F.lit("- **Evidence:** event ids ["), F.array_join(F.col("event_ids").cast("array<string>"), ", "), F.lit("]"))), campaign, note,
-        a("", "## Summary", "", F.coalesce(r["summary"], F.lit("-")), "", "## Timeline", ""), bullet(r["timeline"]), a("", "## Attack chain", ""), chain, a("", "## Recommended actions", ""), bullet(r["recommended_actions"]),
-        a("", "## Validation", "", F.concat(F.lit("- **Verdict:** "), F.when(F.col("grounded"), "validated against evidence").otherwise("NOT validated")), F.concat(F.lit("- **Technique grounding:** "), F.col("trust_score").cast("string"))), bullet(F.col("warnings")),
+        line("title", F.coalesce("host", F.lit("None")), F.upper("severity")), F.array(F.lit("")), line("range", F.col("start").cast("string"), F.col("end").cast("string")),
+        line("techniques", F.array_join("techniques", ", ")), line("evidence", ids), campaign, note,
+        heading("summary"), F.array(F.when(missing, F.lit("-")).otherwise(p["summary"])), heading("timeline"), happened, heading("chain"), chain, heading("actions"), bullets(p["actions"]),
+        heading("validation"), line("verdict", F.when(F.col("grounded"), F.lit("validated against evidence")).otherwise(F.lit("NOT validated"))), line("score", F.col("trust_score").cast("string")), bullets(F.col("warnings")),
     )
-    return checked.select("scope", "inc_idx", F.array_join(lines, "\n").alias("markdown"))
+    return checked.select("scope", "inc_idx", "host", F.array_join(lines, "\n").alias("markdown"))
 
 
 def bundle(checked: DataFrame) -> DataFrame:
-    """scope, inc_idx, json: incident, signals, report and validation of each."""
+    """scope, inc_idx, host, json: incident, signals, report as it came and validation of each."""
     incident = F.struct("host", "start", "end", "techniques", "severity", "event_ids", "campaign_id", "related_hosts")
     whole = F.to_json(F.struct(incident.alias("incident"), "signals", "report", F.struct("grounded", "trust_score", "warnings").alias("validation")))
-    return checked.select("scope", "inc_idx", whole.alias("json"))
+    return checked.select("scope", "inc_idx", "host", whole.alias("json"))

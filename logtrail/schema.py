@@ -78,6 +78,36 @@ TACTIC_STOPWORDS = ("and", "or", "the", "of", "a", "access", "control")
 #: A report with a warning that begins so is not grounded.
 DISQUALIFYING = ("INVENTED", "UNSUPPORTED", "WRONG TACTIC", "UNGROUNDED IOC", "EMPTY REPORT", "SEVERITY DOWNGRADE")
 
+#: Warnings of the report checks, {} for what they name.
+WARNINGS = {
+    "parse": "Model produced no valid JSON; output is untrustworthy.",
+    "invented": "INVENTED TECHNIQUE: '{}' is not a valid ATT&CK technique.",
+    "unsupported": "UNSUPPORTED TECHNIQUE: '{}' is in the report but no detection signal backs it.",
+    "tactic": "WRONG TACTIC: '{}' reported as '{}', ATT&CK says '{}'.",
+    "missing": "MISSING: '{}' was detected but is not explained in the report.",
+    "empty": "EMPTY REPORT: the model explained no technique despite active detections.",
+    "address": "UNGROUNDED IOC: IP '{}' appears in the report but not in the evidence.",
+    "severity": "SEVERITY DOWNGRADE: model rated this '{}' but detections say '{}'; the detector rating stands.",
+}
+#: Lines of an incident's Markdown report.
+REPORT_LINES = {
+    "title": "# Incident — {} [{}]",
+    "range": "- **Time range:** {} → {}",
+    "techniques": "- **Techniques detected:** {}",
+    "evidence": "- **Evidence:** event ids {}",
+    "campaign": "- **Campaign #{}** — also affects: {}",
+    "note": "- *Model suggested `{}`; the detector rating stands.*",
+    "summary": "## Summary",
+    "timeline": "## Timeline",
+    "moment": "- `{}` {}",
+    "chain": "## Attack chain (MITRE ATT&CK)",
+    "step": "- **{}** ({}): {}",
+    "actions": "## Recommended actions",
+    "validation": "## Validation",
+    "verdict": "- **Verdict:** {}",
+    "score": "- **Technique grounding:** {}",
+}
+
 #: Literals of the rules, matched on lower-cased text. Blanks matter.
 POWERSHELL = (" -enc", "-encodedcommand", " -e ", " -ec ", "-w hidden", "-windowstyle hidden", "frombase64string", "iex", "invoke-expression")
 DOWNLOAD = ("downloadstring", "downloadfile", "downloaddata", "invoke-webrequest", "iwr ", "certutil", "bitsadmin", "urlcache", "wget http", "curl http")

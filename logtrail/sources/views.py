@@ -75,10 +75,19 @@ def windows_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_reports(incidents: DataFrame) -> DataFrame:
-    """incidents with raw_text: reports of which some are right and others invent, omit, understate or are no JSON."""
+    """incidents with raw_text: reports of which some are right and others invent, omit, understate, mistype or are no JSON."""
     i, first = F.col("inc_idx"), F.col("techniques")[0]
     step = lambda t, tactic: F.struct(t.alias("technique"), tactic.alias("tactic"), F.lit("as seen from 185.220.101.1").alias("explanation"))
     right = F.transform("techniques", lambda t: step(t, F.lit("")))
     chain = F.when(i % 6 == 0, right).when(i % 6 == 1, F.array(step(F.lit("T9999"), F.lit("")), step(first, F.lit("")))).when(i % 6 == 2, F.array(step(F.lit("T1546"), F.lit("")), step(first, F.lit("Exfiltration of things")))).when(i % 6 == 3, F.filter(right, lambda x: F.lit(False))).otherwise(F.array(step(first, F.lit(""))))
     text = F.to_json(F.struct(F.when(i % 5 == 0, "Traffic to 9.9.9.9 seen").otherwise("Seen").alias("summary"), F.when(i % 4 == 0, "Low").otherwise(F.col("severity")).alias("severity"), F.array(F.lit("block it")).alias("recommended_actions"), chain.alias("attack_chain")))
+    with_first = lambda before, after: F.concat(F.lit(before), F.to_json(F.struct(first.alias("technique"))), F.lit(after))
+    mistyped = (
+        F.when(i % 13 == 1, with_first('{"attack_chain": ["they came in", ', "]}"))
+        .when(i % 13 == 3, with_first('{"summary": null, "attack_chain": [{"technique": 1110}, ', ', {"tactic": "Execution"}]}'))
+        .when(i % 13 == 5, with_first('{"summary": {"a": "9.9.9.9"}, "severity": 3, "recommended_actions": "block 7.7.7.7", "timeline": [{"time": "t", "description": "8.8.8.8"}, 4], "attack_chain": ', "}"))
+        .when(i % 13 == 7, F.lit('{"severity": null, "timeline": false, "recommended_actions": 0, "attack_chain": null}'))
+        .when(i % 13 == 9, F.concat(F.lit('{"severity": " LOW ", "attack_chain": [null, [], 5, {"technique": ""}, {"technique": null}, {"technique": "'), first, F.lit('", "tactic": ["Exfiltration"], "explanation": 1.5}]}')))
+    )
+    text = F.coalesce(mistyped, text)
     return incidents.withColumn("raw_text", F.when(i % 7 == 5, F.lit("no report")).when(i % 7 == 6, F.concat(F.lit("Here it is: "), text, F.lit(" - done"))).otherwise(text))

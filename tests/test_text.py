@@ -31,7 +31,7 @@ def step(technique, tactic=""):
         ({"attack_chain": []}, False, 0.0, ["MISSING", "EMPTY"]),
         ({"attack_chain": [step("T1110")], "severity": "Low"}, False, 1.0, ["SEVERITY"]),
         ({"summary": "from 9.9.9.9", "attack_chain": [step("T1110")]}, False, 1.0, ["UNGROUNDED"]),
-        ("no json", False, 0.0, ["No valid"]),
+        ("no json", False, 0.0, ["Model produced"]),
         ("Here: " + json.dumps({"attack_chain": [step("T1110")]}) + " done", True, 1.0, []),
     ],
 )
