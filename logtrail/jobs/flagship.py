@@ -17,7 +17,7 @@ TEST_CONFIG = Config(campaign_window=timedelta(minutes=10))
 
 
 def find_incidents(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    return incidents.incidents(written(rules.signals(events, config), "signals"), config)
+    return incidents.incidents(rules.signals(events, config), config)
 
 
 def find_campaigns(events: DataFrame, config: Config = DEFAULT) -> DataFrame:

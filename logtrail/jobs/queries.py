@@ -236,7 +236,7 @@ def camp_near_in_time(spark, sf):
 def camp_components(spark, sf):
     found = _incidents(spark, sf)
     e = campaigns.without_infrastructure(campaigns.entities(found), found)
-    return campaigns.components(campaigns.pairs(e, found, TEST_CONFIG.campaign_window)).select("inc_idx", "root")
+    return campaigns.components(campaigns.edges(e, found, TEST_CONFIG.campaign_window)).select("inc_idx", "root")
 
 
 @query

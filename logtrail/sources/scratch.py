@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a narrow table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A narrow table, written before, with a hint to broadcast it if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def in_sequence(df: DataFrame, order: list, number: str) -> DataFrame:
     """df, sorted, with a column of numbers 0, 1, 2 ... in that order.
 
