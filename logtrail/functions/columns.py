@@ -82,16 +82,11 @@ def _within(number: Column, blocks: tuple[str, ...]) -> Column:
     return out
 
 
-def _within6(groups: Column, blocks: tuple[str, ...]) -> Column:
-    """Whether eight 16-bit numbers lie in a block: those of its whole groups equal, the next between its ends."""
+def _within6(digits: Column, blocks: tuple[str, ...]) -> Column:
+    """Whether an address of 32 hexadecimal digits lies in a block."""
     out = F.lit(False)
     for block in map(ipaddress.ip_network, blocks):
-        ends = [int(x) for x in (block[0], block[-1])]
-        inside = F.lit(True)
-        for i in range(-(-block.prefixlen // 16)):
-            low, high = (end >> (112 - 16 * i) & 0xFFFF for end in ends)
-            inside = inside & F.get(groups, F.lit(i)).between(low, high)
-        out = out | inside
+        out = out | digits.between(*(format(int(end), "032x") for end in (block[0], block[-1])))
     return out
 
 
@@ -126,7 +121,9 @@ def _external6(ip: Column) -> Column:
     def judged(n: Column) -> Column:
         mapped = (F.aggregate(F.slice(n, 1, 5), F.lit(0).cast("bigint"), lambda a, x: a + x) == 0) & (F.get(n, F.lit(5)) == 0xFFFF)
         v4 = let(F.get(n, F.lit(6)) * 65536 + F.get(n, F.lit(7)), _external4)
-        return F.when(n.isNotNull(), F.when(mapped, v4).otherwise(~_within6(n, PRIVATE6) | _within6(n, PUBLIC_AGAIN6)))
+        digits = F.array_join(F.transform(n, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
+        v6 = let(digits, lambda d: ~_within6(d, PRIVATE6) | _within6(d, PUBLIC_AGAIN6))
+        return F.when(n.isNotNull(), F.when(mapped, v4).otherwise(v6))
 
     plain = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
     return let(let(let(plain, without_tail), numbers), judged)

@@ -242,7 +242,7 @@ ORACLE_SQL = {
     "doc_chunks": sql('SELECT source, "at", heading, md5(content) AS content FROM chunk', DOC, CHUNKS),
     "doc_stats": sql("SELECT source, COUNT(*) AS passages FROM chunk GROUP BY ROLLUP (source)", DOC, CHUNKS),
     "sink_passages": sql('SELECT source, COUNT(*) AS passages, CAST(SUM(length(content)) AS BIGINT) AS chars FROM chunk GROUP BY source', DOC, CHUNKS),
-    "src_documents": "SELECT doc_id || '.md' AS source, md5(text) AS text FROM documents WHERE text <> ''",
+    "src_documents": "SELECT doc_id || '.md' AS source, md5(regexp_replace(COALESCE(text, ''), '\\r\\n?', chr(10), 'g')) AS text FROM documents",
     "norm_validate_batch": "SELECT event_id AS ordinal, event_id % 13 <> 5 AS record FROM events",
     "doc_embed_batches": sql('SELECT source, "at", length(CASE WHEN heading <> \'\' THEN heading || \'. \' || content ELSE content END) AS first FROM par', DOC),
     "st_kerberos_spray": sql("SELECT host, COUNT(*) AS n FROM ev WHERE event_id = 4771 GROUP BY host HAVING COUNT(*) >= 2", EV),

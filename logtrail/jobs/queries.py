@@ -390,7 +390,7 @@ def sink_passages(spark, sf):
 def src_documents(spark, sf):
     """Documents written as files named *.md, one each, and read back."""
     path = scratch(spark, "markdown-files")
-    write_markdown(raw_table(spark, sf, "documents").filter("text <> ''").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text"), path)
+    write_markdown(raw_table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text"), path)
     return markdown_documents(spark, path).select("source", F.md5("text").alias("text"))
 
 

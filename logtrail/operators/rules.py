@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +16,12 @@ from logtrail.schema import DEFAULT, SIGNAL_COLUMNS, Config, keys
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule on single events: condition and description are columns over an event."""
+    """A rule on single events: condition and description are columns over an event.
+
+    needs: a text of events (see TEXTS) and literals, of which the text holds one, in any case, wherever the condition
+    is true; or another column that is true there and quick to tell. All rules' literals of a text are looked for in one
+    pass, and only events with some are judged by the conditions. Without needs the condition itself is told of all.
+    """
 
     order: int
     name: str
@@ -24,6 +30,7 @@ class Rule:
     severity: str
     condition: Callable[[], Column]
     description: Callable[[], Column]
+    needs: tuple[str, tuple[str, ...]] | Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -56,6 +63,27 @@ def _what() -> Column:
     return or_none(F.coalesce(truthy(F.col("message")), F.col("category")))
 
 
+#: Texts in which literals are looked for, before they are put in lower case.
+TEXTS: dict[str, Callable[[], Column]] = {
+    "cmdline": lambda: F.when(F.col("event_id") == 1, F.col("cmdline")),
+    "web": lambda: F.concat_ws(" ", *(truthy(F.col(c)) for c in ("category", "message", "tool", "url"))),
+    "blob": lambda: F.concat_ws(" ", *(truthy(F.col(c)) for c in ("cmdline", "message", "url"))),
+}
+
+
+def _worth_judging(rules: list[Rule]) -> Column:
+    """Whether an event may fire a rule: for each text one alternation of all literals, whatever their case."""
+    literals, out = {}, F.lit(False)
+    for r in rules:
+        if isinstance(r.needs, tuple):
+            literals.setdefault(r.needs[0], {}).update(dict.fromkeys(r.needs[1]))
+        else:
+            out = out | F.coalesce((r.needs or r.condition)(), F.lit(False))
+    for name, some in literals.items():
+        out = out | F.coalesce(TEXTS[name]().rlike("(?iu)" + "|".join(map(re.escape, some))), F.lit(False))
+    return out
+
+
 def _web_text(text: str) -> Callable[[], Column]:
     return lambda: F.concat(F.lit(f"{text} — "), _what(), F.lit(" (from "), or_none(F.col("src_ip")), F.lit(")"))
 
@@ -72,36 +100,41 @@ def _blob() -> Column:
     return F.lower(F.concat_ws(" ", truthy(F.col("cmdline")), truthy(F.col("message")), truthy(F.col("url"))))
 
 
-def _outbound() -> Column:
+def _unusual() -> Column:
     port = F.coalesce(~F.col("dst_port").isin(80, 443), F.lit(True))  # no port is unusual too
-    return (F.col("event_id") == 3) & F.col("dst_ip").isNotNull() & is_external_ip(F.col("dst_ip")) & port
+    return (F.col("event_id") == 3) & F.col("dst_ip").isNotNull() & port
+
+
+def _outbound() -> Column:
+    return _unusual() & is_external_ip(F.col("dst_ip"))
 
 
 ROW_RULES = [
-    Rule(2, "encoded_powershell", "T1059.001", "PowerShell", "high", lambda: _process(_cmd().contains("powershell") & any_substring(_cmd(), S.POWERSHELL)), _who("Obfuscated/suspicious PowerShell execution")),
-    Rule(3, "ingress_tool_transfer", "T1105", "Ingress Tool Transfer", "high", lambda: _process(any_substring(_cmd(), S.DOWNLOAD)), _who("External download command")),
-    Rule(4, "defense_evasion", "T1562.001", "Impair Defenses", "high", lambda: _process(any_substring(_cmd(), S.EVASION)), _who("Attempt to bypass/disable a security tool")),
-    Rule(5, "suspicious_outbound", "T1071", "Application Layer Protocol (C2)", "medium", _outbound, lambda: F.concat(F.lit("Unusual connection to external IP — "), F.col("dst_ip"), F.lit(":"), or_none(F.col("dst_port")), F.lit(" ("), or_none(F.col("user")), F.lit("@"), or_none(F.col("host")), F.lit(")"))),
-    Rule(6, "scheduled_task_persistence", "T1053.005", "Scheduled Task", "high", lambda: _process(_cmd().contains("schtasks") & _cmd().contains("/create")), _who("Scheduled task created (persistence)")),
+    Rule(2, "encoded_powershell", "T1059.001", "PowerShell", "high", lambda: _process(_cmd().contains("powershell") & any_substring(_cmd(), S.POWERSHELL)), _who("Obfuscated/suspicious PowerShell execution"), ("cmdline", ("powershell",))),
+    Rule(3, "ingress_tool_transfer", "T1105", "Ingress Tool Transfer", "high", lambda: _process(any_substring(_cmd(), S.DOWNLOAD)), _who("External download command"), ("cmdline", S.DOWNLOAD)),
+    Rule(4, "defense_evasion", "T1562.001", "Impair Defenses", "high", lambda: _process(any_substring(_cmd(), S.EVASION)), _who("Attempt to bypass/disable a security tool"), ("cmdline", S.EVASION)),
+    Rule(5, "suspicious_outbound", "T1071", "Application Layer Protocol (C2)", "medium", _outbound, lambda: F.concat(F.lit("Unusual connection to external IP — "), F.col("dst_ip"), F.lit(":"), or_none(F.col("dst_port")), F.lit(" ("), or_none(F.col("user")), F.lit("@"), or_none(F.col("host")), F.lit(")")), _unusual),
+    Rule(6, "scheduled_task_persistence", "T1053.005", "Scheduled Task", "high", lambda: _process(_cmd().contains("schtasks") & _cmd().contains("/create")), _who("Scheduled task created (persistence)"), ("cmdline", ("schtasks",))),
     Rule(7, "scheduled_task_4698", "T1053.005", "Scheduled Task", "high", lambda: F.col("event_id") == 4698, _who("Scheduled task created (EID 4698)")),
     Rule(9, "log_cleared", "T1070.001", "Clear Windows Event Logs", "high", lambda: F.col("event_id") == 1102, lambda: F.concat(F.lit("Security event log cleared (EID 1102) — "), or_none(F.col("host")))),
-    Rule(10, "unix_shell_abuse", "T1059.004", "Unix Shell", "high", lambda: _process(_reverse() | _dropped()), lambda: F.concat(F.lit("Unix shell abuse — "), F.when(_reverse(), "reverse shell over the network").otherwise("execution of a dropped payload from /tmp"), F.lit(" ("), or_none(F.col("user")), F.lit("@"), or_none(F.col("host")), F.lit(")"))),
-    Rule(11, "credential_dump", "T1003.008", "OS Credential Dumping", "high", lambda: _process(any_substring(_cmd(), S.CREDENTIALS)), _who("Access to credential file (/etc/shadow or /etc/passwd)")),
-    Rule(12, "exfil_alt_protocol", "T1048", "Exfiltration Over Alternative Protocol", "high", lambda: _process(any_substring(_cmd(), S.EXFILTRATION)), _who("Possible data exfiltration over netcat/curl")),
-    Rule(13, "web_reconnaissance", "T1595", "Active Scanning", "medium", lambda: _web(S.RECON), lambda: F.concat(F.lit("Web scanning/recon from "), or_none(F.col("src_ip")), F.lit(" — "), _what())),
-    Rule(14, "web_exploit", "T1190", "Exploit Public-Facing Application", "high", lambda: _web(S.EXPLOIT), _web_text("Web application exploit attempt")),
-    Rule(15, "payload_upload", "T1105", "Ingress Tool Transfer", "high", lambda: _web(S.PAYLOAD), _web_text("Malicious payload/exploit delivery")),
-    Rule(16, "llm_prompt_injection", "T1027", "Obfuscated Files or Information", "high", lambda: first_marker(_blob(), S.INJECTION).isNotNull(), lambda: F.concat(F.lit('Log content appears crafted to manipulate an LLM analyst (prompt injection, matched "'), first_marker(_blob(), S.INJECTION), F.lit('") — '), or_none(F.col("user")), F.lit("@"), or_none(F.col("host")))),
+    Rule(10, "unix_shell_abuse", "T1059.004", "Unix Shell", "high", lambda: _process(_reverse() | _dropped()), lambda: F.concat(F.lit("Unix shell abuse — "), F.when(_reverse(), "reverse shell over the network").otherwise("execution of a dropped payload from /tmp"), F.lit(" ("), or_none(F.col("user")), F.lit("@"), or_none(F.col("host")), F.lit(")")), ("cmdline", (*S.REVERSE_SHELL, "chmod +x"))),
+    Rule(11, "credential_dump", "T1003.008", "OS Credential Dumping", "high", lambda: _process(any_substring(_cmd(), S.CREDENTIALS)), _who("Access to credential file (/etc/shadow or /etc/passwd)"), ("cmdline", S.CREDENTIALS)),
+    Rule(12, "exfil_alt_protocol", "T1048", "Exfiltration Over Alternative Protocol", "high", lambda: _process(any_substring(_cmd(), S.EXFILTRATION)), _who("Possible data exfiltration over netcat/curl"), ("cmdline", S.EXFILTRATION)),
+    Rule(13, "web_reconnaissance", "T1595", "Active Scanning", "medium", lambda: _web(S.RECON), lambda: F.concat(F.lit("Web scanning/recon from "), or_none(F.col("src_ip")), F.lit(" — "), _what()), ("web", S.RECON)),
+    Rule(14, "web_exploit", "T1190", "Exploit Public-Facing Application", "high", lambda: _web(S.EXPLOIT), _web_text("Web application exploit attempt"), ("web", S.EXPLOIT)),
+    Rule(15, "payload_upload", "T1105", "Ingress Tool Transfer", "high", lambda: _web(S.PAYLOAD), _web_text("Malicious payload/exploit delivery"), ("web", S.PAYLOAD)),
+    Rule(16, "llm_prompt_injection", "T1027", "Obfuscated Files or Information", "high", lambda: first_marker(_blob(), S.INJECTION).isNotNull(), lambda: F.concat(F.lit('Log content appears crafted to manipulate an LLM analyst (prompt injection, matched "'), first_marker(_blob(), S.INJECTION), F.lit('") — '), or_none(F.col("user")), F.lit("@"), or_none(F.col("host"))), ("blob", S.INJECTION)),
 ]
 
 
 def row_signals(events: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Signals of the rules on single events: one narrow scan, an array of what fired, exploded."""
+    """Signals of the rules on single events: one narrow scan; of events worth judging an array of what fired, exploded."""
+    rules = ROW_RULES if rules is None else rules
     fired = [
         F.when(r.condition(), F.struct(F.lit(r.order).alias("rule_ord"), F.lit(r.name).alias("rule"), F.lit(r.technique).alias("technique"), F.lit(r.technique_name).alias("technique_name"), F.lit(r.severity).alias("severity"), r.description().alias("description")))
-        for r in (ROW_RULES if rules is None else rules)
+        for r in rules
     ]
-    hits = events.withColumn("_hit", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())))
+    hits = events.filter(_worth_judging(rules)).withColumn("_hit", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())))
     return hits.select(
         "scope", "_hit.rule_ord", "_hit.rule", "_hit.technique", "_hit.technique_name", "_hit.severity", "host", "user", "time", F.array("id").alias("event_ids"), "_hit.description",
         F.array_distinct(F.array_compact(F.array(truthy(F.col("src_ip")), truthy(F.col("dst_ip"))))).alias("ips"), F.array_compact(F.array(truthy(F.col("user")))).alias("accounts"),

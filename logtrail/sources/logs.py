@@ -9,17 +9,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtrail.sources.files import json_arrays, whole_files
+
 WIN_SCHEMA = """Event struct<System: struct<EventID: string, Provider: struct<`#attributes`: struct<Name: string>>, Channel: string,
 Computer: string, TimeCreated: struct<`#attributes`: struct<SystemTime: string>>>, EventData: string>"""
 
 
 def json_array_logs(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, raw: the elements of JSON arrays, one array for each file; a file is one task's row."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<string>").alias("items"), "value")
-    bad = whole.filter(F.col("items").isNull()).select("file").limit(3).collect()
-    if bad:
-        raise ValueError(f"no array of records: {', '.join(r.file for r in bad)}")
-    return whole.select("file", F.posexplode("items").alias("ordinal", "raw"))
+    """file, ordinal, raw: the elements of JSON arrays, one array for each file; large files are several tasks' work."""
+    return json_arrays(spark, path)
 
 
 def json_lines_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -52,9 +50,9 @@ def win_records(records: DataFrame, column: str = "raw") -> DataFrame:
 
 def scenarios(spark: SparkSession, path: str) -> DataFrame:
     """name, is_malicious, expected_techniques, ordinal, raw: the logs of labelled scenarios, scope = name."""
-    whole = spark.read.text(path, wholetext=True)
-    item = F.explode(F.from_json("value", "array<struct<name:string,description:string,is_malicious:boolean,expected_techniques:array<string>,logs:array<string>>>")).alias("s")
-    return whole.select(item).select("s.name", "s.is_malicious", "s.expected_techniques", F.posexplode_outer("s.logs").alias("ordinal", "raw")).withColumn("scope", F.col("name"))
+    kind = "struct<name:string,description:string,is_malicious:boolean,expected_techniques:array<string>,logs:array<string>>"
+    found = json_arrays(spark, path).select(F.from_json("raw", kind).alias("s"))
+    return found.select("s.name", "s.is_malicious", "s.expected_techniques", F.posexplode_outer("s.logs").alias("ordinal", "raw")).withColumn("scope", F.col("name"))
 
 
 def labeled_captures(spark: SparkSession, paths: list[str], labels: DataFrame) -> DataFrame:
@@ -63,11 +61,8 @@ def labeled_captures(spark: SparkSession, paths: list[str], labels: DataFrame) -
 
 
 def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """source, text of every *.md; an error if there is none."""
-    docs = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
-    if not docs.limit(1).count():
-        raise FileNotFoundError(f"no *.md in {folder}")
-    return docs.orderBy("source")
+    """source, text of every *.md, empty ones too, with line ends as newlines; an error if there is none."""
+    return whole_files(spark, folder, ".md").orderBy("source")
 
 
 def write_markdown(docs: DataFrame, folder: str) -> None:
