@@ -300,4 +300,12 @@ ORACLE_SQL = {
 for _r in ROWS:
     ORACLE_SQL[{"encoded_powershell": "rule_encoded_powershell", "ingress_tool_transfer": "rule_ingress_transfer", "scheduled_task_persistence": "rule_scheduled_task", "unix_shell_abuse": "rule_unix_shell", "exfil_alt_protocol": "rule_exfiltration", "web_reconnaissance": "rule_web_recon", "llm_prompt_injection": "rule_prompt_injection"}.get(_r[1], f"rule_{_r[1]}")] = sql(f"{TOLD}({row_sql(_r)})", EV)
 ORACLE_SQL |= {"rule_brute_force": sql(f"{TOLD}({BRUTE})", EV), "rule_kerberos_spray": sql(f"{TOLD}({SPRAY})", EV)}
+ORACLE_SQL |= {
+    "st_brute_force": sql("SELECT host, usr AS \"user\", src_ip, COUNT(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY time, id) AS event_ids FROM (SELECT *, MIN(CASE WHEN time - t2 <= INTERVAL '5' MINUTE THEN t2 END) OVER (PARTITION BY host, usr, src_ip) AS anchor FROM (SELECT *, LAG(time, 2) OVER (PARTITION BY host, usr, src_ip ORDER BY time, id) AS t2 FROM ev WHERE event_id = 4625)) WHERE time BETWEEN anchor AND anchor + INTERVAL '5' MINUTE GROUP BY host, usr, src_ip", EV),
+    "st_incidents": sql(f"SELECT i.host, {ISO('st')} AS start_time, {ISO('en')} AS end_time, n, techniques FROM inc i JOIN (SELECT host, anchor, COUNT(*) AS n FROM asg GROUP BY ALL) s ON s.host = i.host AND s.anchor = i.anchor", *INC),
+    "st_late": sql("SELECT COUNT(*) FILTER (event_id = 4625 AND time <= (SELECT MAX(time) FROM ev WHERE event_id = 4625) - INTERVAL '10' MINUTE) AS late_rows, COUNT(*) AS events FROM ev", EV),
+    "src_scenarios": sql("SELECT 'case-' || (ordinal // 500) AS scope, COUNT(*) AS records, COUNT(*) FILTER (code = 4625) AS failed, (ordinal // 500) % 2 = 0 AS is_malicious, 'T1110' AS expected FROM raw GROUP BY ordinal // 500", RAW),
+    "src_labeled_captures": sql("SELECT 'cap-' || (ordinal // 1000) || '.jsonl' AS scope, COUNT(*) AS records, COUNT(*) FILTER (event_id = 4625) AS failed, 'T1110,T1071' AS expected FROM win GROUP BY ordinal // 1000", WIN),
+    "src_synth_events": "SELECT host, event_id, COUNT(*) AS n, COUNT(DISTINCT u) AS users, MIN(i) AS first, MAX(i) + CAST(epoch(TIMESTAMP '2026-07-03 10:00:00') AS BIGINT) AS last FROM (SELECT i, CASE WHEN i % 5 = 0 THEN 'SRV-TARGET' ELSE 'HOST' || lpad(CAST(i % 50 AS VARCHAR), 2, '0') END AS host, CAST([4625, 4624, 1, 3, 1][i % 5 + 1] AS BIGINT) AS event_id, CASE WHEN i % 5 = 0 THEN 'svc' ELSE 'user' || (i % 200) END AS u FROM (SELECT UNNEST(range((SELECT COUNT(*) FROM events))) AS i)) GROUP BY ALL",
+}
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -11,10 +11,10 @@ from logtrail import schema as S
 from logtrail.functions import columns as C
 from logtrail.jobs.flagship import TEST_CONFIG, find_campaigns, find_incidents, flat
 from logtrail.operators import campaigns, evidence, incidents, layers, normalize, passages, reports, retrieval, rules
-from logtrail.sources.logs import json_array_logs, json_lines_logs, markdown_documents, win_records, write_markdown
+from logtrail.sources.logs import json_array_logs, json_lines_logs, labeled_captures, markdown_documents, scenarios, synth_events, win_records, write_markdown
 from logtrail.sources.scratch import scratch, written
 from logtrail.sources.views import raw_records, raw_table, security_events, windows_records, written_reports
-from logtrail.streaming.rules import stream_signals, stream_spray
+from logtrail.streaming.rules import LateRows, stream_brute_force, stream_incidents, stream_signals, stream_spray
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -552,3 +552,79 @@ def st_row_rules(spark, sf):
     stream = stream_signals(spark.readStream.schema("ordinal long, raw string").parquet(source))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select("rule", "host", ids("event_ids").alias("event_ids"))
+
+
+def _replay(spark, name, made, *parts: DataFrame) -> tuple[DataFrame, int]:
+    """What a stream gives of the parts, each appended after a run and before the next from its checkpoint; and its late rows."""
+    source, out, state = (scratch(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    with LateRows(spark) as late:
+        for k, part in enumerate(parts):
+            part.write.mode("append").parquet(source)
+            stream = made(spark.readStream.schema(parts[0].schema).parquet(source))
+            run = stream.writeStream.queryName(f"{name}-{k}").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+            run.awaitTermination()
+            dropped = late.count(run)
+    return spark.read.schema(stream.schema).parquet(out), dropped
+
+
+def _halves(spark, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows up to their mean time, and the others with one far later, at which all windows are over."""
+    middle = F.timestamp_micros(F.lit(rows.agg(F.avg(F.unix_micros("time")).cast("long")).first()[0]))
+    last = rows.limit(1).withColumns({"time": F.lit("2100-01-01 00:00:00").cast("timestamp"), "host": F.lit("last")})
+    return rows.filter(F.col("time") <= middle), rows.filter(F.col("time") > middle).unionByName(last)
+
+
+@query
+def st_brute_force(spark, sf):
+    """The failed logons streamed in two runs, the second from the first one's checkpoint."""
+    failed = security_events(spark, sf).filter("event_id = 4625").select("scope", "id", "time", "host", "user", "src_ip", "event_id")
+    found, _ = _replay(spark, "burst", stream_brute_force, *_halves(spark, failed))
+    return found.select("host", "user", "src_ip", "n", ids("event_ids").alias("event_ids"))
+
+
+@query
+def st_incidents(spark, sf):
+    """All signals streamed in two runs, the second from the first one's checkpoint."""
+    signals = written(_signals(spark, sf), "signals").select("scope", "host", "time", "rule_ord", "event_ids", "technique")
+    found, _ = _replay(spark, "incidents", stream_incidents, *_halves(spark, signals))
+    return found.select("host", C.iso(F.col("start")).alias("start_time"), C.iso(F.col("end")).alias("end_time"), "n", F.array_join("techniques", ",").alias("techniques"))
+
+
+@query
+def st_late(spark, sf):
+    """How many failed logons are dropped as late when all of them come a second time."""
+    failed = security_events(spark, sf).filter("event_id = 4625").select("scope", "id", "time", "host", "user", "src_ip", "event_id")
+    _, dropped = _replay(spark, "late", stream_brute_force, failed, failed)
+    return raw_table(spark, sf, "events").agg(F.lit(dropped).cast("long").alias("late_rows"), F.count(F.lit(1)).alias("events"))
+
+
+@query
+def src_scenarios(spark, sf):
+    """Labelled scenarios of 500 records, an array of one in each file, read back and normalised each in a scope of its own."""
+    path, k = scratch(spark, "scenarios"), F.floor(F.col("ordinal") / 500)
+    logs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "raw"))), lambda x: x["raw"]), ", ")
+    case = F.format_string('[{"name": "case-%d", "description": "", "is_malicious": %s, "expected_techniques": ["T1110"],\n "logs": [%s]}]', "k", (F.col("k") % 2 == 0).cast("string"), "logs")
+    raw_records(spark, sf).groupBy(k.alias("k")).agg(logs.alias("logs")).select(case.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = scenarios(spark, path)
+    told = normalize.normalize(found).groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("event_id") == 4625).alias("failed"))
+    labels = found.groupBy("scope").agg(F.first("is_malicious").alias("is_malicious"), F.first(F.array_join("expected_techniques", ",")).alias("expected"))
+    return told.join(labels, "scope")
+
+
+@query
+def src_labeled_captures(spark, sf):
+    """Capture files of rendered records, read with the labels of each."""
+    folder, name = scratch(spark, "captures"), F.concat(F.lit("cap-"), F.floor(F.col("ordinal") / 1000).cast("string"), F.lit(".jsonl"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "raw"))), lambda x: x["raw"]), "\n")
+    captures = windows_records(spark, sf).groupBy(name.alias("source")).agg(lines.alias("text"))
+    write_markdown(captures, folder)
+    labels = captures.select(F.col("source").alias("file"), F.array(F.lit("T1110"), F.lit("T1071")).alias("expected"))
+    found = win_records(labeled_captures(spark, [folder], labels))
+    return found.groupBy("scope").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("event_id") == 4625).alias("failed"), F.first(F.array_join("expected", ",")).alias("expected"))
+
+
+@query
+def src_synth_events(spark, sf):
+    """As many synthetic events as the table has, counted by host and kind."""
+    made = synth_events(spark, raw_table(spark, sf, "events").count())
+    return made.groupBy("host", "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user").alias("users"), F.min("id").alias("first"), F.max(F.unix_seconds("time")).alias("last"))

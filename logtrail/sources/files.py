@@ -211,13 +211,36 @@ def _ended(path: str | None, place: Place) -> None:
         raise ValueError(f"not a whole array of records: {path}")
 
 
+def _begun_and_ended(spark: SparkSession, folder: str, found: list[tuple[str, int]]) -> None:
+    """An error that names files that do not begin and end with the brackets of an array: a look at both ends of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(folder)
+        for batch in batches:
+            bad = []
+            for path, size in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
+                with files.open_input_file(path) as file:
+                    first, last = (_read(file, *ends).tobytes() for ends in ((0, min(size, MORE)), (max(0, size - MORE), size)))
+                if first.lstrip()[:1] != b"[" or last.rstrip()[-1:] != b"]":
+                    bad.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+
+    rows = [(path, size, 0, min(size, 2 * MORE)) for path, size in found]
+    if bad := _spread(spark, rows, "path string, size long, start long, end long").mapInArrow(run, "path string").limit(3).collect() if rows else []:
+        raise ValueError(f"no array of records: {', '.join(r.path for r in bad)}")
+
+
 def json_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """file, ordinal, raw: the elements of JSON arrays, one array for each file of a folder (or one file).
 
-    ordinal: the number of the element in its array, from 0. raw: its text. A file that is no array is an error, at once
-    if it is of several ranges, else when it is read. Elements need not be objects, nor valid within their brackets.
+    ordinal: the number of the element in its array, from 0. raw: its text. A file that does not begin and end as
+    an array is an error at once, and so is one of several ranges whose brackets do not match; of smaller ones that is
+    found when they are read. Elements need not be objects, nor valid within their brackets.
+    Files of no bytes have no elements.
     """
-    ranges = _ranges(listed(folder))
+    found = [(path, size) for path, size in listed(folder) if size]  # as writers leave for empty partitions
+    _begun_and_ended(spark, folder, found)
+    ranges = _ranges(found)
     many = [r for r in ranges if r[1] > RANGE]
     places = _places(spark, folder, many) if many else {}
     rows = [(*r, p.inside, p.depth, p.begun) for r in ranges for p in [places.get((r[0], r[2]), Place())]]
@@ -239,6 +262,8 @@ def json_arrays(spark: SparkSession, folder: str) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["file", "ordinal", "raw"])
 
+    if not rows:
+        return spark.createDataFrame([], "file string, ordinal long, raw string")
     return _spread(spark, rows, "path string, size long, start long, end long, inside boolean, depth long, begun long").mapInArrow(run, "file string, ordinal long, raw string")
 
 

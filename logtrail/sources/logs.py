@@ -16,8 +16,12 @@ Computer: string, TimeCreated: struct<`#attributes`: struct<SystemTime: string>>
 
 
 def json_array_logs(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, raw: the elements of JSON arrays, one array for each file; large files are several tasks' work."""
-    return json_arrays(spark, path)
+    """file, ordinal, raw: the elements of JSON arrays, one array for each file; large files are several tasks' work.
+
+    The raw text of an object is without blanks between tokens; what is none, or no JSON, is as it stands.
+    """
+    compact = F.get(F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>"), F.lit(0))
+    return json_arrays(spark, path).withColumn("raw", F.coalesce(F.when(F.col("raw").startswith("{"), compact), "raw"))
 
 
 def json_lines_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -80,11 +84,14 @@ def write_markdown(docs: DataFrame, folder: str) -> None:
     docs.select("source", "text").mapInArrow(run, "source string").write.format("noop").mode("overwrite").save()
 
 
-def synth_events(spark: SparkSession, n: int, hot_share: float = 0.2, start: str = "2026-07-03 10:00:00") -> DataFrame:
-    """Five kinds of events by id % 5, hot_share of which are failed logons of one host, user and address; a second apart."""
+def synth_events(spark: SparkSession, n: int, hot_share: float | None = None, start: str = "2026-07-03 10:00:00") -> DataFrame:
+    """Five kinds of events by id % 5, of which the first are failed logons of one host, user and address; a second apart.
+
+    With hot_share that part of all events, in runs, are those logons, and the other kinds go by id % 4.
+    """
     i = F.col("id")
-    hot = (i % 1000) < int(1000 * hot_share)
-    kind = F.when(hot, 0).otherwise(1 + i % 4)
+    hot = i % 5 == 0 if hot_share is None else (i % 1000) < int(1000 * hot_share)
+    kind = i % 5 if hot_share is None else F.when(hot, 0).otherwise(1 + i % 4)
     host, user = F.format_string("HOST%02d", i % 50), F.concat(F.lit("user"), (i % 200).cast("string"))
     when = lambda k, v: F.when(kind == k, v)
     return spark.range(n).select(

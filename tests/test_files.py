@@ -55,6 +55,7 @@ def test_large_arrays_are_several_tasks(spark, tmp_path, monkeypatch):
     for name, some in items.items():
         (folder / name).write_text(json.dumps(some, ensure_ascii=False), encoding="utf-8")
     (folder / "_SUCCESS").write_text("")
+    (folder / "empty.json").write_text("")
     monkeypatch.setattr(files, "RANGE", 10_000)
     df = json_array_logs(spark, f"file://{folder}")
     assert df.rdd.getNumPartitions() > 8
@@ -65,7 +66,7 @@ def test_large_arrays_are_several_tasks(spark, tmp_path, monkeypatch):
     assert all(sorted(o for o, _ in v) == list(range(len(v))) for v in got.values())
 
 
-@pytest.mark.parametrize("text", ['{"a": 1}', "", "[1", "[1]]", '["a]', "[1][2]", "[1] x", "5"])
+@pytest.mark.parametrize("text", ['{"a": 1}', " ", "[1", "[1]]", '["a]', "[1][2]", "[1] x", "5"])
 @pytest.mark.parametrize("size", [4, 1 << 20])
 def test_what_is_no_array(spark, tmp_path, monkeypatch, text, size):
     monkeypatch.setattr(files, "RANGE", size)
