@@ -6,7 +6,7 @@ documents; the last returns the placed pieces. Learned and tokenised results hav
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtrail.llm import decontaminate, jaccard, line_dedup, packing, toxicity
@@ -22,13 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of repeated windows; a document of which no word is left goes. n_chars follows the text.
+    """Without lines of repeated windows; a document of which no word is left goes. n_chars, if there, follows the text.
 
-    Null, empty and short texts stay as they are; repeated rows are later occurrences.
+    Null, empty and short texts stay as they are; repeated rows are later occurrences. Other columns, whatever their
+    names, are carried along as one. An empty table stays empty.
     """
-    out = line_dedup.dedup(spark, docs).filter(~((F.col("n_removed") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    rest = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text")).alias("_rest")
+    out = line_dedup.dedup(spark, docs.select("doc_id", "text", rest))
+    changed = F.col("n_removed") > 0
+    out = out.filter(~(changed & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")))
+
+    def column(name: str, kind: str) -> Column:
+        own = F.col("_rest")[name] if name != "text" else F.col("text")
+        return (F.when(changed, F.length("text").cast(kind)).otherwise(own) if name == "n_chars" else own).alias(name)
+
+    return out.select(*(column(*c) for c in docs.dtypes))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +55,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty lies in a window of a benchmark item."""
+    """Documents of which less than one word in twenty lies in a window of a benchmark item.
+
+    Null and empty texts stay, as does everything where there are no items; rows that share an id are judged each by its
+    own text, other columns stay as they are, an empty table stays empty.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and its place there."""
+    """The pieces of all documents, each with its sequence and its place there; null and empty texts are the end id alone.
+
+    Only doc_id and text count, whatever other columns there are; an empty table gives no rows.
+    """
     return packing.pack(spark, packing.pieces(docs, packing.tokenizer_file()))
 
 
