@@ -37,3 +37,29 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     whichever = [x for x in got if x in rows[3:5]]
     assert len(whichever) == 1 and sorted(map(str, (x for x in got if x not in whichever))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[6]]))
+
+
+def test_lines_beside_columns_of_other_names(spark):
+    lines = "one two\nthree four\nfive six"
+    rows = [(1, lines + "\nown words", 99, 7, 45, "x"), (2, lines + "\nmore of it", 99, 8, 44, "y"), (3, None, None, 9, 0, "z"), (4, lines, 1, 2, 27, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, n_lines int, n_chars long, _rest string")
+    out = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    got = sorted(map(tuple, out.collect()))
+    assert got == [rows[0], (2, "more of it", 99, 8, 10, "y"), rows[2]]
+    assert corpus_pipeline.dedup_lines(spark, docs.filter("doc_id > 9"), "").count() == 0
+
+
+def test_stages_on_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, None), (None, ""), (2, "some words here"), (2, "some words here")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("own") for c in ("_row", "doc", "score", "n_words", "item_id", "class_id")})
+    items = spark.createDataFrame([("i", None)], "item_id string, text string")
+    kept = corpus_pipeline.decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and kept.count() == 4
+    near = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert near.columns == docs.columns and near.count() == 3
+    assert corpus_pipeline.pack(spark, docs, "").count() == 4
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.pack, corpus_pipeline.dedup_lines):
+        assert stage(spark, docs.filter("doc_id > 9"), "").count() == 0
