@@ -254,7 +254,7 @@ ORACLE_SQL = {
     "norm_type_affinity": sql("SELECT ordinal, CAST(code AS BIGINT) AS event_id FROM raw", RAW),
     "norm_task_fallback": sql("SELECT ordinal, CASE WHEN k = 0 AND i % 11 = 0 THEN 'TaskName=Updater' WHEN k = 0 THEN '' WHEN k = 1 AND i % 40 = 1 THEN 'certutil -urlcache' WHEN k = 1 THEN 'run' END AS cmdline FROM raw", RAW),
     "norm_raw_keep": "SELECT event_id AS ordinal, true AS same FROM events",
-    "norm_drop_untimed": sql("SELECT COUNT(*) AS kept, MIN(ordinal) AS first FROM raw WHERE seconds IS NOT NULL", RAW),
+    "norm_drop_untimed": sql("SELECT COUNT(seconds) AS kept, CAST(MIN(seconds) AS BIGINT) AS first, COUNT(*) - COUNT(seconds) AS dropped, COUNT(*) AS read FROM raw", RAW),
     "norm_assign_id": sql("SELECT ordinal, row_number() OVER (ORDER BY ordinal) AS id FROM raw WHERE seconds IS NOT NULL", RAW),
     "sink_events": sql("SELECT host, COUNT(*) AS n, CAST(SUM(id) AS BIGINT) AS ids FROM (SELECT host, row_number() OVER (ORDER BY ordinal) AS id FROM raw WHERE seconds IS NOT NULL) GROUP BY host", RAW),
     "st_row_rules": sql("SELECT 'ingress_tool_transfer' AS rule, host, CAST(ordinal AS VARCHAR) AS event_ids FROM raw WHERE k = 1 AND i % 40 = 1 AND code = 1 AND seconds IS NOT NULL", RAW),

@@ -13,6 +13,7 @@ from logtrail.jobs.flagship import TEST_CONFIG, find_campaigns, find_incidents,
 from logtrail.operators import campaigns, evidence, incidents, layers, normalize, passages, reports, retrieval, rules
 from logtrail.sources.logs import json_array_logs, json_lines_logs, labeled_captures, markdown_documents, scenarios, synth_events, win_records, write_markdown
 from logtrail.sources.scratch import scratch, written
+from logtrail.sources.tables import Table
 from logtrail.sources.views import raw_records, raw_table, security_events, windows_records, written_reports
 from logtrail.streaming.rules import LateRows, stream_brute_force, stream_incidents, stream_signals, stream_spray
 
@@ -87,7 +88,9 @@ def norm_raw_keep(spark, sf):
 
 @query
 def norm_drop_untimed(spark, sf):
-    return normalize.drop_untimed(_normalized(spark, sf)).agg(F.count(F.lit(1)).alias("kept"), F.min("ordinal").alias("first"))
+    """What an ingest keeps, and how many records it drops for want of a time."""
+    found = normalize.ingest_counted(spark, raw_records(spark, sf))
+    return found.events.agg(F.count(F.lit(1)).alias("kept"), F.min(F.unix_seconds("time")).alias("first"), F.lit(found.untimed).cast("long").alias("dropped"), F.lit(found.read).cast("long").alias("read"))
 
 
 @query
@@ -97,10 +100,11 @@ def norm_assign_id(spark, sf):
 
 @query
 def sink_events(spark, sf):
-    """The events written by date and read back, counted by host."""
-    path = scratch(spark, "events")
-    normalize.write_events(normalize.ingest(spark, raw_records(spark, sf)), path)
-    return spark.read.parquet(path).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    """The events written by date, twice, the second time in place of the first, and read back, counted by host."""
+    table, events = Table(spark, scratch(spark, "events")), normalize.ingest(spark, raw_records(spark, sf))
+    normalize.write_events(events.withColumn("host", F.lit("before")), table.path)
+    normalize.write_events(events, table.path)
+    return table.read().groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 # ---- predicates and functions
@@ -383,7 +387,7 @@ def sink_passages(spark, sf):
     """Passages written and read back, counted by document."""
     path = scratch(spark, "passages")
     passages.write(passages.chunks(_docs(spark, sf), S.DEFAULT, "\n"), path)
-    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.length("content")).alias("chars"))
+    return Table(spark, path).read().groupBy("source").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.length("content")).alias("chars"))
 
 
 @query

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logtrail.functions.columns import to_integer, truthy, utc_time
 from logtrail.schema import ALIASES, EVENT_COLUMNS
 from logtrail.sources.scratch import in_sequence, written
+from logtrail.sources.tables import Table
 
 
 def field(keys: Column, values: Column, aliases: list[str]) -> Column:
@@ -27,7 +30,8 @@ def valid_records(raw: DataFrame) -> DataFrame:
 
 
 def _checked(out: DataFrame, bad: DataFrame) -> DataFrame:
-    if places := bad.select("ordinal").limit(3).collect():
+    order = [c for c in ("file", "block", "ordinal") if c in bad.columns]
+    if places := bad.orderBy(*order).select("ordinal").limit(3).collect():
         raise ValueError(f"records that are no objects, at {', '.join(str(r.ordinal) for r in places)}")
     return out
 
@@ -58,17 +62,21 @@ def normalize(raw: DataFrame, told: bool = False) -> DataFrame:
     )
 
 
-def count_untimed(events: DataFrame) -> tuple[int, int]:
-    """Events, and those without a usable time; an error if that is all of a table that is not empty."""
-    told = events.agg(F.count(F.lit(1)).alias("n"), F.count("time").alias("timed")).first()
-    if told.n and not told.timed:
-        raise ValueError(f"none of {told.n} events has a usable time")
-    return told.n, told.n - told.timed
+def untimed() -> tuple[Observation, list[Column]]:
+    """What to observe of events where they are written or read anyway: how many there are, and how many have a usable time."""
+    return Observation(), [F.count(F.lit(1)).alias("events"), F.count("time").alias("timed")]
+
+
+def dropped(seen: dict) -> int:
+    """How many events had no usable time; an error if that is all of a table that is not empty."""
+    if seen["events"] and not seen["timed"]:
+        raise ValueError(f"none of {seen['events']} events has a usable time")
+    return seen["events"] - seen["timed"]
 
 
 def drop_untimed(events: DataFrame) -> DataFrame:
-    """Without rows that have no usable time; see count_untimed for how many these are."""
-    count_untimed(events)
+    """Without rows that have no usable time; an error if that is all, which takes a count. ingest counts as it writes."""
+    dropped(events.agg(*untimed()[1]).first().asDict())
     return events.filter(F.col("time").isNotNull())
 
 
@@ -78,14 +86,43 @@ def with_ids(events: DataFrame, order: list[str] | None = None) -> DataFrame:
     return in_sequence(events, order, "id").withColumn("id", F.col("id") + 1)
 
 
+@dataclass(frozen=True)
+class Ingested:
+    """Events with ids, and how many records were read, had no usable time, and were no objects (with a quarantine)."""
+
+    events: DataFrame
+    read: int
+    untimed: int
+    quarantined: int
+
+
+def ingest_counted(spark: SparkSession, raw: DataFrame, quarantine: str | None = None) -> Ingested:
+    """Records to events. They are parsed once and written, and counted by that write: no other job looks at them all.
+
+    Records that are no JSON objects are an error, before anything is stored, unless there is a place for them: then they
+    are added to that table as they came, with the reason, and the others go on.
+    """
+    seen, counts = untimed()
+    record = F.coalesce("_record", F.lit(False))
+    parsed = normalize(raw, told=True).observe(seen, *counts, F.count_if(~record).alias("bad"))
+    parsed = written(parsed, "normalized")
+    told = seen.get
+    if told["bad"] and not quarantine:
+        _checked(parsed, parsed.filter(~record))
+    if told["bad"]:
+        place = [c for c in ("scope", "file", "block", "ordinal") if c in parsed.columns]
+        parsed.filter(~record).select(*place, "raw", F.lit("no JSON object").alias("reason")).write.mode("append").parquet(quarantine)
+        parsed = parsed.filter(record)
+    lost = dropped(told | {"events": told["events"] - told["bad"]})
+    events = with_ids(parsed.filter(F.col("time").isNotNull()).drop("_record")).select(*EVENT_COLUMNS)
+    return Ingested(events, told["events"], lost, told["bad"])
+
+
 def ingest(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    """Events with ids. Records are parsed once and written; checks and order read what is written."""
-    parsed = written(normalize(raw, told=True), "normalized")
-    _checked(parsed, parsed.filter(~F.coalesce("_record", F.lit(False))))
-    return with_ids(drop_untimed(parsed.drop("_record"))).select(*EVENT_COLUMNS)
+    """Events with ids; see ingest_counted."""
+    return ingest_counted(spark, raw).events
 
 
 def write_events(events: DataFrame, path: str) -> int:
-    """Replaces the table at path, by date; the number of events."""
-    events.withColumn("date", F.to_date("time")).write.mode("overwrite").partitionBy("date").parquet(path)
-    return events.sparkSession.read.parquet(path).count()
+    """Replaces the table at path, by date, when all is written: read it by Table(spark, path).read(). The number of events."""
+    return Table(events.sparkSession, path).replace(events.withColumn("date", F.to_date("time")), ("date",))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logtrail.functions.columns import let, strip
 from logtrail.schema import DEFAULT, Config
+from logtrail.sources.tables import Table
 
 BLANK_LINES = r"\n\s*\n"
 
@@ -102,5 +103,6 @@ def stats(passages: DataFrame) -> DataFrame:
     return passages.rollup("source").agg(F.count(F.lit(1)).alias("passages"))
 
 
-def write(passages: DataFrame, path: str) -> None:
-    passages.write.mode("overwrite").parquet(path)
+def write(passages: DataFrame, path: str) -> int:
+    """Replaces the index at path when all is written: read it by Table(spark, path).read(). The number of passages."""
+    return Table(passages.sparkSession, path).replace(passages)
