@@ -21,12 +21,16 @@ def entities(incidents: DataFrame) -> DataFrame:
     return incidents.select("scope", "inc_idx", F.explode(F.array_distinct(kinds)).alias("e")).select("scope", "inc_idx", "e.kind", "e.entity")
 
 
-def without_infrastructure(found: DataFrame, incidents: DataFrame, least: int = DEFAULT.infra_least) -> DataFrame:
-    """Without addresses in at least `least` incidents and more than half of all incidents of the scope."""
+def infrastructure(found: DataFrame, incidents: DataFrame, least: int = DEFAULT.infra_least) -> DataFrame:
+    """scope, kind, entity: addresses in at least `least` incidents and more than half of all incidents of the scope."""
     total = incidents.groupBy("scope").agg(F.count(F.lit(1)).alias("total"))
     counts = found.filter("kind = 'ip'").groupBy("scope", "kind", "entity").agg(F.count_distinct("inc_idx").alias("n"))
-    infra = counts.join(total, "scope").filter((F.col("n") >= least) & (2 * F.col("n") > F.col("total"))).select("scope", "kind", "entity")
-    return found.join(infra, ["scope", "kind", "entity"], "left_anti")
+    return counts.join(total, "scope").filter((F.col("n") >= least) & (2 * F.col("n") > F.col("total"))).select("scope", "kind", "entity")
+
+
+def without_infrastructure(found: DataFrame, incidents: DataFrame, least: int = DEFAULT.infra_least) -> DataFrame:
+    """Without addresses that are infrastructure."""
+    return found.join(infrastructure(found, incidents, least), ["scope", "kind", "entity"], "left_anti")
 
 
 def near(a_start: Column, a_end: Column, b_start: Column, b_end: Column, within: timedelta) -> Column:
@@ -93,7 +97,12 @@ class Sweep:
 
 
 def edges(found: DataFrame, incidents: DataFrame, within: timedelta = DEFAULT.campaign_window) -> DataFrame:
-    """scope, a, b (a < b): edges that connect the same incidents as all `pairs` do, at most a few for each row of found.
+    """scope, a, b (a < b) of entity_edges."""
+    return entity_edges(found, incidents, within).select("scope", "a", "b").distinct()
+
+
+def entity_edges(found: DataFrame, incidents: DataFrame, within: timedelta = DEFAULT.campaign_window) -> DataFrame:
+    """scope, kind, entity, a, b (a < b): edges that, for each entity, connect the same incidents as all `pairs` do, at most a few for each row of found.
 
     Rows are dealt by entity and time slot and sorted there by start, and a sweep over them holds a few groups only,
     however many incidents share an entity. Incidents that are near meet in a slot, as for pairs.
@@ -110,11 +119,12 @@ def edges(found: DataFrame, incidents: DataFrame, within: timedelta = DEFAULT.ca
             for scope, kind, entity, slot, incident, host, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (scope, kind, entity, slot) != last:
                     last, sweep = (scope, kind, entity, slot), Sweep(width)
-                out += [(scope, a, b) for a, b in sweep.add(incident, host, start, end)]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["scope", "a", "b"])
+                out += [(scope, kind, entity, a, b) for a, b in sweep.add(incident, host, start, end)]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["scope", "kind", "entity", "a", "b"])
 
-    return side.repartition(*key).sortWithinPartitions(*key, "start", "inc_idx").mapInArrow(run, "scope string, a int, b int").distinct()
+    return side.repartition(*key).sortWithinPartitions(*key, "start", "inc_idx").mapInArrow(run, "scope string, kind string, entity string, a int, b int").distinct()
 
 
 #: Edges up to which one task finds the components, in memory; more are labelled in rounds of joins.
