@@ -303,6 +303,7 @@ ORACLE_SQL |= {"rule_brute_force": sql(f"{TOLD}({BRUTE})", EV), "rule_kerberos_s
 ORACLE_SQL |= {
     "st_brute_force": sql("SELECT host, usr AS \"user\", src_ip, COUNT(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY time, id) AS event_ids FROM (SELECT *, MIN(CASE WHEN time - t2 <= INTERVAL '5' MINUTE THEN t2 END) OVER (PARTITION BY host, usr, src_ip) AS anchor FROM (SELECT *, LAG(time, 2) OVER (PARTITION BY host, usr, src_ip ORDER BY time, id) AS t2 FROM ev WHERE event_id = 4625)) WHERE time BETWEEN anchor AND anchor + INTERVAL '5' MINUTE GROUP BY host, usr, src_ip", EV),
     "st_incidents": sql(f"SELECT i.host, {ISO('st')} AS start_time, {ISO('en')} AS end_time, n, techniques FROM inc i JOIN (SELECT host, anchor, COUNT(*) AS n FROM asg GROUP BY ALL) s ON s.host = i.host AND s.anchor = i.anchor", *INC),
+    "st_campaigns": sql(f"SELECT i.host, {ISO('i.st')} AS start_time, f.first, COALESCE(members, 0) AS members FROM inc i LEFT JOIN camp c USING (inc_idx) LEFT JOIN (SELECT campaign_id, COUNT(*) AS members, arg_min({ISO('st')} || ' ' || host, (st, host)) AS first FROM mem GROUP BY campaign_id) f ON f.campaign_id = c.campaign_id", *CAMP),
     "st_late": sql("SELECT COUNT(*) FILTER (event_id = 4625 AND time <= (SELECT MAX(time) FROM ev WHERE event_id = 4625) - INTERVAL '10' MINUTE) AS late_rows, COUNT(*) AS events FROM ev", EV),
     "src_scenarios": sql("SELECT 'case-' || (ordinal // 500) AS scope, COUNT(*) AS records, COUNT(*) FILTER (code = 4625) AS failed, (ordinal // 500) % 2 = 0 AS is_malicious, 'T1110' AS expected FROM raw GROUP BY ordinal // 500", RAW),
     "src_labeled_captures": sql("SELECT 'cap-' || (ordinal // 1000) || '.jsonl' AS scope, COUNT(*) AS records, COUNT(*) FILTER (event_id = 4625) AS failed, 'T1110,T1071' AS expected FROM win GROUP BY ordinal // 1000", WIN),

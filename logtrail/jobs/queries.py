@@ -15,6 +15,7 @@ from logtrail.sources.logs import json_array_logs, json_lines_logs, labeled_capt
 from logtrail.sources.scratch import scratch, written
 from logtrail.sources.tables import Table
 from logtrail.sources.views import raw_records, raw_table, security_events, windows_records, written_reports
+from logtrail.streaming.campaigns import INCIDENT, StreamCampaigns
 from logtrail.streaming.rules import LateRows, stream_brute_force, stream_incidents, stream_signals, stream_spray
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +633,21 @@ def src_synth_events(spark, sf):
     """As many synthetic events as the table has, counted by host and kind."""
     made = synth_events(spark, raw_table(spark, sf, "events").count())
     return made.groupBy("host", "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user").alias("users"), F.min("id").alias("first"), F.max(F.unix_seconds("time")).alias("last"))
+
+
+@query
+def st_campaigns(spark, sf):
+    """Incidents as a stream in two runs, their campaigns merged batch by batch; each with its campaign's first member."""
+    columns = [c.split()[0] for c in INCIDENT.split(", ")]
+    found = _incidents(spark, sf).select(*columns)
+    source, checkpoint = scratch(spark, "closed"), scratch(spark, "closed-state")
+    state = StreamCampaigns(spark, scratch(spark, "campaigns"), TEST_CONFIG)
+    middle = F.timestamp_micros(F.lit(found.agg(F.avg(F.unix_micros("start")).cast("long")).first()[0]))
+    for part in (found.filter(F.col("start") <= middle), found.filter(F.col("start") > middle)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(found.schema).parquet(source)
+        stream.writeStream.foreachBatch(state.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    tagged = state.campaigns()
+    first = tagged.filter("root IS NOT NULL").groupBy("scope", "root").agg(F.min(F.struct("start", "host")).alias("f"), F.count(F.lit(1)).alias("members"))
+    out = tagged.join(first, ["scope", "root"], "left")
+    return out.select("host", C.iso(F.col("start")).alias("start_time"), F.concat(C.iso(F.col("f.start")), F.lit(" "), "f.host").alias("first"), F.coalesce("members", F.lit(0)).cast("long").alias("members"))
