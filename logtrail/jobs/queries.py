@@ -13,7 +13,9 @@ from logtrail.jobs.flagship import TEST_CONFIG, find_campaigns, find_incidents,
 from logtrail.operators import campaigns, evidence, incidents, layers, normalize, passages, reports, retrieval, rules
 from logtrail.sources.logs import json_array_logs, json_lines_logs, labeled_captures, markdown_documents, scenarios, synth_events, win_records, write_markdown
 from logtrail.sources.scratch import scratch, written
+from logtrail.sources.files import whole_files
 from logtrail.sources.tables import Table
+from logtrail.sources.text_files import incident_file, write_files
 from logtrail.sources.views import raw_records, raw_table, security_events, windows_records, written_reports
 from logtrail.streaming.campaigns import INCIDENT, StreamCampaigns
 from logtrail.streaming.rules import LateRows, stream_brute_force, stream_incidents, stream_signals, stream_spray
@@ -334,20 +336,28 @@ def chk_ungrounded_ip(spark, sf):
     return docs.select("doc_id", F.array_join(reports.ungrounded_ips(F.col("text"), half), ",").alias("ips")).filter("ips <> ''")
 
 
+def _files(spark, texts: DataFrame, suffix: str) -> DataFrame:
+    """inc_idx, text of incidents' texts written as files, twice, the second time in place of the first, and read back."""
+    folder, named = scratch(spark, "files"), texts.withColumn("name", incident_file(suffix))
+    named = written(named, "texts")
+    write_files(named.withColumn("text", F.lit("before")), folder)
+    write_files(named, folder)
+    return whole_files(spark, folder, suffix).select(F.regexp_extract("source", r"-(\d+)\.\w+$", 1).cast("int").alias("inc_idx"), "text")
+
+
 @query
 def sink_incident_markdown(spark, sf):
-    """One Markdown text for each incident, written and read back."""
-    path = scratch(spark, "markdown")
-    reports.markdown(_checked(spark, sf)).write.parquet(path)
-    return spark.read.parquet(path).select("inc_idx", "markdown")
+    """A Markdown file for each incident."""
+    texts = reports.markdown(_checked(spark, sf)).withColumnRenamed("markdown", "text")
+    return _files(spark, texts, ".md").withColumnRenamed("text", "markdown")
 
 
 @query
 def sink_evidence_bundle(spark, sf):
-    path = scratch(spark, "bundles")
-    reports.bundle(_checked(spark, sf)).write.parquet(path)
-    j = lambda p: F.get_json_object("json", p)
-    return spark.read.parquet(path).select("inc_idx", j("$.incident.host").alias("host"), j("$.validation.grounded").alias("grounded"), F.json_array_length(j("$.signals")).alias("signals"))
+    """A JSON file for each incident."""
+    j = lambda p: F.get_json_object("text", p)
+    found = _files(spark, reports.bundle(_checked(spark, sf)).withColumnRenamed("json", "text"), ".json")
+    return found.select("inc_idx", j("$.incident.host").alias("host"), j("$.validation.grounded").alias("grounded"), F.json_array_length(j("$.signals")).alias("signals"))
 
 
 # ---- passages and retrieval

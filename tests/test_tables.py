@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtrail.operators import normalize
 from logtrail.sources.tables import Table
+from logtrail.sources.text_files import write_files
 
 
 def values(df):
@@ -67,3 +68,20 @@ def test_ingest_counts(spark, tmp_path):
             normalize.ingest_counted(spark, nothing, path)
     none = normalize.ingest_counted(spark, spark.createDataFrame([], "ordinal long, raw string"))
     assert (none.read, none.untimed, none.events.count()) == (0, 0, 0)
+
+
+def test_named_files(spark, tmp_path):
+    folder = tmp_path / "out"
+    texts = lambda rows: spark.createDataFrame(rows, "name string, text string").repartition(3)
+    write_files(texts([("a.md", "one"), ("b é.md", ""), ("c.md", None)]), f"file://{folder}")
+    assert {p.name: p.read_text() for p in folder.iterdir()} == {"a.md": "one", "b é.md": "", "c.md": ""}
+    write_files(texts([("d.md", "two")]), f"file://{folder}")
+    assert [p.name for p in folder.iterdir()] == ["d.md"]
+    for bad in ([("x.md", "1"), ("x.md", "2")], [("a/b", "1")], [(None, "1")]):
+        with pytest.raises(Exception):  # noqa: B017
+            write_files(texts(bad), f"file://{folder}")
+        assert [p.name for p in folder.iterdir()] == ["d.md"] and [p.name for p in tmp_path.iterdir()] == ["out"]
+    failing = texts([(f"{i}.md", str(i)) for i in range(50)]).withColumn("text", F.when(F.col("name") == "33.md", F.raise_error(F.lit("half way"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="half way"):
+        write_files(failing, f"file://{folder}")
+    assert [p.name for p in folder.iterdir()] == ["d.md"] and [p.name for p in tmp_path.iterdir()] == ["out"]
