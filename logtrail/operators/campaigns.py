@@ -102,9 +102,9 @@ def edges(found: DataFrame, incidents: DataFrame, within: timedelta = DEFAULT.ca
 
 
 def entity_edges(found: DataFrame, incidents: DataFrame, within: timedelta = DEFAULT.campaign_window) -> DataFrame:
-    """scope, kind, entity, a, b (a < b): edges that, for each entity, connect the same incidents as all `pairs` do, at most a few for each row of found.
+    """scope, kind, entity, a, b (a < b): edges that, for each entity, connect the same incidents as all `pairs` do.
 
-    Rows are dealt by entity and time slot and sorted there by start, and a sweep over them holds a few groups only,
+    There are at most a few for each row of found. Rows are dealt by entity and time slot and sorted there by start, and a sweep over them holds a few groups only,
     however many incidents share an entity. Incidents that are near meet in a slot, as for pairs.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -141,9 +141,9 @@ def _in_a_task(linked: DataFrame) -> DataFrame:
             return x
 
         for batch in batches:
-            for scope, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (root(above.setdefault((scope, i), (scope, i)) and (scope, i)) for i in (a, b))
-                above[max(x, y, key=lambda n: n[1])] = min(x, y, key=lambda n: n[1])
+            for scope, *ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = sorted((root(above.setdefault((scope, i), (scope, i))) for i in ends), key=lambda n: n[1])
+                above[high] = low
         rows = [(scope, i, root((scope, i))[1]) for scope, i in above]
         columns = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["scope", "inc_idx", "root"])

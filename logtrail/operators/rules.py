@@ -109,6 +109,7 @@ def _outbound() -> Column:
     return _unusual() & is_external_ip(F.col("dst_ip"))
 
 
+#: Names, techniques and the texts of descriptions, here and in the rules on groups.
 ROW_RULES = [
     Rule(2, "encoded_powershell", "T1059.001", "PowerShell", "high", lambda: _process(_cmd().contains("powershell") & any_substring(_cmd(), S.POWERSHELL)), _who("Obfuscated/suspicious PowerShell execution"), ("cmdline", ("powershell",))),
     Rule(3, "ingress_tool_transfer", "T1105", "Ingress Tool Transfer", "high", lambda: _process(any_substring(_cmd(), S.DOWNLOAD)), _who("External download command"), ("cmdline", S.DOWNLOAD)),
