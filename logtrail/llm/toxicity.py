@@ -1,19 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses and each word becomes a symbol: insult (from a lexicon with weights learned from labels),
-threat, target, negation, reporting verb or other. Four letter-to-letter transducers rewrite the symbols of a clause:
-negation marks insults and threats in its reach, reported speech those after a reporting verb, target those beside a
-person addressed, and the last one gives what is left its final class. They are composed once into one transducer
-that reads each clause in one pass. The lexicon weights of the matches of each final class, summed over the clauses,
-give a score through a logistic function fitted on labelled rows.
+A text is a sequence of words, and each clause of it ends with a stop. Five transducers over words, composed into one,
+read it once:
+
+* insult: words and phrases of the lexicon (weights learned from labels) and fixed phrases become `I`;
+* threat: a verb of violence with the person it is meant for, and fixed phrases of several words, become `T`;
+* negation: marks in its reach become `I-` and `T-`;
+* target: marks near a person addressed, before or after them, become `I@` and `T@`;
+* reported speech: takes everything up to the end of the clause, where it writes what the clause is: its gravest mark,
+  with `"` if a reporting verb stands anywhere in the clause, before or after the mark.
+
+So one weighted match comes out of each clause that has any, when it closes. Their weights, summed by class over the
+clauses of a text, give a score through a logistic function fitted on labelled rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,102 +33,259 @@ from logtrail.llm.common import materialize, slices, table
 FIT_ROWS = 20_000
 #: A lexicon word stands in this share of toxic rows among those that hold it, by this log-likelihood ratio at least.
 LEAST_SHARE, LEAST_EVIDENCE, LEXICON_WORDS = 0.5, 25.0, 2_000
-TOKEN = re.compile(r"\w+|[.!?;\n]")
 WORD = re.compile(r"\w+")
-REACH = 3
+TOKEN = re.compile(r"\w+(?:['’]t\b)?|[.!?;\n\"“”„«»]")
+STOPS, QUOTES, END, OTHER = ".!?;", '"“”„«»', "$", ""
+#: Words from a negation or a person to the mark that it concerns; from a verb to its object, and from an object to its verb.
+REACH, OBJECT_AFTER, OBJECT_BEFORE = 3, 2, 3
+NEGATED, TARGETED, REPORTED = -1.0, 0.5, -0.5
 #: Closed classes of the grammar in the four languages.
-CLOSED = {
-    "N": "not no never nor cannot kein keine keinen nicht nie pas jamais ne ni nunca jamás".split(),
-    "R": "said says say called claimed reported wrote quoted sagte sagt schrieb behauptete dit disait écrit affirme dijo dice escribió afirmó".split(),
-    "A": "you your yours he she him her they them their du dich dein deine ihr euch sie tu toi ton vous votre il elle ils tú te usted ustedes ellos ella".split(),
-    "T": "kill killing hurt destroy burn stab shoot die töten umbringen verletzen sterben tuer frapper brûler mourir matar golpear quemar morir".split(),
-}
-FINAL = ("I", "I@", "I-", "I\"", "T", "T@", "T-", "T\"")
-
-
-@dataclass
+NEGATIONS = "not no never nor cannot n't kein keine keinen nicht nie pas jamais ne ni nunca jamás".split()
+REPORTING = "said says say called claimed reported wrote quoted sagte sagt schrieb behauptete dit disait écrit affirme dijo dice escribió afirmó".split()
+PERSONS = "you your yours yourself he she him her they them their du dich dein deine ihr euch sie ihn tu toi ton te vous votre il elle ils tú usted ustedes ellos ella".split()
+#: Verbs whose object follows, and verbs of the languages where it may also come before.
+VERBS_BEFORE_OBJECT = "kill killing hurt destroy burn stab shoot strangle murder beat".split()
+VERBS_AROUND_OBJECT = "töten umbringen verletzen erschießen verbrennen tuer frapper brûler étrangler matar golpear quemar mataré mataremos golpearé".split()
+OBJECTS_BEFORE_VERB = "dich euch ihn te vous les os".split()
+INSULT_PHRASES = ["piece of trash", "piece of garbage", "waste of space", "waste of oxygen", "stück dreck", "sac à merde", "pedazo de mierda"]
+THREAT_PHRASES = [
+    *(" ".join(x) for x in product(["you will", "you ll", "they will", "hope you"], ["die", "suffer", "pay for this", "regret this"])),
+    *(" ".join(x) for x in product(["du wirst", "ihr werdet"], ["sterben", "leiden", "dafür bezahlen", "das bereuen"])),
+    *(" ".join(x) for x in product(["tu vas", "vous allez"], ["mourir", "souffrir", "le payer", "le regretter"])),
+    *(" ".join(x) for x in product(["vas a", "van a"], ["morir", "sufrir", "pagarlo", "lamentarlo"])),
+    *(" ".join(x) for x in product(["never", "not", "n't"], ["wake up again", "see tomorrow", "leave alive", "get out alive"])),
+    "watch your back", "know where you live", "come for you", "you are dead", "weiß wo du wohnst", "sais où tu habites", "sé dónde vives",
+]
+#: From the slightest to the gravest; a clause is told by the gravest of its marks.
+GRAVITY = ("", "I-", "T-", "I", "T", "I@", "T@")
+FINAL = (*GRAVITY[1:], *(f'{m}"' for m in GRAVITY[1:]))
+FEATURES = len(FINAL) + 3
+
+
+@dataclass(frozen=True)
 class Transducer:
-    """Deterministic, one symbol out for each one in. arcs: (state, symbol) -> (symbol out, next state, weight)."""
+    """One symbol out for each one in. step: (state, symbol) -> (symbol out, next state, weight)."""
 
-    arcs: dict[tuple, tuple] = field(default_factory=dict)
-    start: object = 0
+    start: Hashable
+    step: Callable[[Hashable, str], tuple[str, Hashable, float]]
 
     def compose(self, other: Transducer) -> Transducer:
         """Reads what self reads and writes what other writes; weights add up."""
-        out, todo, seen = Transducer(start=(self.start, other.start)), [(self.start, other.start)], set()
-        while todo:
-            if (at := todo.pop()) in seen:
-                continue
-            seen.add(at)
-            for (state, symbol), (mid, here, w) in self.arcs.items():
-                if state == at[0] and (at[1], mid) in other.arcs:
-                    last, there, v = other.arcs[at[1], mid]
-                    out.arcs[at, symbol] = (last, (here, there), w + v)
-                    todo.append((here, there))
+
+        def step(state: tuple, symbol: str) -> tuple[str, tuple, float]:
+            mid, here, w = self.step(state[0], symbol)
+            out, there, v = other.step(state[1], mid)
+            return out, (here, there), w + v
+
+        return Transducer((self.start, other.start), step)
+
+    def read(self, symbols: Iterable[str]) -> list[tuple[str, float]]:
+        out, state = [], self.start
+        for symbol in symbols:
+            found, state, w = self.step(state, symbol)
+            out.append((found, w))
         return out
 
-    def numbered(self) -> Transducer:
-        """The same with numbers for states."""
-        names = {self.start: 0}
-        for (state, _), (_, to, _) in self.arcs.items():
-            names.setdefault(state, len(names))
-            names.setdefault(to, len(names))
-        return Transducer({(names[s], a): (b, names[t], w) for (s, a), (b, t, w) in self.arcs.items()}, 0)
-
-
-def marking(trigger: str, mark: str, reach: int | None, symbols: set[str], weight: float) -> Transducer:
-    """After `trigger`, the next `reach` symbols (all, if None) that are I or T without a mark get `mark`."""
-    out, far = Transducer(), reach or 1
-    for state in range(far + 1):
-        for x in symbols:
-            to = far if x == trigger else state if reach is None else max(0, state - 1)
-            marked = state > 0 and x in ("I", "T")
-            out.arcs[state, x] = (x + mark if marked else x, to, weight * marked)
-    return out
-
-
-def grammar() -> Transducer:
-    """negation, then reported speech, then target, then the final classes, composed. A weight is a bonus in bits."""
-    symbols = {"O", "I", "T", "N", "R", "A"}
-    negated = marking("N", "-", REACH, symbols, -1.0)
-    symbols |= {"I-", "T-"}
-    reported = marking("R", '"', None, symbols, -0.5)
-    symbols |= {'I"', 'T"'}
-    targeted = marking("A", "@", REACH, symbols, 0.5)
-    symbols |= {"I@", "T@"}
-    final = Transducer({(0, x): (x if x in FINAL else "", 0, 0.0) for x in symbols})
-    return negated.compose(reported).compose(targeted).compose(final).numbered()
+
+class Arcs(dict):
+    """(state number, symbol) -> (symbol out, next state number, weight), each worked out when first needed.
+
+    The states are finite, so there are at most states times known words of them, whatever the texts.
+    """
+
+    def __init__(self, of: Transducer):
+        super().__init__()
+        self.step, self.states, self.numbers = of.step, [of.start], {of.start: 0}
+
+    def __missing__(self, key: tuple[int, str]) -> tuple[str, int, float]:
+        out, state, w = self.step(self.states[key[0]], key[1])
+        to = self.numbers.setdefault(state, len(self.states))
+        if to == len(self.states):
+            self.states.append(state)
+        self[key] = arc = (out, to, w)
+        return arc
+
+
+def phrases(found: dict[tuple[str, ...], float]) -> Transducer:
+    """Writes "!" with its weight where a phrase ends and every other symbol as it is; the longest phrase counts.
+
+    The state is the longest opening of a phrase that the text read so far ends with.
+    """
+    openings = {p[:i] for p in found for i in range(len(p))}
+    longest = max(map(len, found), default=0)
+
+    def step(state: tuple[str, ...], symbol: str) -> tuple[str, tuple[str, ...], float]:
+        if symbol == END:
+            return END, (), 0.0
+        read = (*state, symbol)[-longest:] if longest else ()
+        ends = [read[i:] for i in range(len(read))]
+        whole = next((e for e in ends if e in found), None)
+        state = next((e for e in ends if e in openings), ())
+        return ("!" if whole else symbol), state, found[whole] if whole else 0.0
+
+    return Transducer((), step)
+
+
+def clauses() -> Transducer:
+    """Writes END where a clause ends: at a line's end, and at a stop outside quotes. The state: within quotes or not."""
+
+    def step(quoted: bool, symbol: str) -> tuple[str, bool, float]:
+        if symbol in (END, "\n"):
+            return END, False, 0.0
+        if symbol and symbol in QUOTES:
+            return OTHER, not quoted, 0.0
+        if symbol and symbol in STOPS:
+            return (OTHER if quoted else END), quoted, 0.0
+        return symbol, quoted, 0.0
+
+    return Transducer(False, step)
+
+
+def insult(lexicon: dict[str, float]) -> Transducer:
+    """`I` where a word of the lexicon stands or an insulting phrase ends."""
+    known = phrases({tuple(p.split()): 1.0 for p in INSULT_PHRASES} | {(w,): weight for w, weight in lexicon.items()})
+
+    def step(state: Hashable, symbol: str) -> tuple[str, Hashable, float]:
+        out, state, w = known.step(state, symbol)
+        return ("I" if out == "!" else out), state, w
+
+    return Transducer(known.start, step)
+
+
+def threat() -> Transducer:
+    """`T!` where a threatening phrase ends (a negation in it is its own); `TA` where a verb of violence meets a person.
+
+    The state: that of the phrases, for how many words a verb still waits for its object, and for how many one told
+    before still waits for its verb.
+    """
+    known = phrases({tuple(p.split()): 1.0 for p in THREAT_PHRASES})
+    before, around, persons, objects = set(VERBS_BEFORE_OBJECT), set(VERBS_AROUND_OBJECT), set(PERSONS), set(OBJECTS_BEFORE_VERB)
+
+    def step(state: tuple, symbol: str) -> tuple[str, tuple, float]:
+        phrase, verb, told = state
+        out, phrase, w = known.step(phrase, symbol)
+        if symbol == END:
+            return END, (phrase, 0, 0), 0.0
+        if out == "!":
+            return "T!", (phrase, 0, 0), w
+        if (verb and symbol in persons) or (told and symbol in around):
+            return "TA", (phrase, 0, 0), 1.0
+        verb = OBJECT_AFTER if symbol in before or symbol in around else max(0, verb - 1)
+        told = OBJECT_BEFORE if symbol in objects else max(0, told - 1)
+        return out, (phrase, verb, told), 0.0
+
+    return Transducer((known.start, 0, 0), step)
+
+
+def negation() -> Transducer:
+    """Marks within REACH after a negation become `I-` and `T-`, but for phrases with a negation of their own."""
+    negations = set(NEGATIONS)
+
+    def step(left: int, symbol: str) -> tuple[str, int, float]:
+        if symbol == END:
+            return END, 0, 0.0
+        if symbol in negations:
+            return OTHER, REACH, 0.0
+        if symbol == "T!":
+            return "T", max(0, left - 1), 0.0
+        if left and symbol in ("I", "TA"):
+            return f"{symbol[0]}-", left - 1, NEGATED
+        return symbol, max(0, left - 1), 0.0
+
+    return Transducer(0, step)
+
+
+def target() -> Transducer:
+    """Marks within REACH of a person become `I@` and `T@`; where the person comes later, they become it there.
+
+    The state: words since which a person counts, the mark that waits for one, and for how many words.
+    """
+    persons = set(PERSONS)
+
+    def step(state: tuple, symbol: str) -> tuple[str, tuple, float]:
+        person, mark, wait = state
+        if symbol == END:
+            return END, (0, "", 0), 0.0
+        fewer = max(0, person - 1), mark if wait > 1 else "", max(0, wait - 1)
+        if symbol == "TA":
+            return "T@", (REACH, "", 0), TARGETED
+        if symbol in ("I", "T"):
+            return (f"{symbol}@", fewer, TARGETED) if person else (symbol, (0, symbol, REACH), 0.0)
+        if symbol in persons:
+            return (f"{mark}@", (REACH, "", 0), TARGETED) if mark else (OTHER, (REACH, "", 0), 0.0)
+        return symbol, fewer, 0.0
+
+    return Transducer((0, "", 0), step)
+
+
+def reported() -> Transducer:
+    """Writes nothing but at the end of a clause what the clause is. The state: its gravest mark, reported or not."""
+    verbs = set(REPORTING)
+
+    def step(state: tuple[str, bool], symbol: str) -> tuple[str, tuple[str, bool], float]:
+        mark, told = state
+        if symbol == END:
+            return (f'{mark}"', ("", False), REPORTED) if mark and told else (mark, ("", False), 0.0)
+        if symbol in GRAVITY:
+            mark = max(mark, symbol, key=GRAVITY.index)
+        return OTHER, (mark, told or symbol in verbs), 0.0
+
+    return Transducer(("", False), step)
+
+
+def parts(lexicon: dict[str, float]) -> list[Transducer]:
+    """The transducers in the order in which they read."""
+    return [clauses(), insult(lexicon), threat(), negation(), target(), reported()]
+
+
+def grammar(lexicon: dict[str, float]) -> Transducer:
+    first, *rest = parts(lexicon)
+    for part in rest:
+        first = first.compose(part)
+    return first
 
 
 class Scorer:
-    """The sums of match weights by final class, for texts. lexicon: insult -> weight."""
+    """The clauses that match and their sums by class, for texts. lexicon: insult -> weight."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.arcs, self.lexicon = grammar().arcs, lexicon
-        self.symbol = {w: k for k, words in CLOSED.items() for w in words} | dict.fromkeys(lexicon, "I")
-        self.marks = {*lexicon, *CLOSED["T"]}
+        self.arcs = Arcs(grammar(lexicon))
+        fixed = [p.split() for p in (*INSULT_PHRASES, *THREAT_PHRASES)]
+        verbs = {*VERBS_BEFORE_OBJECT, *VERBS_AROUND_OBJECT}
+        #: No clause matches without one of these.
+        self.marks = {*lexicon, *verbs, *(p[-1] for p in fixed)}
+        self.ends = {*STOPS, "\n"}
+        self.known = {*self.marks, *NEGATIONS, *REPORTING, *PERSONS, *OBJECTS_BEFORE_VERB, *STOPS, *QUOTES, "\n", *(w for p in fixed for w in p)}
+
+    def symbol(self, token: str) -> str:
+        return token if token in self.known else "n't" if token[-3:] in ("n't", "n’t") else OTHER
 
     def matches(self, text: str | None) -> Iterator[tuple[str, str, float]]:
-        """(word, final class, weight) of every match."""
+        """(clause in lower case, its class, its weight) of every clause with a match."""
         lower = (text or "").lower()
         if self.marks.isdisjoint(WORD.findall(lower)):
             return
-        state, symbol, arcs = 0, self.symbol, self.arcs
-        for token in TOKEN.findall(lower):
-            if token in ".!?;\n":
-                state = 0
-                continue
-            found, state, bonus = arcs[state, symbol.get(token, "O")]
+        state, arcs, known, start, weight = 0, self.arcs, self.known, 0, 0.0
+        for token in TOKEN.finditer(lower):
+            word = token[0]
+            found, state, w = arcs[state, word if word in known else self.symbol(word)]
+            weight += w
             if found:
-                yield token, found, self.lexicon.get(token, 1.0) + bonus
+                yield lower[start : token.end()].strip(), found, max(weight, 0.0)
+            if state == 0 and word in self.ends:  # one within quotes ends no clause and leaves another state
+                start, weight = token.end(), 0.0
+        found, _, w = arcs[state, END]
+        if found:
+            yield lower[start:].strip(), found, max(weight + w, 0.0)
 
     def features(self, text: str | None) -> list[float]:
+        """Weights by class, of all matches, and of all for the text's length; the number of matches. Logarithms."""
         total, n = dict.fromkeys(FINAL, 0.0), 0
         for _, kind, weight in self.matches(text):
-            total[kind] += max(weight, 0.0)
+            total[kind] += weight
             n += 1
-        length = len(text or "")
-        return [*(np.log1p(x) for x in total.values()), np.log1p(n), n / (1 + length / 500)]
+        whole, length = sum(total.values()), len(text or "")
+        return [float(x) for x in np.log1p([*total.values(), whole, whole / (1 + length / 500), n])]
 
 
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
@@ -181,7 +345,7 @@ class Model:
     weights: np.ndarray
 
     def scores(self, texts: list[str | None], scorer: Scorer) -> np.ndarray:
-        x = np.array([scorer.features(t) for t in texts]).reshape(len(texts), len(FINAL) + 2)
+        x = np.array([scorer.features(t) for t in texts]).reshape(len(texts), FEATURES)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
@@ -189,7 +353,6 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     """Fits lexicon and weights. Without rows of both labels no word is an insult and each score is one half or less."""
     rows = labelled(spark, docs, labels, fit_rows)
     lexicon = fit_lexicon(rows)
-    n = len(FINAL) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
@@ -200,13 +363,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     # equal rows are summed, so that the few figures of at most fit_rows rows come back
     found = rows.mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
     if not lexicon or not found:
-        return Model({}, np.r_[-1.0, np.zeros(n)])
+        return Model({}, np.r_[-1.0, np.zeros(FEATURES)])
     times = [r["count"] for r in found]
     return Model(lexicon, fit_logistic(np.repeat([r.x for r in found], times, axis=0), np.repeat([r.toxic for r in found], times).astype(float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score, from the text alone; narrow. Null and empty texts get the score of no match."""
+    """doc_id and score, from the text alone; narrow.
+
+    Null and empty texts get the score of no match. Each row is scored by itself: repeated rows and null or repeated
+    ids come back as often as they came, equal texts with equal scores. A text of any length is read whole, word by
+    word. An empty table gives an empty one. Other columns, whatever their names, are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.lexicon)
@@ -218,7 +386,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below `least`; narrow."""
+    """The rows of docs, with all their columns and as often as they came, whose text scores below `least`; narrow.
+
+    A score of exactly `least` is rejected. Null and empty texts are scored as texts without a match. No column but
+    text is looked at and none is added, so no name can clash; null ids are rows like others.
+    """
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -477,10 +477,53 @@ def test_hot_groups_are_split(spark):
 
 
 def test_grammar():
-    s = toxicity.Scorer({"idiot": 3.0})
+    """A clause with a match is told once, when it closes, by its gravest mark."""
+    s = toxicity.Scorer({"idiot": 3.0, "moron": 2.0})
     kinds = lambda t: [k for _, k, _ in s.matches(t)]
-    assert kinds("an idiot") == ["I"] and kinds("you are an idiot") == ["I@"] and kinds("never an idiot") == ["I-"] and kinds("Bob said: what an idiot. An idiot!") == ['I"', "I"]
-    assert kinds("I will kill you. He wants to kill") == ["T", "T@"] and kinds("") == [] and kinds(None) == []
+    assert kinds("an idiot") == ["I"] and kinds("you are an idiot") == kinds("idiot, you") == ["I@"] and kinds("never an idiot") == kinds("she isn't an idiot") == ["I-"]
+    assert kinds("Bob said: what an idiot. An idiot!") == ['I"', "I"]
+    assert kinds('"you idiot" is what he said') == kinds('"You idiot!" he said.') == ['I@"'] and kinds('"You idiot!\nhe said') == ["I@"]
+    assert kinds("I will kill you. He wants to kill") == kinds("te voy a matar") == kinds("ich werde dich töten") == ["T@"] and kinds("kill the process") == []
+    assert kinds("we will make sure you never wake up again") == kinds("You will pay for this") == ["T"] and kinds("do not kill him") == ["T-"]
+    assert kinds("a waste of space") == ["I"] and kinds("a waste of good space") == [] and kinds("") == kinds(None) == []
+    assert list(s.matches("What? You idiot moron! Bye")) == [("you idiot moron!", "I@", 6.0)] and list(s.matches("not an idiot")) == [("not an idiot", "I-", 2.0)]
+
+
+def test_grammar_composed():
+    """Composed, the transducers write and weigh what each writes on what the one before it wrote; so do the kept arcs."""
+    rng, lexicon = random.Random(19), {"idiot": 3.0, "moron": 0.5, "trash": 1.5, "you": 0.25}
+    for known in (lexicon, {}):
+        scorer = toxicity.Scorer(known)
+        alphabet = sorted(scorer.known) + ["", "$"]
+        for _ in range(400):
+            text = []
+            while len(text) < 60:
+                phrase = rng.choice([*toxicity.INSULT_PHRASES, *toxicity.THREAT_PHRASES]).split()
+                text += [rng.choice(["idiot", "moron", "kill", "töten", "you", "te", "not", "said", '"', ".", ""])] if rng.random() < 0.7 else phrase if rng.random() < 0.4 else [rng.choice(alphabet)]
+            weights, written = [0.0] * len(text), text
+            for part in toxicity.parts(known):
+                out = part.read(written)
+                written, weights = [x for x, _ in out], [a + w for a, (_, w) in zip(weights, out, strict=True)]
+            whole = toxicity.grammar(known).read(text)
+            assert [x for x, _ in whole] == written and np.allclose([w for _, w in whole], weights)
+            state, arcs = 0, []
+            for x in text:
+                found, state, w = scorer.arcs[state, x]
+                arcs.append((found, w))
+            assert arcs == whole
+            assert {x for x in written if x} <= set(toxicity.FINAL)
+
+
+def test_phrases_brute_force():
+    """A phrase is found wherever its words stand in a row, the longest where several end."""
+    rng = random.Random(23)
+    for _ in range(200):
+        found = {tuple(rng.choices("abc", k=rng.randint(1, 4))): float(i + 1) for i in range(rng.randint(0, 6))}
+        text = rng.choices("abcd", k=60)
+        out = toxicity.phrases(found).read(text)
+        for i, (symbol, w) in enumerate(out):
+            ends = [p for p in found if tuple(text[max(0, i + 1 - len(p)) : i + 1]) == p]
+            assert (symbol, w) == (("!", found[max(ends, key=len)]) if ends else (text[i], 0.0))
 
 
 def test_toxicity(spark):
