@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ REFUSAL = "The knowledge base does not cover this."
 CITATION = r"\[([^\[\]]{3,120}?\.md)\]"
 #: Questions taken at once: bytes of their vectors.
 BLOCK_BYTES = 64 << 20
+#: Similarities that a task holds at once.
+SCORES_AT_ONCE = 4 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,39 +27,63 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(norm == 0, F.lit(1e-9)).otherwise(norm)
 
 
-def top_k(questions: DataFrame, passages: DataFrame, k: int = DEFAULT.top_k, floor: float | None = DEFAULT.least_similarity, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    lengths = pc.min_max(pc.list_value_length(vectors))
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("vectors must all have one length")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(vectors), lengths["max"].as_py() or 0)
+
+
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k greatest scores, then their ids; equal scores by the smaller id. ids: in the shape of scores."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def top_k(
+    questions: DataFrame, passages: DataFrame, k: int = DEFAULT.top_k, floor: float | None = DEFAULT.least_similarity,
+    block_bytes: int = BLOCK_BYTES, scores_at_once: int = SCORES_AT_ONCE,
+) -> DataFrame:
     """qid, rank, id, similarity: the k nearest passages, then those of at least `floor`.
 
-    The questions, in blocks of a checked size, go to where the passages are; each Arrow batch of passages is one matrix
-    product and gives k rows for each question, so the shuffle carries those alone.
+    The questions, in blocks of a checked size, go to where the passages are as one matrix. A task compares them with a
+    few passages at a time, so that no more than `scores_at_once` similarities are held, and keeps k a question: the
+    shuffle carries those of each task. Rows without an id or a vector are near nothing.
     """
     spark = questions.sparkSession
+    questions = questions.filter(F.col("qid").isNotNull() & F.col("embedding").isNotNull())
     size = questions.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
     blocks = max(1, -(-size.n * size.d * 8 // block_bytes))
     near = None
     for block in range(blocks):
         some = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        rows = [(r.qid, r.embedding) for r in some.select("qid", "embedding").toLocalIterator()]
-        shared = spark.sparkContext.broadcast(rows)
+        rows = some.select(F.col("qid").cast("long"), "embedding").toArrow()
+        shared = spark.sparkContext.broadcast((rows["qid"].to_numpy(), matrix(rows["embedding"])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            if not shared.value:
+            qids, q = shared.value
+            if not len(qids):
                 return
-            qids = np.array([q for q, _ in shared.value], np.int64)
-            q = np.array([v for _, v in shared.value], np.float64)
             norms = np.linalg.norm(q, axis=1)
+            held = np.empty((len(qids), 0)), np.empty((len(qids), 0), np.int64)
+            step = max(1, scores_at_once // len(qids))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                p = np.array(batch.column(1).to_pylist(), np.float64)
-                by = norms[:, None] * np.linalg.norm(p, axis=1)[None, :]
-                score = (q @ p.T) / np.where(by == 0, 1e-9, by)
-                most = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :most]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, most)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["qid", "id", "score"])
-
-        found = passages.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "qid long, id long, score double")
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
+                    p = matrix(piece.column(1))
+                    by = norms[:, None] * np.linalg.norm(p, axis=1)[None, :]
+                    score = (q @ p.T) / np.where(by == 0, 1e-9, by)
+                    ids = np.broadcast_to(piece.column(0).to_numpy(), score.shape)
+                    found = best(score, ids, k)
+                    held = best(*(np.concatenate(x, axis=1) for x in zip(held, found, strict=True)), k)
+            if most := held[0].shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, most)), pa.array(held[1].ravel()), pa.array(held[0].ravel())], ["qid", "id", "score"])
+
+        some = passages.select(F.col("id").cast("long").alias("id"), "embedding").filter(F.col("id").isNotNull() & F.col("embedding").isNotNull())
+        found = some.mapInArrow(run, "qid long, id long, score double")
         near = found if near is None else near.unionByName(found)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     ranked = ranked if floor is None else ranked.filter(F.col("score") >= floor)

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,28 @@ def test_embedding_in_batches(spark):
     assert len(out) == 12 and all(r.embedding[0] <= 5 and r.embedding[1] >= 6 for r in out)
 
 
+def test_top_k_brute_force(spark):
+    """Small pieces, several tasks and blocks, equal vectors, null rows and empty tables give what all pairs give."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)
+    questions = rng.integers(-2, 3, (17, 4)).astype(float)
+    schema = "id long, embedding array<double>"
+    p = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(vectors)), (1000, None), (None, [1.0, 0.0, 0.0, 0.0])], schema).repartition(5)
+    q = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(questions)), (99, None)], schema).withColumnRenamed("id", "qid")
+    by = np.linalg.norm(questions, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
+    score = (questions @ vectors.T) / np.where(by == 0, 1e-9, by)
+    want = {(i, r + 1, int(j)) for i, row in enumerate(score.round(9)) for r, j in enumerate(np.lexsort((np.arange(300), -row))[:4])}
+    near = {(i, round(float(score[i, j]), 3)) for i, _, j in want}
+    for options in ({}, {"scores_at_once": 1}, {"scores_at_once": 100, "block_bytes": 200}):
+        got = retrieval.top_k(q, p, 4, None, **options).collect()
+        # equal similarities may differ in the last bit, so ranks are held against the similarities of all pairs
+        assert len(got) == len(want) and {(r.qid, r.similarity) for r in got} == near
+        assert all(abs(score[r.qid, r.id] - r.similarity) < 0.001 for r in got)
+    assert retrieval.top_k(q.filter("false"), p, 4).count() == retrieval.top_k(q, p.filter("false"), 4).count() == 0
+    ids = np.array([[5, 2, 9, 1]])
+    assert [x.tolist() for x in retrieval.best(np.array([[1.0, 3.0, 3.0, 1.0]]), ids, 3)] == [[[3.0, 3.0, 1.0]], [[2, 9, 1]]]
+
+
 def test_top_k(spark):
     p = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [0.3499, math.sqrt(1 - 0.3499**2)]), (3, [1.0, 0.0])], "id long, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0])], "qid long, embedding array<float>")
