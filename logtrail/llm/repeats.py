@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from logtrail.llm.common import materialize, slices
 
 #: Tokens hashed at once; longer documents are taken in pieces that overlap by a window less one.
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 17
+#: Segments of a document cut out at once.
+SEGMENTS_AT_ONCE = 4096
 #: Bytes of segments in a shard, about; distinct segments of one anchor that a shard gets at most, about.
 SHARD_BYTES, SEGMENTS_A_SHARD = 1 << 20, 2_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -162,16 +164,25 @@ def cut_out(joined: DataFrame, kind: Kind) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
+    def of(held: list[pa.StructArray], cuts: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([x.field(c) for x in held]) for c in names[:-1]]
+        return pa.RecordBatch.from_arrays([*(c.cast(k) for c, k in zip(columns, kinds, strict=False)), pa.array(cuts, pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress, rows = zstandard.ZstdDecompressor(), []
+        unpress, held, cuts = zstandard.ZstdDecompressor(), [], []
         for batch in slices(batches):
-            for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cut = kind.cut(unpress.decompress(z))
-                for x in wanted:
-                    rows.append((x["anchor"], x["salt"], x["segment"], x["n"], x["windows"], x["hot"], cut(x["first"], x["windows"] + kind.length - 1)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            rows = []
+            for z, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                cut = kind.cut(unpress.decompress(z.as_py()))
+                for i in range(0, len(wanted.values), SEGMENTS_AT_ONCE):
+                    part = wanted.values.slice(i, SEGMENTS_AT_ONCE)
+                    held.append(part)
+                    cuts += [cut(first, windows + kind.length - 1) for first, windows in zip(*(part.field(c).to_pylist() for c in ("first", "windows")), strict=True)]
+                    if len(cuts) >= SEGMENTS_AT_ONCE:
+                        yield of(held, cuts)
+                        held, cuts = [], []
+            if cuts:
+                yield of(held, cuts)
+                held, cuts = [], []
 
     return joined.select("z", "wanted").mapInArrow(run, schema)
 
@@ -285,14 +296,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, kind: Kind, shard_bytes
     return spans.groupBy("rid", "more").agg(F.collect_list("span").alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((x["lo"], x["hi"]) for x in spans or ()):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def merged(spans: pa.ListScalar) -> list[tuple[int, int]]:
+    """The stretches that spans (null: none) cover together, in order."""
+    if not spans.is_valid or not len(spans.values):
+        return []
+    lo, hi = (spans.values.field(i).to_numpy() for i in range(2))
+    by = np.argsort(lo, kind="stable")
+    lo, hi = lo[by], np.maximum.accumulate(hi[by])
+    new = np.r_[True, lo[1:] > hi[:-1]]
+    return list(zip(lo[new].tolist(), hi[np.r_[new[1:], True]].tolist(), strict=True))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = False) ->
         unpress = zstandard.ZstdDecompressor()
         for batch in slices(batches):
             rows = []
-            for doc_id, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, z, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text, gone, at, parts = unpress.decompress(z), merged(spans), 0, []
                 for lo, hi in gone:
                     parts.append(text[at:lo])

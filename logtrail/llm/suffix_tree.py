@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from logtrail.llm.common import slices, table
-from logtrail.llm.repeats import Kind, identified, merged, mix, powers, repeated_spans, with_spans
+from logtrail.llm.repeats import BASE, Kind, identified, merged, mix, powers, repeated_spans, with_spans
 from logtrail.llm.suffix_array import OF_BYTE
 
 LENGTH, CORE = 35, 12
@@ -84,24 +84,72 @@ def classes(bodies: list[bytes], windows: np.ndarray, length: int = LENGTH):
     return deep_nodes(suffixes, length), lambda s, at: b" ".join(split[s][at : at + length])
 
 
-#: The six characters between words, which bytes.split() takes for blanks too.
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes of a text hashed at once, words joined at once: what a task holds beside a text does not grow with its length
+#: but for the places of its words.
+BLOCK, WORDS_AT_ONCE = 1 << 17, 4096
+#: Not the six characters between words, which bytes.split() takes for blanks too.
+INSIDE = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end, in bytes."""
+    edges, within = [np.zeros(0, np.int64)], False
+    for at in range(0, len(text), BLOCK):
+        inside = INSIDE[np.frombuffer(text, np.uint8, min(BLOCK, len(text) - at), at)]
+        if inside[0] != within:
+            edges.append(np.array([at]))
+        edges.append(np.flatnonzero(inside[1:] != inside[:-1]) + (at + 1))
+        within = inside[-1]
+    if within:
+        edges.append(np.array([len(text)]))
+    found = np.concatenate(edges)
+    return found[::2], found[1::2]
 
 
 def _hashes(text: bytes) -> np.ndarray:
-    """A hash of each word, all at once: differences of the sums of weighted bytes at its ends."""
-    data = np.frombuffer(text, np.uint8)
-    inside = np.r_[False, ~BLANK[data], False]
-    start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    up, down = powers(max(1 << 20, 1 << len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(OF_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """A hash of each word: differences of the sums of weighted bytes at its ends, for a block of bytes at once.
+
+    Of a word that goes on in the next block the sum and the number of bytes so far are carried there.
+    """
+    out, carried, size = [np.zeros(0, np.uint64)], 0, 0
+    up, down = powers(BLOCK)
+    for at in range(0, len(text), BLOCK):
+        data = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - at), at)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = INSIDE[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(OF_BYTE[data] * up[: len(data)], out=sums[1:])
+        value, length = (sums[end] - sums[start]) * down[start], (end - start).astype(np.uint64)
+        if size and inside[1]:
+            value[0] = (carried + pow(BASE, size, 1 << 64) * int(value[0])) % (1 << 64)
+            length[0] += np.uint64(size)
+        elif size:
+            value, length = np.r_[np.uint64(carried), value], np.r_[np.uint64(size), length]
+        size = 0
+        if inside[-2]:
+            carried, size = int(value[-1]), int(length[-1])
+            value, length = value[:-1], length[:-1]
+        out.append(mix(value + length))
+    if size:
+        out.append(mix(np.array([carried], np.uint64) + np.uint64(size)))
+    return np.concatenate(out)
 
 
 def _cut(text: bytes):
-    words = text.split()
-    return lambda first, number: b" ".join(words[first : first + number])
+    starts, ends = bounds(text)
+    return lambda first, number: b" ".join(text[starts[first] : ends[first + number - 1]].split())
+
+
+def left_over(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The words left, joined by one blank, in pieces."""
+    at, mark = 0, b""
+    for lo, hi in [*gone, (len(starts), len(starts))]:
+        for first in range(at, lo, WORDS_AT_ONCE):
+            yield mark + b" ".join(text[starts[first] : ends[min(lo, first + WORDS_AT_ONCE) - 1]].split())
+            mark = b" "
+        at = hi
 
 
 WORDS = Kind(LENGTH, CORE, _hashes, _cut, classes)
@@ -122,14 +170,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, kept: bool = False) ->
         unpress = zstandard.ZstdDecompressor()
         for batch in slices(batches):
             rows = []
-            for doc_id, z, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, at, left = unpress.decompress(z).split(), 0, []
-                for lo, hi in merged(spans):
-                    left += words[at:lo]
-                    at = hi
-                left += words[at:]
-                text = b" ".join(left)
-                rows.append((doc_id, len(words), len(words) - len(left), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if kept else None)[: 4 + kept])
+            for doc_id, z, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text, gone, digest, parts = unpress.decompress(z), merged(spans), hashlib.sha256(), []
+                starts, ends = bounds(text)
+                for part in left_over(text, starts, ends, gone):
+                    digest.update(part)
+                    if kept:
+                        parts.append(part)
+                rows.append((doc_id, len(starts), sum(hi - lo for lo, hi in gone), digest.hexdigest(), b"".join(parts).decode("utf-8", "surrogatepass"))[: 4 + kept])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 

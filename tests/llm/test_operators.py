@@ -6,9 +6,11 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +117,57 @@ def test_deep_nodes():
         assert all(len(x) == 1 for x in of.values()) and len({next(iter(x)) for x in of.values()}) == len(of)
 
 
+def test_words_by_blocks(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab\u00e9 \n\t\x0b") for _ in range(rng.randint(0, 90))).encode() for _ in range(200)]
+    texts += [b"", b" ", b"x" * 100, b" " * 32, b"a" * 16 + b" " + b"b" * 15, b"x" * 32 + b" y"]
+    whole = [suffix_tree._hashes(t) for t in texts]
+    monkeypatch.setattr(suffix_tree, "BLOCK", 16)
+    monkeypatch.setattr(suffix_tree, "WORDS_AT_ONCE", 3)
+    of = {}
+    for text, hashes in zip(texts, whole):
+        found, (starts, ends), split = suffix_tree._hashes(text), suffix_tree.bounds(text), text.split()
+        assert found.tolist() == hashes.tolist() and [text[a:b] for a, b in zip(starts, ends)] == split
+        assert all(of.setdefault(w, h) == h for w, h in zip(split, found.tolist(), strict=True))
+        for gone in ([], [(0, 1)], [(1, 2), (4, 9)]):
+            gone = [x for x in gone if x[1] <= len(split)]
+            left = [w for i, w in enumerate(split) if not any(lo <= i < hi for lo, hi in gone)]
+            assert b"".join(suffix_tree.left_over(text, starts, ends, gone)) == b" ".join(left)
+    assert len(set(of.values())) == len(of)
+
+
+def test_memory_of_a_long_text():
+    text = b"word after word " * 1_000_000
+    tracemalloc.start()
+    found = suffix_tree._hashes(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3_000_000 and most < 4 * len(text)
+
+
+def test_merged_spans():
+    rng = random.Random(5)
+    rows = [None, [], *([{"lo": (a := rng.randrange(40)), "hi": a + rng.randint(1, 6)} for _ in range(rng.randint(1, 9))] for _ in range(100))]
+    column = pa.array(rows, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))).slice(1)
+    for row, spans in zip(rows[1:], column):
+        covered = [any(x["lo"] <= i < x["hi"] for x in row) for i in range(50)]
+        found = repeats.merged(spans)
+        assert covered == [any(lo <= i < hi for lo, hi in found) for i in range(50)]
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+    assert repeats.merged(pa.scalar(None, column.type)) == []
+
+
+def test_repeats_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENTS_AT_ONCE", 3)
+    rng, some = random.Random(6), corpus()
+    long = words(rng, 60_000)
+    texts = [*some, " ".join(long), "\n".join([*long[:20_000], "edited", *long[20_000:40_000:2], some[5]]), "w" * 200_000 + " " + some[5], "v" * 140_000 + " " + some[7]]
+    assert max(map(len, texts[-4:-2])) > 2 * suffix_tree.BLOCK
+    got = suffix_tree.without_repeats(spark, table(spark, texts), kept=True).orderBy("doc_id").collect()
+    assert [tuple(r)[1:4] for r in got] == brute_words(texts, 35)
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
 def brute_links(texts, n=5):
     sets = []
     for t in texts:
