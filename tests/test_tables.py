@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logtrail.operators import normalize
 from logtrail.sources.tables import Table
-from logtrail.sources.text_files import write_files
+from logtrail.sources.text_files import Writer, write_files
 
 
 def values(df):
@@ -85,3 +85,30 @@ def test_named_files(spark, tmp_path):
     with pytest.raises(Exception, match="half way"):
         write_files(failing, f"file://{folder}")
     assert [p.name for p in folder.iterdir()] == ["d.md"] and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_named_files_of_late_tasks(tmp_path):
+    folder = tmp_path / "out"
+    late = Writer(f"file://{folder}")
+    late.abort([])
+    with pytest.raises(RuntimeError, match="has ended"):
+        late.write(iter([("a.md", "1")]))
+    assert not list(tmp_path.iterdir())
+
+    writer = Writer(f"file://{folder}")
+
+    def rows(end):
+        yield "a.md", "1"
+        end()
+        (tmp_path / f".out-{writer.mark}").mkdir()  # as stores do that make folders by themselves
+        yield "b.md", "2"
+
+    with pytest.raises(RuntimeError, match="has ended"):
+        writer.write(rows(lambda: writer.abort([])))
+    assert not list(tmp_path.iterdir())
+
+    writer = Writer(f"file://{folder}")
+    done = writer.write(iter([("a.md", "1"), ("b.md", "2")]))
+    with pytest.raises(RuntimeError, match="has ended"):
+        writer.write(rows(lambda: writer.commit([done])))
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and sorted(p.name for p in folder.iterdir()) == ["a.md", "b.md"]
